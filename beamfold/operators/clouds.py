@@ -66,10 +66,11 @@ def temporal_fusion(cells: DataFrame, *, history: int = 1) -> DataFrame:
     window = Window.partitionBy(*CELL_KEYS, "_chunk").orderBy("ord").rowsBetween(-(depth - 1), 0)
     rows = rows.withColumn("_seen", F.collect_list("_v").over(window)).where(F.col("_chunk") == chunk)
     count = F.size("_seen")
-    fields = [
-        _median(F.transform("_seen", lambda p, n=name: p[n])).alias(name) for name in POINT_FIELDS
-    ]
-    fused = F.struct(*fields, (count > 0).alias("valid"))
+
+    def median_of(name: str) -> Column:
+        return _median(F.transform("_seen", lambda p: p[name])).alias(name)
+
+    fused = F.struct(*[median_of(name) for name in POINT_FIELDS], (count > 0).alias("valid"))
     return (
         rows.withColumn("source_valid", F.col("_v").isNotNull()).withColumn("temporal_observations", count)
         .withColumn("point", fused).drop("_v", "_seen", "_chunk")

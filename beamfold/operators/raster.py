@@ -75,7 +75,11 @@ def assemble_lines(measurements: DataFrame, width: int) -> DataFrame:
         F.count(F.lit(1)).alias("filled"), F.max("cell.frame_id").alias("last_frame_id"),
         _ordered([F.col("x_index"), F.col("cell")]).alias("_cells"))
     full = lines.where(F.col("filled") == width)
-    arrays = [F.transform("_cells", lambda c, n=name: c["cell"][n]).alias(name) for name in CELL_FIELDS]
+
+    def field(name: str) -> Column:
+        return F.transform("_cells", lambda c: c["cell"][name]).alias(name)
+
+    arrays = [field(name) for name in CELL_FIELDS]
     return full.select(*LINE_KEYS, "last_frame_id", *arrays)
 
 

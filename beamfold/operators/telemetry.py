@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from beamfold.operators.ordered import Series, previous, row_index
 
@@ -99,14 +99,6 @@ def period_ema(batches: DataFrame, *, alpha: float = 0.2, span: int = 1 << 17) -
             smooth = seeded.ewm(alpha=alpha, adjust=False).mean().iloc[1:].set_axis(periods.index)
         return smooth.reindex(values.index).ffill().fillna(float("nan") if entry is None else entry)
 
-    def reduce(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sequence")
-        periods = part["period_ms"].dropna()
-        gain = float(folded(periods, 0.0).iloc[-1]) if len(periods) else 0.0
-        first = float(periods.iloc[0]) if len(periods) else None
-        return pd.DataFrame({"session_id": [key[0]], "_c": [key[1]], "decay": [(1.0 - alpha) ** len(periods)],
-                             "gain": [gain], "first": [first]})
-
     def chain(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         entry, out = None, []
         for row in part.sort_values("_c").itertuples(index=False):
@@ -123,8 +115,15 @@ def period_ema(batches: DataFrame, *, alpha: float = 0.2, span: int = 1 << 17) -
                              "period_ema_ms": values})
 
     slim = rows.select("session_id", "sequence", "period_ms", "_c")
-    summary = slim.groupBy("session_id", "_c").applyInPandas(
-        reduce, "session_id string, _c long, decay double, gain double, first double")
+    later = Window.partitionBy("session_id", "_c").orderBy("sequence").rowsBetween(1, Window.unboundedFollowing)
+    weighted = slim.where("period_ms is not null").withColumn("_later", F.count("period_ms").over(later))
+    kept = F.lit(1.0 - alpha)
+    summary = weighted.groupBy("session_id", "_c").agg(
+        F.pow(kept, F.count("period_ms")).alias("decay"),
+        F.sum(F.lit(alpha) * F.pow(kept, F.col("_later")) * F.col("period_ms")).alias("gain"),
+        F.min_by("period_ms", "sequence").alias("first"))
+    every_chunk = slim.select("session_id", "_c").distinct()
+    summary = every_chunk.join(summary, ["session_id", "_c"], "left")
     entries = summary.groupBy("session_id").applyInPandas(chain, "session_id string, _c long, entry double")
     out = slim.join(entries, ["session_id", "_c"]).groupBy("session_id", "_c").applyInPandas(
         apply, "session_id string, sequence long, period_ms double, period_ema_ms double")

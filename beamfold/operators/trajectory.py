@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from beamfold.functions.geometry import index_to_angle, line_to_elevation
-from beamfold.operators.ordered import Series, following, ordinal, previous
+from beamfold.operators.ordered import Series, following, ordinal, previous, row_index
 from beamfold.operators.records import split_by_reason, with_config
 
 # Playback rate and point limit of a scan waveform, range below which an axis is still.
@@ -150,18 +150,27 @@ def waveform_summary(waveform: DataFrame, *, src_rate: str = "sample_rate_hz") -
     )
 
 
+def _marked(waveform: DataFrame) -> DataFrame:
+    """Both edge columns from one ordered pass, with the waveform's point count.
+
+    A cyclic marker that takes both values has a rising edge, so whether emitted markers exist
+    falls out of the same aggregate that finds the wrap-around values.
+    """
+    ends = waveform.groupBy("waveform_id").agg(
+        F.max_by(F.struct("trigger", "logical_trigger"), "idx").alias("_end"), (F.max("idx") + 1).alias("point_count"),
+        (F.min("trigger") != F.max("trigger")).alias("has_emitted"))
+    stepped = previous(waveform, _waveform_series(), {"_pt": "trigger", "_pl": "logical_trigger"}).join(ends, "waveform_id")
+    return stepped.select(
+        "waveform_id", "idx", "point_count", "has_emitted",
+        (F.col("trigger") & ~F.coalesce("_pt", "_end.trigger")).alias("emitted_edge"),
+        (F.col("logical_trigger") & ~F.coalesce("_pl", "_end.logical_trigger")).alias("logical_edge"))
+
+
 def marker_table(waveform: DataFrame) -> DataFrame:
     """Numbered marker positions per waveform: emitted markers, else the logical ones."""
-    both = None
-    for kind, column in enumerate(("trigger", "logical_trigger")):
-        edges = rising_edges(waveform, marker=column).where("edge")
-        edges = edges.select("waveform_id", F.lit(kind).alias("_kind"), F.col("idx").alias("marker_index"))
-        both = edges if both is None else both.unionByName(edges)
-    kinds = both.groupBy("waveform_id").agg(F.min("_kind").alias("_use"))
-    used = both.join(kinds, "waveform_id").where("_kind = _use").drop("_kind", "_use")
-    numbered = ordinal(used, ["waveform_id"], "marker_index", "marker_no", span=1 << 16)
-    counts = numbered.groupBy("waveform_id").agg(F.count(F.lit(1)).alias("marker_count"))
-    return numbered.join(counts, "waveform_id")
+    used = _marked(waveform).where(F.when(F.col("has_emitted"), F.col("emitted_edge")).otherwise(F.col("logical_edge")))
+    used = used.select("waveform_id", F.col("idx").alias("marker_index"), "point_count")
+    return row_index(used, Series(("waveform_id",), ("marker_index",), 1 << 16), "marker_no", total="marker_count")
 
 
 def _sample_index(marker: Column, record: Column, sample_rate: Column, sweep_rate: Column, points: Column) -> Column:
@@ -175,10 +184,10 @@ def trajectory_lines(lines: DataFrame, waveform: DataFrame, scan: DataFrame) ->
 
     ``scan`` maps ``waveform_id`` to sweep_rate_hz, sample_rate_hz and bidirectional.
     """
-    points = _point_count(waveform).withColumnRenamed("_n", "point_count")
     markers = marker_table(waveform)
-    counts = markers.groupBy("waveform_id").agg(F.max("marker_count").alias("marker_count"))
-    placed = lines.join(scan, "waveform_id").join(points, "waveform_id").join(counts, "waveform_id")
+    counts = markers.groupBy("waveform_id").agg(
+        F.max("marker_count").alias("marker_count"), F.max("point_count").alias("point_count"))
+    placed = lines.join(scan.join(counts, "waveform_id"), "waveform_id")
     placed = placed.withColumn("y_index", F.pmod(F.col("line_sequence"), F.col("marker_count")))
     placed = placed.join(
         markers.select("waveform_id", F.col("marker_no").alias("y_index"), "marker_index"), ["waveform_id", "y_index"])
@@ -242,11 +251,8 @@ def line_sequence(ascans: DataFrame) -> DataFrame:
 
 def check_marker_count(waveform: DataFrame, scan: DataFrame) -> DataFrame:
     """Whether each waveform has exactly ``y_line_count`` logical and emitted markers."""
-    counts = None
-    for column, name in (("trigger", "emitted_markers"), ("logical_trigger", "logical_markers")):
-        edges = rising_edges(waveform, marker=column)
-        one = edges.groupBy("waveform_id").agg(F.sum(F.col("edge").cast("long")).alias(name))
-        counts = one if counts is None else counts.join(one, "waveform_id")
+    counts = _marked(waveform).groupBy("waveform_id").agg(
+        F.count_if("emitted_edge").alias("emitted_markers"), F.count_if("logical_edge").alias("logical_markers"))
     joined = counts.join(scan.select("waveform_id", "y_line_count"), "waveform_id")
     ok = (F.col("emitted_markers") == F.col("y_line_count")) & (F.col("logical_markers") == F.col("y_line_count"))
     return joined.withColumn("ok", ok)

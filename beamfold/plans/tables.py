@@ -168,23 +168,23 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, customer = F.col("o_totalprice"), F.col("o_custkey").cast("double")
     velocity = (F.col("o_custkey") % 100 - 50) / F.lit(10.0)
     point = {
-        "x": F.lit(3.0) + price / 1e6, "y": (F.col("o_custkey") % 37) / F.lit(100.0), "z": (key % 11) / F.lit(100.0),
+        "x": F.lit(3.0) + price / 699792.457, "y": (F.col("o_custkey") % 37) / F.lit(100.0), "z": (key % 11) / F.lit(100.0),
         "intensity": -customer / 50.0, "velocity": velocity, "scan_x": x / F.lit(9.0), "scan_y": y / F.lit(4.0),
     }
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("s"), F.floor(key / 5000).cast("string")).alias("session_id"),
         (place + 1).alias("frame_id"), F.floor(place / (WIDTH * HEIGHT)).cast("long").alias("scan_frame_index"),
         F.struct(x.alias("x_index"), y.alias("y_index"), located.alias("valid")).alias("pos"),
-        peak(up_ok, price / 1e4, -customer / 50.0).alias("up_peak"),
+        peak(up_ok, price / 29979.2458, -customer / 50.0).alias("up_peak"),
         peak(down_ok, customer / 100.0, -(key % 40).cast("double")).alias("down_peak"),
         both.alias("measurement_valid"),
-        F.when(both, price / 1e5).alias("distance_m"), F.when(both, velocity).alias("velocity_mps"),
+        F.when(both, price / 299792.458).alias("distance_m"), F.when(both, velocity).alias("velocity_mps"),
         F.struct(*[F.when(shown, v).alias(n) for n, v in point.items()], shown.alias("valid")).alias("point"),
         (place * 1000).alias("host_timestamp_ns"), F.floor(place / 1250).cast("long").alias("config_revision"))
 
 
 CELLS = """cells AS (
-  SELECT *, CASE WHEN shown THEN 3e0 + o_totalprice / 1e6 END AS px,
+  SELECT *, CASE WHEN shown THEN 3e0 + o_totalprice / 699792.457e0 END AS px,
          CASE WHEN shown THEN (o_custkey % 37) / 100e0 END AS py, CASE WHEN shown THEN (o_orderkey % 11) / 100e0 END AS pz,
          CASE WHEN shown THEN -o_custkey / 50e0 END AS pi, CASE WHEN shown THEN (o_custkey % 100 - 50) / 10e0 END AS pv,
          CASE WHEN shown THEN x_index / 9e0 END AS psx, CASE WHEN shown THEN y_index / 4e0 END AS psy
