@@ -46,10 +46,26 @@ def _with_segment_count(frames: DataFrame, points_per_packet: int) -> DataFrame:
     return frames.withColumn("segment_count", count)
 
 
-def _unsigned(payload: Column, offset: int, width: int) -> Column:
-    """Little-endian unsigned field at a byte offset."""
-    pairs = [F.hex(F.substring(payload, offset + width - i, 1)) for i in range(width)]
-    return F.conv(F.concat(*pairs), 16, 10).cast("decimal(20,0)")
+HEADER_DTYPE = np.dtype([
+    ("magic", "S4"), ("version", "<u2"), ("header_bytes", "<u2"), ("raster_frame_id", "<i8"), ("timestamp_ns", "<i8"),
+    ("config_revision", "<i8"), ("segment_count", "<u2"), ("segment_index", "<u2"), ("point_count", "<u2"),
+    ("point_stride", "<u2"),
+])
+WIDE_FIELDS = ("raster_frame_id", "timestamp_ns", "config_revision")
+HEADER_SCHEMA = T.StructType([
+    T.StructField(n, T.LongType() if n in WIDE_FIELDS else T.IntegerType()) for n in HEADER_DTYPE.names if n != "magic"
+])
+
+
+@F.arrow_udf(HEADER_SCHEMA)
+def _decode_headers(heads: pa.Array) -> pa.Array:
+    """Header fields of 40-byte prefixes, one buffer view per batch; unsigned values past 2^63 turn negative."""
+    heads = heads.cast(pa.binary(HEADER_BYTES))
+    raw = np.frombuffer(heads.buffers()[1], np.uint8, count=len(heads) * HEADER_BYTES, offset=heads.offset * HEADER_BYTES)
+    rows = raw.view(HEADER_DTYPE)
+    columns = [
+        pa.array(rows[n].astype(np.int64 if n in WIDE_FIELDS else np.int32)) for n in HEADER_SCHEMA.fieldNames()]
+    return pa.StructArray.from_arrays(columns, names=HEADER_SCHEMA.fieldNames())
 
 
 @F.arrow_udf(T.ArrayType(PACKET_POINT))
@@ -72,22 +88,15 @@ def decode_body(body: Column) -> Column:
 def decode_packets(raw: DataFrame, *, keep_body: bool = False) -> tuple[DataFrame, DataFrame]:
     """Datagrams (``payload`` binary) to packet rows and rejects with a reason.
 
-    Headers are checked as native expressions, so broken datagrams never reach Python. With
-    ``keep_body`` the points stay as raw bytes in ``body`` (the form the stream operator stores).
+    Headers are read as one buffer view per Arrow batch and judged by native expressions; the
+    points of rejects are never decoded. With ``keep_body`` the points stay as raw bytes in ``body``
+    (the form the stream operator stores).
     """
     payload = F.col("payload")
-    fields = {
-        "version": (4, 2), "header_bytes": (6, 2), "raster_frame_id": (8, 8), "timestamp_ns": (16, 8),
-        "config_revision": (24, 8), "segment_count": (32, 2), "segment_index": (34, 2), "point_count": (36, 2),
-        "point_stride": (38, 2),
-    }
     long_enough = (F.length(payload) >= HEADER_BYTES) & (F.substring(payload, 1, 4) == F.lit(bytearray(MAGIC)))
-    header = F.struct(*[_unsigned(payload, *place).alias(name) for name, place in fields.items()])
-    tagged = raw.withColumn("_h", F.when(long_enough, header))
-    h = {name: F.col(f"_h.{name}") for name in fields}
-    in_long_range = F.lit(True)
-    for name in ("raster_frame_id", "timestamp_ns", "config_revision"):
-        in_long_range = in_long_range & (h[name] <= F.lit(2**63 - 1).cast("decimal(20,0)"))
+    prefix = F.rpad(F.substring(payload, 1, HEADER_BYTES), F.lit(HEADER_BYTES), F.lit(bytearray(1)))
+    tagged = raw.withColumn("_h", _decode_headers(prefix))
+    h = {name: F.col(f"_h.{name}") for name in HEADER_SCHEMA.fieldNames()}
     reason = first_reason([
         (long_enough, "short_or_magic"),
         (h["version"] == VERSION, "version"),
@@ -96,15 +105,14 @@ def decode_packets(raw: DataFrame, *, keep_body: bool = False) -> tuple[DataFram
         ((h["segment_count"] > 0) & (h["segment_index"] < h["segment_count"]), "segment"),
         (h["point_count"] <= MAXIMUM_POINTS_PER_PACKET, "point_count"),
         (F.length(payload) == HEADER_BYTES + h["point_count"] * POINT_BYTES, "size"),
-        (in_long_range, "unsigned_range"),
+        (F.least(*[h[n] for n in WIDE_FIELDS]) >= 0, "unsigned_range"),
     ])
     good, bad = split_by_reason(tagged.withColumn("reject_reason", reason))
     kept = [c for c in raw.columns if c != "payload"]
     body = F.substring(payload, HEADER_BYTES + 1, MAXIMUM_POINTS_PER_PACKET * POINT_BYTES)
     packets = good.select(
         *kept,
-        *[h[n].cast("long").alias(n) for n in ("raster_frame_id", "timestamp_ns", "config_revision")],
-        *[h[n].cast("int").alias(n) for n in ("segment_count", "segment_index", "point_count")],
+        *[h[n].alias(n) for n in (*WIDE_FIELDS, "segment_count", "segment_index", "point_count")],
         body.alias("body") if keep_body else _decode_points(body).alias("points"),
     )
     return packets, bad.drop("_h")

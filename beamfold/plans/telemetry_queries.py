@@ -29,7 +29,8 @@ def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = I.latency_summary(I.stage_latency(batches(spark, sf_dir)))
     # Means are compared as totals, which are exact at six decimals.
     out = out.withColumns({f"total_{n}": F.col(f"mean_{n}") * F.col("batches") for n in STAGES})
-    return out.drop(*[f"mean_{n}" for n in STAGES]).withColumns({c: r6(c) for c in out.columns if c.endswith("_ms")})
+    out = out.drop(*[f"mean_{n}" for n in STAGES])
+    return out.withColumns({c: r6(c) for c in out.columns if c.endswith("_ms")})
 
 
 @query("I3_rolling_percentiles", with_ctes(BATCHES, STAGE_SQL, """recent AS (
