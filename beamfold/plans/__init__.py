@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("records_queries", "geometry_queries", "telemetry_queries", "packets_queries")
+MODULES = ("records_queries", "geometry_queries", "telemetry_queries", "packets_queries", "config_queries")
 
 
 def load_catalog():

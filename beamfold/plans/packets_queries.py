@@ -237,9 +237,8 @@ def h8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_seconds("interval_start").alias("interval_start_s"), "outcome", "n")
 
 
-@query("H8_statistics_stream", STATISTICS + """
-HAVING epoch_us(ts) // 1000000 // 3600 * 3600 + 3600 <= (SELECT epoch_us(max(ts)) // 1000000 - 10 FROM events)""".replace(
-    "HAVING epoch_us(ts) // 1000000 // 3600 * 3600", "HAVING interval_start_s"))
+@query("H8_statistics_stream", f"""WITH s AS ({STATISTICS})
+SELECT * FROM s WHERE interval_start_s + 3600 <= (SELECT epoch_us(max(ts)) / 1e6 - 10 FROM events)""")
 def h8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "statistics")
     stream = sinks.statistics_stream(outcome_rows(source_stream(spark, sf_dir, "events")), every="1 hour")
