@@ -2,7 +2,8 @@
 
 import importlib
 
-MODULES = ("records_queries", "geometry_queries", "telemetry_queries", "packets_queries", "config_queries")
+MODULES = ("records_queries", "geometry_queries", "telemetry_queries", "packets_queries", "config_queries",
+           "storage_queries")
 
 
 def load_catalog():

@@ -139,7 +139,7 @@ def j3_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOARD_SQL = "boards(id, rates, step) AS (VALUES " + ", ".join(
     f"('{b[0]}', [{', '.join(repr(r) for r in b[1])}], {b[4]})" for b in J.BOARDS) + ")"
 CHECKED = """checked AS (
-  SELECT t.*, b.id IS NOT NULL AS known, len(list_filter(b.rates, lambda r: abs(rate - r) <= greatest(1e0, abs(r) * 1e-9))) > 0 AS rate_ok,
+  SELECT t.*, b.id IS NOT NULL AS known, CASE WHEN rate IS NOT NULL THEN len(list_filter(b.rates, lambda r: abs(rate - r) <= greatest(1e0, abs(r) * 1e-9))) > 0 END AS rate_ok,
          points >= 256 AND points % b.step = 0 AS record_ok FROM typed t LEFT JOIN boards b ON t.board = b.id)"""
 
 
