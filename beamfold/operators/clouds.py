@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from beamfold.functions.geometry import POINT_FIELDS, edge_gate, finite_point, point_range
-from beamfold.operators.ordered import Series, previous, row_index, running_sum
+from beamfold.operators.ordered import Series, previous, running_sum
+from beamfold.session import stage
 
 MAXIMUM_HISTORY = 5
 # Frames per fusion chunk; each chunk repeats the history-1 frames before it.
@@ -27,17 +28,19 @@ def fusion_sessions(clouds: DataFrame, *, span: int = 1 << 15) -> DataFrame:
     """Add ``fusion_session`` and ``ord`` to well-formed clouds in arrival order.
 
     History restarts when the frame index does not advance or the geometry or revision changes.
-    Only headers are ordered; the point arrays join back by (session, arrival).
+    Only staged headers are ordered; the point arrays join back by (session, arrival).
     """
     series = Series(("session_id",), ("arrival",), span)
     heads = well_formed(clouds).select("session_id", "arrival", "scan_frame_index", "width", "height", "revision")
     watched = ("scan_frame_index", "width", "height", "revision")
-    heads = previous(heads, series, {f"_p_{c}": c for c in watched})
+    heads = previous(stage(heads, "cloud-heads"), series, {f"_p_{c}": c for c in watched})
     changed = F.col("_p_scan_frame_index").isNull() | (F.col("scan_frame_index") <= F.col("_p_scan_frame_index"))
     for name in watched[1:]:
         changed = changed | (F.col(name) != F.col(f"_p_{name}"))
-    heads = running_sum(heads, series, {"fusion_session": changed.cast("long")})
-    heads = row_index(heads, series, "ord")
+    heads = stage(heads.select("session_id", "arrival", changed.cast("long").alias("_reset")), "cloud-heads")
+    # The ordinal is a running count, so both numbers come from one pass.
+    heads = running_sum(heads, series, {"fusion_session": F.col("_reset"), "_count": F.lit(1)})
+    heads = heads.withColumn("ord", (F.col("_count") - 1).cast("long"))
     return well_formed(clouds).join(
         heads.select("session_id", "arrival", "fusion_session", "ord"), ["session_id", "arrival"])
 

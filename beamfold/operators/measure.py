@@ -11,14 +11,18 @@ from beamfold.operators.records import BATCH_KEYS, contract_reason, with_config
 
 
 def with_peaks(records: DataFrame) -> DataFrame:
-    """Add ``up_peak`` and ``down_peak`` structs; ``cfg`` holds each row's processing parameters."""
+    """Add ``up_peak`` and ``down_peak`` structs; ``cfg`` holds each row's processing parameters.
+
+    Packed ``payload`` rows are preferred over ``samples`` arrays: they cross into Python as one copy.
+    """
+    source = "payload" if "payload" in records.columns else "samples"
     peaks = peak_pair(
-        F.col("samples"), F.col("sample_format"), F.col("up_segment"), F.col("down_segment"),
+        F.col(source), F.col("sample_format"), F.col("up_segment"), F.col("down_segment"),
         F.col("cfg.fft_length"), F.col("cfg.window_function"), F.col("cfg.remove_dc"), F.col("cfg.invert_down"),
         F.col("cfg.peak_start"), F.col("cfg.peak_end"), F.col("cfg.threshold_db"),
     )
     return (
-        records.withColumn("_peaks", peaks).drop("samples")
+        records.withColumn("_peaks", peaks).drop("samples", "payload")
         .withColumn("up_peak", F.col("_peaks.up")).withColumn("down_peak", F.col("_peaks.down")).drop("_peaks")
     )
 
@@ -46,7 +50,7 @@ def with_measurement(peaked: DataFrame) -> DataFrame:
 
 
 def tag_records(ascans: DataFrame, config: DataFrame) -> DataFrame:
-    return with_config(ascans, config).withColumn("reject_reason", contract_reason())
+    return with_config(ascans, config).withColumn("reject_reason", contract_reason(ascans.columns))
 
 
 def measure_tagged(tagged: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ its leading order column.  Windows run per (key, chunk); the state that crosses
 (last row, running total, last non-null value) is carried by a summary of one row per chunk.
 The summary is thousands of times smaller than the data, so its per-key window is cheap, and
 Spark picks broadcast or shuffle for the join back by its measured size.
+
+Each primitive reads its input twice (summary and rows). Operators that chain several of them
+therefore work on the few columns they need and ``stage`` them in between, so the cost stays linear.
 """
 
 from __future__ import annotations
@@ -134,6 +137,28 @@ def carry_forward(df: DataFrame, series: Series, columns: Mapping[str, Column])
     return joined.select(*df.columns, *values).drop(CHUNK)
 
 
+def rows_since(df: DataFrame, series: Series, columns: Mapping[str, Column]) -> DataFrame:
+    """Add how many rows ago each flag last held (0 on a flagged row); NULL before the first one."""
+    df = chunked(df, series)
+    prepared = df.select("*", *[value.alias(f"_f_{name}") for name, value in columns.items()])
+    prepared = prepared.withColumn("_rn", F.row_number().over(series.window()).cast("long"))
+    summary = prepared.groupBy(*series.chunk_keys).agg(
+        F.max("_rn").alias("_n"), *[F.max(F.when(F.col(f"_f_{n}"), F.col("_rn"))).alias(f"_p_{n}") for n in columns])
+    before = series.summary_window().rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    summary = summary.select(*series.chunk_keys, "_base", *[
+        F.max(F.col("_base") + F.col(f"_p_{n}")).over(before).alias(f"_g_{n}") for n in columns])
+    joined = _attach(prepared, summary, series)
+    inside = series.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.col("_base") + F.col("_rn")
+    values = [
+        (here - F.coalesce(F.col("_base") + F.max(F.when(F.col(f"_f_{n}"), F.col("_rn"))).over(inside),
+                           F.col(f"_g_{n}"))).alias(n)
+        for n in columns
+    ]
+    return joined.select(*df.columns, *values).drop(CHUNK)
+
+
 def ordinal(df: DataFrame, keys: Sequence[str], value: str, name: str, *, span: int = 1 << 17) -> DataFrame:
     """Add the zero-based dense rank of integer ``value`` within ``keys``.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from beamfold.functions.geometry import finite_or_null, is_finite
-from beamfold.operators.ordered import Series, carry_forward, previous, running_sum
+from beamfold.operators.ordered import Series, running_sum
 
 # Rank resolution of the bracket that prunes the exact percentile search.
 SKETCH_ACCURACY = 10000
@@ -27,12 +27,13 @@ def envelope(series: DataFrame, columns: int, *, key: str = "series_id") -> Data
 
 
 def finite_runs(series: DataFrame, *, key: str = "series_id", span: int = 1 << 17) -> DataFrame:
-    """Gap-free stretches: run number, first and last index, length."""
-    order = Series((key,), ("idx",), span)
-    marked = previous(series.withColumn("_ok", is_finite(F.col("value"))), order, {"_before": "_ok"})
-    starts = F.col("_ok") & ~F.coalesce(F.col("_before"), F.lit(False))
-    numbered = running_sum(marked, order, {"run": starts.cast("long")})
-    return numbered.where("_ok").groupBy(key, "run").agg(
+    """Gap-free stretches: first and last index and length, named by the gaps before them.
+
+    The count of gaps before a finite value is constant along its stretch and differs between stretches.
+    """
+    ok = is_finite(F.col("value"))
+    counted = running_sum(series.withColumn("_ok", ok), Series((key,), ("idx",), span), {"run": (~ok).cast("long")})
+    return counted.where("_ok").groupBy(key, "run").agg(
         F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count(F.lit(1)).alias("length"))
 
 

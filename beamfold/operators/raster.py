@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from beamfold.operators.ordered import Series, carry_forward, previous, row_index, running_sum
+from beamfold.operators.ordered import Series, previous, rows_since, running_sum
+from beamfold.session import stage
 
 LINE_KEYS = ["session_id", "scan_frame_index", "y_index"]
 FRAME_KEYS = ["session_id", "scan_frame_index"]
@@ -22,17 +23,20 @@ def scan_frame_index(points: DataFrame, *, width: int, span: int = 1 << 17) -> D
     A line ends when y changes or when its ``width`` records have passed.
     """
     series = Series(("session_id",), ("frame_id",), span)
-    df = points.withColumn("_y", F.col("pos.y_index"))
-    df = previous(df, series, {"_py": "_y"})
-    df = row_index(df, series, "_row")
+    narrow = stage(points.select("session_id", "frame_id", F.col("pos.y_index").alias("_y")), "frame-index")
+    narrow = previous(narrow, series, {"_py": "_y"})
     changed = F.col("_py").isNull() | (F.col("_py") != F.col("_y"))
-    df = carry_forward(df, series, {"_run": F.when(changed, F.col("_row"))})
-    place = (F.col("_row") - F.col("_run")) % width
-    df = df.withColumn("_opens", (place == 0) & (F.col("_y") == 0))
-    completed = (place == width - 1).cast("long")
-    df = running_sum(df, series, {"_done": completed}, inclusive=False)
-    df = running_sum(df, series, {"scan_frame_index": (F.col("_opens") & (F.col("_done") > 0)).cast("long")})
-    return df.drop("_y", "_py", "_row", "_run", "_opens", "_done")
+    narrow = rows_since(narrow, series, {"_since": changed})
+    place = F.col("_since") % width
+    narrow = stage(narrow.select(
+        "session_id", "frame_id", ((place == 0) & (F.col("_y") == 0)).alias("_opens"), (place == width - 1).alias("_done")),
+        "frame-index")
+    # Opening needs any completed line before, so only the session's first completion matters.
+    first_done = narrow.where("_done").groupBy("session_id").agg(F.min("frame_id").alias("_first_done"))
+    narrow = narrow.join(first_done, "session_id", "left")
+    opened = F.coalesce(F.col("_opens") & (F.col("frame_id") > F.col("_first_done")), F.lit(False)).cast("long")
+    numbered = running_sum(narrow, series, {"scan_frame_index": opened})
+    return points.join(numbered.select("session_id", "frame_id", "scan_frame_index"), ["session_id", "frame_id"])
 
 
 def frame_index_by_id(frame_id: Column, width: int, height: int) -> Column:

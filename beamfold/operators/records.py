@@ -27,7 +27,12 @@ def with_config(df: DataFrame, config: DataFrame, *, key: str = CONFIG_KEY, alia
     return df.join(config.select(key, F.struct(*fields).alias(alias)), key, "left")
 
 
-def contract_reason(cfg: str = "cfg") -> Column:
+def stored_count(columns: list[str]) -> Column:
+    """Stored samples per record, for array rows and for packed payload rows."""
+    return (F.length("payload") / 2).cast("int") if "payload" in columns else F.size("samples")
+
+
+def contract_reason(columns: list[str], cfg: str = "cfg") -> Column:
     up, down = F.col("up_segment"), F.col("down_segment")
     length = F.col(f"{cfg}.sample_point")
 
@@ -38,7 +43,7 @@ def contract_reason(cfg: str = "cfg") -> Column:
     return first_reason([
         (F.col(cfg).isNotNull(), "no_config"),
         (F.col("channel") == F.col(f"{cfg}.channel"), "channel"),
-        ((F.size("samples") == length) & (F.col("record_length") == length), "sample_count"),
+        ((stored_count(columns) == length) & (F.col("record_length") == length), "sample_count"),
         (valid_segment(up, length), "up_segment"),
         (valid_segment(down, length), "down_segment"),
         (same(up, "up") & same(down, "down"), "segment_config"),
@@ -47,7 +52,7 @@ def contract_reason(cfg: str = "cfg") -> Column:
 
 def check_record_contract(ascans: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split records into those that honour their configuration and rejects with a reason."""
-    tagged = with_config(ascans, config).withColumn("reject_reason", contract_reason()).drop("cfg")
+    tagged = with_config(ascans, config).withColumn("reject_reason", contract_reason(ascans.columns)).drop("cfg")
     return split_by_reason(tagged)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from beamfold.operators.ordered import Series, previous, row_index
+from beamfold.operators.ordered import Series, previous, row_index, running_sum
+from beamfold.session import stage
 
 # Stamps of a batch in processing order, and the nine latencies between pairs of them.
 STAMPS = ("completion_ns", "wakeup_ns", "ownership_ns", "session_ns", "enqueue_ns", "start_ns", "line_done_ns")
@@ -78,57 +79,44 @@ def deadline_misses(latency: DataFrame, *, limit_ms: float = DEADLINE_MS) -> Dat
 def period_ema(batches: DataFrame, *, alpha: float = 0.2, span: int = 1 << 17) -> DataFrame:
     """Moving average of the inter-buffer period, seeded by the first positive period.
 
-    Rows: session_id, sequence, wakeup_ns. The average is a linear fold, so a chunk acts on its
-    entry value as ``decay * entry + gain``; chunks reduce to those two numbers, a per-session pass
-    over them finds every entry value, and each chunk is then folded on its own.
+    Rows: session_id, sequence, wakeup_ns. Rows without a period keep the previous average. The fold
+    ``a = alpha * p + (1 - alpha) * a`` is linear, so a block of periods is a scaled prefix sum plus its
+    decayed entry value. Blocks are long enough for a whole one to decay its entry by 1e-30, so
+    the two blocks before settle an entry value to the last bit and no task folds a whole session.
     """
+    if not 0.0 < alpha < 1.0:
+        raise ValueError("alpha must lie strictly between 0 and 1")
+    keep = 1.0 - alpha
+    block_length = math.ceil(30.0 * math.log(10.0) / -math.log(keep))
     series = Series(("session_id",), ("sequence",), span)
     rows = previous(batches.select("session_id", "sequence", "wakeup_ns"), series, {"_before": "wakeup_ns"})
     advanced = (F.col("_before") != 0) & (F.col("wakeup_ns") > F.col("_before"))
-    rows = rows.withColumn(
-        "period_ms", F.when(advanced, (F.col("wakeup_ns") - F.col("_before")).cast("double") * F.lit(1.0e-6)))
-    rows = rows.withColumn("_c", F.floor(F.col("sequence") / span).cast("long"))
-
-    def folded(values: pd.Series, entry: float | None) -> pd.Series:
-        """The average after each row; rows without a period keep the previous value."""
-        periods = values.dropna()
-        if entry is None or pd.isna(entry):
-            smooth = periods.ewm(alpha=alpha, adjust=False).mean()
-        else:
-            seeded = pd.concat([pd.Series([entry]), periods.reset_index(drop=True)], ignore_index=True)
-            smooth = seeded.ewm(alpha=alpha, adjust=False).mean().iloc[1:].set_axis(periods.index)
-        return smooth.reindex(values.index).ffill().fillna(float("nan") if entry is None else entry)
-
-    def chain(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        entry, out = None, []
-        for row in part.sort_values("_c").itertuples(index=False):
-            out.append((key[0], row[1], entry))
-            if not pd.isna(row.first):
-                entry = row.decay * (row.first if entry is None else entry) + row.gain
-        return pd.DataFrame(out, columns=["session_id", "_c", "entry"]).astype({"entry": "float64"})
-
-    def apply(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sequence").reset_index(drop=True)
-        entry = part["entry"].iloc[0]
-        values = folded(part["period_ms"], None if pd.isna(entry) else float(entry))
-        return pd.DataFrame({"session_id": key[0], "sequence": part["sequence"], "period_ms": part["period_ms"],
-                             "period_ema_ms": values})
-
-    slim = rows.select("session_id", "sequence", "period_ms", "_c")
-    later = Window.partitionBy("session_id", "_c").orderBy("sequence").rowsBetween(1, Window.unboundedFollowing)
-    weighted = slim.where("period_ms is not null").withColumn("_later", F.count("period_ms").over(later))
-    kept = F.lit(1.0 - alpha)
-    summary = weighted.groupBy("session_id", "_c").agg(
-        F.pow(kept, F.count("period_ms")).alias("decay"),
-        F.sum(F.lit(alpha) * F.pow(kept, F.col("_later")) * F.col("period_ms")).alias("gain"),
-        F.min_by("period_ms", "sequence").alias("first"))
-    every_chunk = slim.select("session_id", "_c").distinct()
-    summary = every_chunk.join(summary, ["session_id", "_c"], "left")
-    entries = summary.groupBy("session_id").applyInPandas(chain, "session_id string, _c long, entry double")
-    out = slim.join(entries, ["session_id", "_c"]).groupBy("session_id", "_c").applyInPandas(
-        apply, "session_id string, sequence long, period_ms double, period_ema_ms double")
-    finite = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("period_ms", "period_ema_ms")]
-    out = out.select("session_id", "sequence", *finite)
+    period = F.when(advanced, (F.col("wakeup_ns") - F.col("_before")).cast("double") * F.lit(1.0e-6))
+    rows = rows.select("session_id", "sequence", period.alias("period_ms"))
+    rows = running_sum(rows, series, {"_seen": F.col("period_ms").isNotNull().cast("long")})
+    rows = rows.withColumn("_block", F.floor((F.col("_seen") - 1) / block_length).cast("long"))
+    rows = rows.withColumn("_place", F.pmod(F.col("_seen") - 1, F.lit(block_length)).cast("double"))
+    rows = stage(rows.drop("_seen"), "periods")
+
+    ratio, share = F.lit(keep), F.lit(alpha)
+    gains = rows.where("period_ms is not null").groupBy("session_id", "_block").agg(
+        F.sum(share * F.col("period_ms") * F.pow(ratio, F.lit(block_length - 1.0) - F.col("_place"))).alias("_gain"),
+        F.min_by("period_ms", "sequence").alias("_first"))
+
+    def earlier(back: int) -> DataFrame:
+        return gains.select("session_id", (F.col("_block") + back).alias("_block"), F.col("_gain").alias(f"_gain{back}"),
+                            F.col("_first").alias(f"_first{back}"))
+
+    decay = F.lit(keep ** block_length)
+    before_last = F.coalesce("_gain2", F.when(F.col("_block") == 1, F.col("_first1")))
+    entry = F.when(F.col("_block") == 0, F.col("_first")).otherwise(F.col("_gain1") + decay * before_last)
+    entries = gains.join(earlier(1), ["session_id", "_block"], "left").join(earlier(2), ["session_id", "_block"], "left")
+    entries = entries.select("session_id", "_block", entry.alias("_entry"))
+    inside = Window.partitionBy("session_id", "_block").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    scaled = F.sum(share * F.col("period_ms") * F.pow(ratio, -F.col("_place"))).over(inside)
+    placed = rows.join(entries, ["session_id", "_block"], "left")
+    average = F.pow(ratio, F.col("_place")) * (ratio * F.col("_entry") + scaled)
+    out = placed.select("session_id", "sequence", "period_ms", average.alias("period_ema_ms"))
     return out.withColumn("rate_hz", F.when(F.col("period_ema_ms") > 0, F.lit(1000.0) / F.col("period_ema_ms")))
 
 

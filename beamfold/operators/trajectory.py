@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from beamfold.functions.geometry import index_to_angle, line_to_elevation
 from beamfold.operators.ordered import Series, following, ordinal, previous, row_index
 from beamfold.operators.records import split_by_reason, with_config
+from beamfold.session import stage
 
 # Playback rate and point limit of a scan waveform, range below which an axis is still.
 WAVEFORM_RATE_HZ = 100000.0
@@ -184,7 +185,7 @@ def trajectory_lines(lines: DataFrame, waveform: DataFrame, scan: DataFrame) ->
 
     ``scan`` maps ``waveform_id`` to sweep_rate_hz, sample_rate_hz and bidirectional.
     """
-    markers = marker_table(waveform)
+    markers = stage(marker_table(waveform), "markers")
     counts = markers.groupBy("waveform_id").agg(
         F.max("marker_count").alias("marker_count"), F.max("point_count").alias("point_count"))
     placed = lines.join(scan.join(counts, "waveform_id"), "waveform_id")

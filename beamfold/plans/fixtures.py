@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from beamfold.plans.tables import WIDTH, ascans
 from beamfold.session import new_folder
-from beamfold.sources import recordings as A
+from beamfold.schemas import STANDARD_COORDINATE_FRAME
+from beamfold.sources.recordings import (BLOCK_BYTES, BLOCK_FIELDS, BLOCK_MAGIC, RECORD_FIELDS, RECORD_MAGIC, STREAM_BYTES,
+                                          STREAM_FIELDS, STREAM_MAGIC, TRAJECTORY_FIELDS, V1_RECORD_FIELDS)
 
 BLOCKS_PER_PART = 5
 
@@ -23,8 +25,8 @@ def local(path: str) -> str:
 def block_bytes(version: int, rows: pd.DataFrame) -> bytes:
     """One block (or, for version 1, its records one by one) from A-scan rows of one buffer."""
     count, length = len(rows), len(rows["samples"].iloc[0])
-    fields = A.RECORD_FIELDS + (A.TRAJECTORY_FIELDS if version == 3 else [])
-    records = np.zeros(count, np.dtype(A.V1_RECORD_FIELDS if version == 1 else fields))
+    fields = RECORD_FIELDS + (TRAJECTORY_FIELDS if version == 3 else [])
+    records = np.zeros(count, np.dtype(V1_RECORD_FIELDS if version == 1 else fields))
     records["frame_id"], records["host_timestamp_ns"] = rows["frame_id"], rows["host_timestamp_ns"]
     records["config_revision"], records["flags"] = rows["config_revision"], 0b111
     records["trigger_sequence"], records["x_index"] = rows["frame_id"], rows["record_index_in_buffer"]
@@ -34,13 +36,13 @@ def block_bytes(version: int, rows: pd.DataFrame) -> bytes:
         records["source"], records["calibrated"] = 1, 1
     samples = np.stack(rows["samples"].to_numpy()).astype("<i2")
     if version == 1:
-        records["magic"], records["version"], records["sample_rate_hz"] = A.RECORD_MAGIC, 1, 1e7
+        records["magic"], records["version"], records["sample_rate_hz"] = RECORD_MAGIC, 1, 1e7
         records["record_length"] = records["sample_count"] = length
         records["up_end"], records["down_start"], records["down_end"] = 32, 32, 64
         return b"".join(r.tobytes() + s.tobytes() for r, s in zip(records, samples))
-    head = np.zeros(1, np.dtype(A.BLOCK_FIELDS))
-    head["magic"], head["version"], head["payload_bytes"] = A.BLOCK_MAGIC, version, samples.nbytes
-    head["header_bytes"] = A.BLOCK_BYTES + records.nbytes
+    head = np.zeros(1, np.dtype(BLOCK_FIELDS))
+    head["magic"], head["version"], head["payload_bytes"] = BLOCK_MAGIC, version, samples.nbytes
+    head["header_bytes"] = BLOCK_BYTES + records.nbytes
     head["sequence"], head["completion_ns"] = rows["dma_buffer_sequence"].iloc[0], rows["host_timestamp_ns"].iloc[0]
     head["ownership_ns"] = head["completion_ns"]
     head["record_count"], head["record_length"], head["sample_rate_hz"] = count, length, 1e7
@@ -49,11 +51,11 @@ def block_bytes(version: int, rows: pd.DataFrame) -> bytes:
 
 
 def stream_header(version: int, record_length: int, records_per_buffer: int) -> bytes:
-    head = np.zeros(1, np.dtype(A.STREAM_FIELDS))
-    head["magic"] = next(m for m, v in A.STREAM_MAGIC.items() if v == version)
+    head = np.zeros(1, np.dtype(STREAM_FIELDS))
+    head["magic"] = next(m for m, v in STREAM_MAGIC.items() if v == version)
     head["version"], head["sample_rate_hz"] = version, 1e7
     head["record_length"], head["records_per_buffer"] = record_length, records_per_buffer
-    return head.tobytes()[:A.STREAM_BYTES[version]]
+    return head.tobytes()[:STREAM_BYTES[version]]
 
 
 def write_recordings(spark: SparkSession, sf_dir: str, *, damage: bool = False, gap: bool = False) -> str:
@@ -85,7 +87,7 @@ def write_recordings(spark: SparkSession, sf_dir: str, *, damage: bool = False,
             out.write(data)
         if part == 0:
             with open(f"{folder}/{session}.raw.json", "w") as out:
-                out.write(json.dumps({"session_id": session, "coordinate_frame": A.STANDARD_COORDINATE_FRAME}))
+                out.write(json.dumps({"session_id": session, "coordinate_frame": STANDARD_COORDINATE_FRAME}))
         return pd.DataFrame({"bytes": [len(data)]})
 
     columns = ["session_id", "frame_id", "dma_buffer_sequence", "record_index_in_buffer", "host_timestamp_ns",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from beamfold.operators import packets as H, raster
 from beamfold.plans.catalog import query, r6, sql6, with_ctes
@@ -17,7 +17,7 @@ from beamfold.streaming import reassembly, sinks, stale
 PER_PACKET = 16
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def pack_datagram(frame: pa.Array, stamp: pa.Array, revision: pa.Array, count: pa.Array, index: pa.Array,
                   points: pa.Array) -> pa.Array:
     """Test bytes: what a sender would put on the wire for each packet row."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from beamfold.functions import samples as S
 from beamfold.functions.geometry import to_xyz
+from beamfold.functions.kernels import pack_samples
 from beamfold.functions.signal import (beat_frequency, calibrate, intensity, magnitude_db, range_velocity)
 from beamfold.operators import measure, records as R, spectra as C
 from beamfold.operators.trajectory import stamp_raster
@@ -333,6 +334,13 @@ def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_rows(measure.measure_ascans(stamp_raster(ascans(spark, sf_dir), cfg), cfg))
 
 
+@query("C9_measure_packed", with_ctes(*MEASURE_CTES, select=f"SELECT {MEASURE_COLUMNS} FROM measured"))
+def c9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = config(spark, sf_dir)
+    packed = ascans(spark, sf_dir).withColumn("payload", pack_samples(F.col("samples"))).drop("samples")
+    return measure_rows(measure.measure_ascans(stamp_raster(packed, cfg), cfg))
+
+
 BAD_BUFFERS = f"""bad AS (SELECT session_id, dma_buffer_sequence, count(*) AS bad_records, min({DAMAGE}) AS reject_reason
   FROM ascans WHERE {DAMAGE} <> 'ok' GROUP BY ALL)"""
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from beamfold.functions.kernels import unpack_samples
 from beamfold.operators import raster
+from beamfold.operators.records import stored_count
 from beamfold.plans import fixtures
 from beamfold.plans.catalog import query, r6, sql6, with_ctes
 from beamfold.plans.geometry_queries import (CLOUD_ROWS, DISPLAY, FRAME_CELLS, FULL_LINES, FUSION_CTES, cloud_rows,
@@ -38,6 +40,15 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pos.x_index", "sample_format", weighted().alias("checksum"))
 
 
+@query("A1_read_packed_recordings", with_ctes(ASCANS, select=f"""
+SELECT session_id, frame_id, CAST(64 AS INTEGER) AS stored, {SUM} AS checksum FROM ascans WHERE CAST(substr(session_id, 2) AS INTEGER) % 3 = 0"""))
+def a1_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fixtures.write_recordings(spark, sf_dir)
+    rows, _ = A.read_recordings(spark, folder, packed=True)
+    rows = rows.withColumn("samples", unpack_samples(F.col("payload")))
+    return rows.select("session_id", "frame_id", stored_count(rows.columns).alias("stored"), weighted().alias("checksum"))
+
+
 @query("A1_read_batches", with_ctes(ASCANS, select="""
 SELECT session_id, dma_buffer_sequence AS sequence, count(*) AS record_count, min(host_timestamp_ns) AS completion_ns FROM ascans
 WHERE CAST(substr(session_id, 2) AS INTEGER) % 3 = 0 GROUP BY ALL"""))
@@ -95,7 +106,7 @@ FROM ascans GROUP BY ALL"""))
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "ascans")
     A.write_ascans(ascans(spark, sf_dir), path, split_gb=2e-5)
-    stored = spark.read.parquet(path).withColumn("_file", F.input_file_name())
+    stored = A.read_ascans(spark, path, unpack=True).withColumn("_file", F.col("_metadata.file_path"))
     return stored.groupBy("session_id", "dma_buffer_sequence").agg(
         F.count(F.lit(1)).alias("records"), F.sum(weighted()).alias("checksum"), F.count_distinct("_file").alias("files"))
 

@@ -211,8 +211,7 @@ def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("K2_finite_runs", with_ctes(SERIES, select="""
 SELECT series_id, run, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS length FROM (
-  SELECT *, CAST(sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY idx) AS BIGINT) AS run FROM (
-    SELECT *, value IS NOT NULL AND lag(value) OVER (PARTITION BY series_id ORDER BY idx) IS NULL AS starts FROM series))
+  SELECT *, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY idx) AS BIGINT) AS run FROM series)
 WHERE value IS NOT NULL GROUP BY series_id, run"""))
 def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.finite_runs(user_series(spark, sf_dir), span=300)

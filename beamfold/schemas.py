@@ -56,6 +56,9 @@ ASCANS = T.StructType([
     T.StructField("samples", T.ArrayType(T.ShortType())),
 ])
 
+# The store's form of a record: the same columns with the samples as one little-endian 16-bit payload.
+PACKED_ASCANS = T.StructType([f for f in ASCANS if f.name != "samples"] + [T.StructField("payload", T.BinaryType())])
+
 PEAK = T.StructType([
     T.StructField("discrete_bin", T.IntegerType()),
     T.StructField("peak_bin", T.DoubleType()),

@@ -5,15 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED_CONF = {
     # Let AQE coalesce small shuffles, split skewed joins and pick broadcast by measured size.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # 4992-sample records are ~10 KB each: 2048 rows keep an Arrow batch near 20 MB.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # 4992-sample records are ~10 KB each: 512 rows keep an Arrow batch near 5 MB, inside a core's cache.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # Rows carrying sample payloads: 64 MB splits keep a task's working set small.
     "spark.sql.files.maxPartitionBytes": "67108864",
 }
@@ -41,3 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path, not yet existing, for one written table or one stream's state."""
     return f"{shared_folder(spark).rstrip('/')}/beamfold-{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a narrow intermediate once to the shared folder and read it back.
+
+    Operators that look at the same rows several times stage the few columns they need, so their
+    input is computed once and a lost executor costs a re-read, not a recomputation.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from beamfold.functions.kernels import pack_samples, unpack_samples
 from beamfold.operators.records import first_reason, split_by_reason
-from beamfold.schemas import ASCANS, OFFSET_BINARY_12, SIGNED_INT16, STANDARD_COORDINATE_FRAME
+from beamfold.schemas import ASCANS, PACKED_ASCANS, OFFSET_BINARY_12, SIGNED_INT16, STANDARD_COORDINATE_FRAME
 
 # Fixed values of the raw container (all little-endian).
 STREAM_MAGIC = {b"FMCWRAW1": 1, b"FMCWRAW2": 2, b"FMCWRAW3": 3}
@@ -277,8 +278,8 @@ def _names(codes: np.ndarray, spellings: Sequence[str]) -> pa.Array:
     return pa.DictionaryArray.from_arrays(pa.array(codes), pa.array(spellings)).cast(pa.string())
 
 
-def _record_batch(head: dict, records: np.ndarray, samples: np.ndarray) -> pa.RecordBatch:
-    """Arrow rows of one block, in the ``ASCANS`` layout."""
+def _record_batch(head: dict, records: np.ndarray, samples: np.ndarray, packed: bool) -> pa.RecordBatch:
+    """Arrow rows of one block, in the ``ASCANS`` or ``PACKED_ASCANS`` layout."""
     count, length = len(records), head["record_length"]
     trajectory = "axis" in records.dtype.names
 
@@ -334,14 +335,18 @@ def _record_batch(head: dict, records: np.ndarray, samples: np.ndarray) -> pa.Re
         "post_trigger_samples": same(head["post_trigger"], pa.int64()),
         "up_segment": segment["up"],
         "down_segment": segment["down"],
-        "samples": pa.ListArray.from_arrays(
-            pa.array(np.arange(count + 1, dtype=np.int32) * length), pa.array(samples)),
     }
+    ends = np.arange(count + 1, dtype=np.int32) * length
+    if packed:
+        columns["payload"] = pa.BinaryArray.from_buffers(
+            pa.binary(), count, [None, pa.py_buffer(ends * 2), pa.py_buffer(samples)])
+    else:
+        columns["samples"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(samples))
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def decode_blocks(good: DataFrame) -> DataFrame:
-    """A-scan rows of good blocks; one seek and one read per block."""
+def decode_blocks(good: DataFrame, *, packed: bool = False) -> DataFrame:
+    """A-scan rows of good blocks; one seek and one read per block, the payload never unpacked if ``packed``."""
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {1: V1_RECORD_FIELDS, 2: RECORD_FIELDS, 3: RECORD_FIELDS + TRAJECTORY_FIELDS}
         for batch in batches:
@@ -355,13 +360,14 @@ def decode_blocks(good: DataFrame) -> DataFrame:
                 records = np.frombuffer(
                     raw, np.dtype(tables[head["stream_version"]]), count=head["record_count"], offset=fixed)
                 samples = np.frombuffer(raw, "<i2", offset=int(head["header_bytes"]))
-                yield _record_batch(head, records, samples)
+                yield _record_batch(head, records, samples, packed)
 
-    return good.mapInArrow(decode, ASCANS)
+    return good.mapInArrow(decode, PACKED_ASCANS if packed else ASCANS)
 
 
 def read_recordings(spark: SparkSession, path: str, *, formats: Sequence[str] = ("v1", "v2", "v3"),
-                    sessions: DataFrame | None = None, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
+                    sessions: DataFrame | None = None, packed: bool = False,
+                    task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
     """All recordings below ``path`` as (ascans, batches). Legacy parts need ``sessions`` for their gate."""
     wanted = [int(f[1:]) for f in formats]
     headers = read_stream_headers(list_parts(spark, path))
@@ -376,7 +382,7 @@ def read_recordings(spark: SparkSession, path: str, *, formats: Sequence[str] =
     batches = good.select(
         F.element_at(F.split("stem", "/"), -1).alias("session_id"), "part", "block",
         *[F.col(c).cast("long").alias(c) for c in long_fields], "record_count", "record_length")
-    return decode_blocks(good), batches
+    return decode_blocks(good, packed=packed), batches
 
 
 def write_ascans(ascans: DataFrame, path: str, *, split_gb: float = 4.0) -> None:
@@ -385,11 +391,19 @@ def write_ascans(ascans: DataFrame, path: str, *, split_gb: float = 4.0) -> None
     Rows are ranged by (session, buffer), so a session of any size spreads over many writers and a
     buffer never straddles two files.
     """
-    per_record = F.size("samples").cast("long") * 2 + RECORD_BYTES[3]
-    total = ascans.agg(F.sum(per_record)).first()[0] or 0
+    packed = ascans if "payload" in ascans.columns else ascans.withColumn(
+        "payload", pack_samples(F.col("samples"))).drop("samples")
+    stored = F.length("payload") if "payload" in ascans.columns else F.size("samples") * 2
+    total = ascans.agg(F.sum(stored.cast("long") + RECORD_BYTES[3])).first()[0] or 0
     files = max(1, int(np.ceil(total / (split_gb * 1e9))))
     (
-        ascans.repartitionByRange(files, "session_id", "dma_buffer_sequence")
+        packed.repartitionByRange(files, "session_id", "dma_buffer_sequence")
         .sortWithinPartitions("session_id", "dma_buffer_sequence", "record_index_in_buffer")
         .write.partitionBy("session_id").parquet(path)
     )
+
+
+def read_ascans(spark: SparkSession, path: str, *, unpack: bool = False) -> DataFrame:
+    """Stored A-scans, as packed rows (the form to measure) or with ``samples`` arrays."""
+    rows = spark.read.parquet(path).withColumn("session_id", F.col("session_id").cast("string"))
+    return rows.withColumn("samples", unpack_samples(F.col("payload"))).drop("payload") if unpack else rows

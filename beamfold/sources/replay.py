@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from beamfold.operators.ordered import Series, ordinal, row_index
+from beamfold.operators.ordered import Series, running_sum
 from beamfold.schemas import ASCANS
+from beamfold.session import stage
 
 
 def renumber(ascans: DataFrame, *, loops: int = 1, span: int = 1 << 17) -> DataFrame:
     """Frames from 1 and buffers from 0 per session, record index and count restamped, repeated ``loops`` times."""
-    order = Series(("session_id",), ("dma_buffer_sequence", "record_index_in_buffer"), span)
-    rows = row_index(ascans, order, "_i", total="_records")
-    rows = ordinal(rows, ["session_id"], "dma_buffer_sequence", "_b")
-    sizes = rows.groupBy("session_id", "_b").agg(
-        F.count(F.lit(1)).cast("int").alias("_size"), F.min("_i").alias("_first"))
-    buffers = sizes.groupBy("session_id").agg((F.max("_b") + 1).alias("_buffers"))
-    rows = rows.join(sizes, ["session_id", "_b"]).join(buffers, "session_id")
+    # Numbering needs buffer sizes only; the samples move once, for the rank inside their buffer.
+    buffers = stage(ascans.groupBy("session_id", "dma_buffer_sequence").agg(F.count(F.lit(1)).alias("_size")), "buffers")
+    series = Series(("session_id",), ("dma_buffer_sequence",), span)
+    numbered = running_sum(buffers, series, {"_first": F.col("_size"), "_b": F.lit(1)}, inclusive=False)
+    totals = buffers.groupBy("session_id").agg(F.sum("_size").alias("_records"), F.count(F.lit(1)).alias("_buffers"))
+    heads = numbered.join(totals, "session_id")
+    buffer = Window.partitionBy("session_id", "dma_buffer_sequence").orderBy("record_index_in_buffer")
+    rows = ascans.join(heads, ["session_id", "dma_buffer_sequence"]).withColumn("_i", F.row_number().over(buffer) - 1)
     rows = rows.withColumn("_loop", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(loops - 1).cast("long"))))
     return rows.select(
         *[c for c in ascans.columns if c not in (
             "frame_id", "dma_buffer_sequence", "record_index_in_buffer", "records_in_buffer")],
-        (F.col("_i") + 1 + F.col("_loop") * F.col("_records")).alias("frame_id"),
-        (F.col("_b") + F.col("_loop") * F.col("_buffers")).alias("dma_buffer_sequence"),
-        (F.col("_i") - F.col("_first")).cast("int").alias("record_index_in_buffer"),
-        F.col("_size").alias("records_in_buffer"))
+        (F.col("_first") + F.col("_i") + 1 + F.col("_loop") * F.col("_records")).cast("long").alias("frame_id"),
+        (F.col("_b") + F.col("_loop") * F.col("_buffers")).cast("long").alias("dma_buffer_sequence"),
+        F.col("_i").cast("int").alias("record_index_in_buffer"), F.col("_size").cast("int").alias("records_in_buffer"))
 
 
 def publish_replay(ascans: DataFrame, path: str, *, loops: int = 1, buffers_per_file: int = 200) -> None:
