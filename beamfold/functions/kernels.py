@@ -121,9 +121,12 @@ def _peak_pair_udf(
         flat, starts, lengths = _flat_rows(samples)
         parameters = (fmt, up_start, up_end, down_start, down_end, fft_length, window, dc, invert, first, last,
                       threshold)
+        lengths = np.where(samples.is_null().to_numpy(zero_copy_only=False), 0, lengths)
         columns = [lengths] + [p.to_numpy(zero_copy_only=False) for p in parameters]
         for key, index in _groups(columns, rows):
             width, form, us, ue, ds, de, n, win, remove, negate, k0, k1, floor_db = key
+            if max(ue, de) > width:
+                continue  # rows withheld or too short for their segments stay without a peak
             for side, (a, b, flip) in enumerate(((us, ue, False), (ds, de, bool(negate)))):
                 window_of_side = window_values(win, int(b - a))
                 coherent = max(float(window_of_side.sum()), 1.0)

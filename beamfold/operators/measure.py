@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from beamfold.functions.geometry import to_xyz
 from beamfold.functions.kernels import peak_pair
@@ -70,11 +70,15 @@ def measure_ascans(ascans: DataFrame, config: DataFrame) -> DataFrame:
 def measure_batches(ascans: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Like ``measure_ascans``, but one bad record rejects its whole buffer.
 
-    The reject list is built from header columns and array sizes only, then removed by an
-    anti-join, so the samples again stay where they are when the list is small.
+    The samples are still read once and never shuffle: bad records pass the transform with their
+    payload withheld, and the verdict on a buffer is taken over the scalar rows behind it.
     """
     tagged = tag_records(ascans, config)
-    faults = tagged.where(F.col("reject_reason").isNotNull())
-    rejected = faults.groupBy(*BATCH_KEYS).agg(
+    source = "payload" if "payload" in ascans.columns else "samples"
+    withheld = tagged.withColumn(source, F.when(F.col("reject_reason").isNull(), F.col(source)))
+    buffer = Window.partitionBy(*BATCH_KEYS)
+    judged = with_peaks(withheld).withColumn("_fault", F.max("reject_reason").over(buffer))
+    kept = judged.where(F.col("_fault").isNull()).drop("_fault", "reject_reason")
+    rejected = tagged.where(F.col("reject_reason").isNotNull()).groupBy(*BATCH_KEYS).agg(
         F.count(F.lit(1)).alias("bad_records"), F.min("reject_reason").alias("reject_reason"))
-    return measure_tagged(tagged.join(rejected.select(*BATCH_KEYS), BATCH_KEYS, "left_anti")), rejected
+    return with_measurement(kept).drop("cfg"), rejected

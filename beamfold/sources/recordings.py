@@ -386,24 +386,24 @@ def read_recordings(spark: SparkSession, path: str, *, formats: Sequence[str] =
 
 
 def write_ascans(ascans: DataFrame, path: str, *, split_gb: float = 4.0) -> None:
-    """Parquet partitioned by session, ordered by buffer, files of about ``split_gb`` holding whole buffers.
+    """Parquet by session and part, ordered by buffer; a part holds whole buffers of about ``split_gb``.
 
-    Rows are ranged by (session, buffer), so a session of any size spreads over many writers and a
-    buffer never straddles two files.
+    The part is arithmetic on the buffer number, so one hash shuffle places every part in one
+    task, a session of any size spreads over its parts, and no pass counts or samples the payload.
     """
     packed = ascans if "payload" in ascans.columns else ascans.withColumn(
         "payload", pack_samples(F.col("samples"))).drop("samples")
-    stored = F.length("payload") if "payload" in ascans.columns else F.size("samples") * 2
-    total = ascans.agg(F.sum(stored.cast("long") + RECORD_BYTES[3])).first()[0] or 0
-    files = max(1, int(np.ceil(total / (split_gb * 1e9))))
+    buffer_bytes = F.col("records_in_buffer").cast("double") * (F.col("record_length") * 2 + RECORD_BYTES[3])
+    buffers_per_part = F.greatest(F.floor(F.lit(split_gb * 1e9) / buffer_bytes), F.lit(1))
+    packed = packed.withColumn("part", F.floor(F.col("dma_buffer_sequence") / buffers_per_part).cast("long"))
     (
-        packed.repartitionByRange(files, "session_id", "dma_buffer_sequence")
-        .sortWithinPartitions("session_id", "dma_buffer_sequence", "record_index_in_buffer")
-        .write.partitionBy("session_id").parquet(path)
+        packed.repartition("session_id", "part")
+        .sortWithinPartitions("session_id", "part", "dma_buffer_sequence", "record_index_in_buffer")
+        .write.partitionBy("session_id", "part").parquet(path)
     )
 
 
 def read_ascans(spark: SparkSession, path: str, *, unpack: bool = False) -> DataFrame:
     """Stored A-scans, as packed rows (the form to measure) or with ``samples`` arrays."""
-    rows = spark.read.parquet(path).withColumn("session_id", F.col("session_id").cast("string"))
+    rows = spark.read.parquet(path).withColumn("session_id", F.col("session_id").cast("string")).drop("part")
     return rows.withColumn("samples", unpack_samples(F.col("payload"))).drop("payload") if unpack else rows
