@@ -139,12 +139,13 @@ class FrameAssembly(StatefulProcessor):
 
 
 def reassemble_stream(packets: DataFrame, *, timeout_ms: int = 500, max_inflight: int = 8, max_segments: int = 4096,
-                      max_points: int = 2_000_000, delay: str = "0 seconds") -> DataFrame:
+                      max_points: int = 2_000_000, delay: str = "5 seconds") -> DataFrame:
     """Completed frames and every other outcome of a packet stream, one row each.
 
     Packets: receiver, arrival_ns, the packet header columns, and ``body`` (raw point bytes).
     Arrival is the event time: idle frames expire by the next packet, or by the watermark when
-    none comes. Needs the RocksDB state store (``use_rocksdb``).
+    none comes. ``delay`` is how late a packet may be delivered behind the newest one and still
+    count. Needs the RocksDB state store (``use_rocksdb``).
     """
     if min(timeout_ms, max_inflight, max_segments, max_points) <= 0:
         raise ValueError("limits must be positive")
