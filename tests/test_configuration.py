@@ -9,15 +9,19 @@ def layers(spark, *rows):
     return spark.createDataFrame([("s", *row) for row in rows], LAYERS)
 
 
-def findings(spark, *overrides):
-    config, issues = J.typed_config(J.resolve_config(layers(spark, ("profile", 3, "profile.id", "p"), *[
-        ("profile", 3, path, value) for path, value in overrides])))
-    found = {(r.severity, r.path) for r in J.validate_config(config, J.boards(spark)).collect()}
+def findings(spark, cases):
+    """Rule findings and decode issues of several sessions, each given as its list of overrides."""
+    rows = [(name, "profile", 3, path, value) for name, overrides in cases.items()
+            for path, value in [("profile.id", "p"), *overrides]]
+    config, issues = J.typed_config(J.resolve_config(spark.createDataFrame(rows, LAYERS)))
+    found = {name: set() for name in cases}
+    for r in J.validate_config(config, J.boards(spark)).collect():
+        found[r.session_id].add((r.severity, r.path))
     return found, {(r.path, r.issue) for r in issues.collect()}
 
 
 def test_defaults_are_valid(spark):
-    assert findings(spark) == (set(), set())
+    assert findings(spark, {"s": []}) == ({"s": set()}, set())
 
 
 def test_later_layers_win_and_unknown_keys_block(spark):
@@ -46,14 +50,13 @@ def test_rules_fire(spark):
         ("warning", "storage.raw_enabled"): [("storage.raw_enabled", "true")],
         ("error", "digitizer.pre_trigger_samples"): [("digitizer.pre_trigger_samples", "100"), ("digitizer.post_trigger_samples", "3996")],
     }
-    for expected, overrides in cases.items():
-        found, issues = findings(spark, *overrides)
-        assert found == {expected} and not issues, (expected, found)
+    found, issues = findings(spark, {f"{severity} {path}": overrides for (severity, path), overrides in cases.items()})
+    assert found == {f"{severity} {path}": {(severity, path)} for severity, path in cases} and not issues
 
 
 def test_type_and_range_issues(spark):
-    _, issues = findings(spark, ("digitizer.sample_rate_hz", "fast"), ("udp.target_port", "-1"), ("mcu.enabled", "yes"),
-                         ("processing.fft_backend", "abacus"))
+    _, issues = findings(spark, {"s": [("digitizer.sample_rate_hz", "fast"), ("udp.target_port", "-1"), ("mcu.enabled", "yes"),
+                                       ("processing.fft_backend", "abacus")]})
     assert issues == {("digitizer.sample_rate_hz", "type"), ("udp.target_port", "range"), ("mcu.enabled", "type"),
                       ("processing.fft_backend", "enum")}
 
