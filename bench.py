@@ -1,7 +1,7 @@
 """Time the headline queries on the driver's tables and print one JSON line.
 
 ``full_records`` measures records of the reference workload's size (4992 samples, two 2048-point
-transforms, one record per order) derived from ``orders``; its rate is reported as A-scans per second.
+transforms, two records per customer) derived from ``customer``; its rate is reported as A-scans per second.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import json
 import os
 import sys
 import time
+from functools import reduce
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
@@ -34,6 +35,8 @@ HEADLINE = (
     "K1_envelope", "K2_finite_runs", "K7_nearest_rank_percentile",
 )
 LENGTH, SEGMENT, FFT = 4992, 2048, 2048
+# The written records are scanned this often in one job, so fixed costs do not hide the rate.
+PASSES = 5
 
 
 @F.arrow_udf(T.BinaryType())
@@ -52,20 +55,22 @@ def two_tone_record(key: pa.Array) -> pa.Array:
 
 def full_records(spark: SparkSession) -> tuple[str, int]:
     """Full-size A-scans written once; returns their folder and row count."""
-    place = F.col("o_orderkey") % 5000
-    rows = table(spark, SF_DIR, "orders").repartition(int(CPUS) * 4).select(
+    place = F.col("key") % 5000
+    keys = table(spark, SF_DIR, "customer").select(
+        F.explode(F.array(F.col("c_custkey") * 2, F.col("c_custkey") * 2 + 1)).alias("key"))
+    rows = keys.repartition(int(CPUS) * 4).select(
         (place + 1).alias("frame_id"),
-        F.concat(F.lit("s"), F.floor(F.col("o_orderkey") / 5000).cast("string")).alias("session_id"),
+        F.concat(F.lit("s"), F.floor(F.col("key") / 5000).cast("string")).alias("session_id"),
         F.floor(place / 1000).cast("long").alias("dma_buffer_sequence"),
         (place % 1000).cast("int").alias("record_index_in_buffer"), F.lit(0).cast("long").alias("config_revision"),
         no_position().alias("pos"), F.lit("a").alias("channel"), F.lit(SIGNED_INT16).alias("sample_format"),
         F.lit(1e9).alias("sample_rate_hz"), F.lit(LENGTH).alias("record_length"),
         F.struct(F.lit(0).alias("start"), F.lit(SEGMENT).alias("end_excl")).alias("up_segment"),
         F.struct(F.lit(LENGTH - SEGMENT).alias("start"), F.lit(LENGTH).alias("end_excl")).alias("down_segment"),
-        two_tone_record(F.col("o_orderkey")).alias("payload"))
+        two_tone_record(F.col("key")).alias("payload"))
     path = new_folder(spark, "bench")
     rows.write.parquet(path)
-    return path, spark.read.parquet(path).count()
+    return path, spark.read.parquet(path).count() * PASSES
 
 
 def full_config(spark: SparkSession) -> DataFrame:
@@ -90,8 +95,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
     path, rows = full_records(spark)
-    stored = spark.read.parquet(path)
-    timed(stored.select("frame_id"))  # starts Python-free executors; the measured run below is the first transform
+    stored = reduce(DataFrame.unionByName, [spark.read.parquet(path) for _ in range(PASSES)])
+    timed(measure_ascans(stored, full_config(spark)))  # starts the Python workers and compiles the plan
     seconds["full_records"] = timed(measure_ascans(stored, full_config(spark)))
     catalog = load_catalog()
     only = sys.argv[1:]
