@@ -67,28 +67,35 @@ def mask_invalid(df: DataFrame, cols: Sequence[str], *, valid: str = "measuremen
     return df.withColumns({c: F.when(ok, F.col(c)) for c in cols})
 
 
-def nearest_rank_percentile(df: DataFrame, col: str, q: float, *, keys: Sequence[str] = ()) -> DataFrame:
-    """Exact nearest-rank percentile (rank ceil(q*n), at least 1) of the non-NULL values per key.
+def nearest_rank_percentile(df: DataFrame, col: str, q: float | Sequence[float], *, keys: Sequence[str] = ()) -> DataFrame:
+    """Exact nearest-rank percentiles (rank ceil(q*n), at least 1) of the non-NULL values per key, one row per ``q``.
 
-    Equal values are merged map-side first. A fixed-size quantile sketch then brackets the
-    answer; everything below the bracket is only counted, and the exact rank is taken among the
+    Equal values are merged map-side first. A fixed-size quantile sketch then brackets each
+    answer; everything below a bracket is only counted, and the exact rank is taken among the
     few distinct values inside it. The sketch prunes, it never decides.
     """
-    quantile = min(max(float(q), 0.0), 1.0)
+    quantiles = [min(max(float(one), 0.0), 1.0) for one in ([q] if isinstance(q, (int, float)) else q)]
     keyed = df.where(F.col(col).isNotNull())
     group = list(keys) or ["_all"]
     if not keys:
         keyed = keyed.withColumn("_all", F.lit(0))
     slack = 3.0 / SKETCH_ACCURACY
-    ends = F.percentile_approx(
-        F.col(col), [max(quantile - slack, 0.0), min(quantile + slack, 1.0)], SKETCH_ACCURACY)
-    bracket = keyed.groupBy(*group).agg(ends.alias("_e"), F.count(F.lit(1)).alias("_n"))
+    places = [end for one in quantiles for end in (max(one - slack, 0.0), min(one + slack, 1.0))]
+    bracket = keyed.groupBy(*group).agg(
+        F.percentile_approx(F.col(col), places, SKETCH_ACCURACY).alias("_e"), F.count(F.lit(1)).alias("_n"))
     merged = keyed.groupBy(*group, col).agg(F.count(F.lit(1)).alias("_m")).join(bracket, group)
-    below = F.col(col) < F.col("_e")[0]
-    inside = (F.col(col) >= F.col("_e")[0]) & (F.col(col) <= F.col("_e")[1])
-    base = merged.groupBy(*group).agg(F.coalesce(F.sum(F.when(below, F.col("_m"))), F.lit(0)).alias("_below"))
-    near = merged.where(inside).join(base, group)
-    rank = F.greatest(F.ceil(F.lit(quantile) * F.col("_n")), F.lit(1))
-    running = F.sum("_m").over(Window.partitionBy(*group).orderBy(col)) + F.col("_below")
+    low = [F.col("_e")[2 * i] for i in range(len(quantiles))]
+    high = [F.col("_e")[2 * i + 1] for i in range(len(quantiles))]
+    base = merged.groupBy(*group).agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col(col) < low[i], F.col("_m"))), F.lit(0)) for i in range(len(quantiles))
+    ]).alias("_below"))
+    wanted = F.array_compact(F.array(*[
+        F.when(F.col(col).between(low[i], high[i]), F.struct(F.lit(i).alias("i"), F.lit(one).alias("q")))
+        for i, one in enumerate(quantiles)
+    ]))
+    near = merged.select(*group, col, "_m", "_n", F.explode(wanted).alias("_w")).join(base, group)
+    near = near.select(*group, col, "_m", "_n", "_w.q", F.element_at("_below", F.col("_w.i") + 1).alias("_below"))
+    rank = F.greatest(F.ceil(F.col("q") * F.col("_n")), F.lit(1))
+    running = F.sum("_m").over(Window.partitionBy(*group, "q").orderBy(col)) + F.col("_below")
     reached = near.withColumn("_r", running).where(F.col("_r") >= rank)
-    return reached.groupBy(*group).agg(F.min(col).alias("percentile"), F.max("_n").alias("n")).drop("_all")
+    return reached.groupBy(*group, "q").agg(F.min(col).alias("percentile"), F.max("_n").alias("n")).drop("_all")

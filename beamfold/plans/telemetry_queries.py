@@ -261,8 +261,5 @@ SELECT l_returnflag, CAST(100 * q AS INTEGER) AS q, count(*) AS n,
        {sql6("list_sort(list(l_extendedprice))[CAST(greatest(ceil(q * count(*)), 1) AS INTEGER)]", "percentile")}
 FROM lineitem, (VALUES (0e0), (0.5e0), (0.95e0), (1e0)) AS v(q) GROUP BY l_returnflag, q""")
 def k7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, parts = table(spark, sf_dir, "lineitem"), []
-    for q in (0.0, 0.5, 0.95, 1.0):
-        one = K.nearest_rank_percentile(lines, "l_extendedprice", q, keys=["l_returnflag"])
-        parts.append(one.select("l_returnflag", F.lit(round(100 * q)).alias("q"), "n", r6("percentile").alias("percentile")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    out = K.nearest_rank_percentile(table(spark, sf_dir, "lineitem"), "l_extendedprice", (0.0, 0.5, 0.95, 1.0), keys=["l_returnflag"])
+    return out.select("l_returnflag", F.round(F.col("q") * 100).cast("int").alias("q"), "n", r6("percentile").alias("percentile"))
