@@ -152,9 +152,10 @@ def h5_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table as a file stream."""
+    """One driver table as a file stream with bounded micro-batches."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 8)
+    return reader.parquet(sf_dir)
 
 
 def body_packets(lines: DataFrame) -> DataFrame:

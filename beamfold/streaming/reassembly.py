@@ -3,6 +3,8 @@
 State is bounded by the receiver's own limits: at most ``max_inflight`` partial frames per
 receiver, each at most ``max_points`` points. Capacity and eviction couple a receiver's frames, so
 the receiver is the state key; a receiver is one socket, its rate bounded by one network link.
+A receiver's share of one micro-batch is put into arrival order in memory, so bound the batches by the
+source's rate limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).
 """
 
 from __future__ import annotations
