@@ -273,4 +273,4 @@ def f5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "snapshots")
     frames = waiting_frames(source_stream(spark, sf_dir, "orders"))
     sinks.latest_snapshots(frames, out, by="raster_frame_id").awaitTermination()
-    return sinks.read_latest(spark, out, 0).select("session_id", "raster_frame_id")
+    return sinks.read_latest(spark, out).select("session_id", "raster_frame_id")

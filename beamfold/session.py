@@ -14,6 +14,8 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # 4992-sample records are ~10 KB each: 512 rows keep an Arrow batch near 5 MB, inside a core's cache.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # A vector of 4096 payloads would be 40 MB per column; 256 keep the Parquet reader in cache too.
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
     # Rows carrying sample payloads: 64 MB splits keep a task's working set small.
     "spark.sql.files.maxPartitionBytes": "67108864",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from beamfold.operators.packets import latest_frame_sink, link_statistics
@@ -56,5 +56,8 @@ def latest_snapshots(stream: DataFrame, path: str, *, by: str = "scan_frame_inde
     return _per_batch(stream, write, checkpoint)
 
 
-def read_latest(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}")
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version written by ``latest_snapshots``."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).drop("version")

@@ -143,3 +143,14 @@ def test_stale_stream_keeps_state_between_batches(spark):
         stream = stale.drop_stale_stream(spark.readStream.schema(schema).parquet(f"{folder}/in"), reset_s=2.0)
         sinks.append_table(stream, f"{folder}/out", checkpoint=f"{folder}/state").awaitTermination()
     assert sorted(r.raster_frame_id for r in spark.read.parquet(f"{folder}/out").collect()) == [1, 5, 6]
+
+
+def test_latest_snapshot_versions_carry_over(spark):
+    folder = new_folder(spark, "latest-test")
+    schema = "session_id string, scan_frame_index long, v long"
+    for rows in ([("a", 3, 30), ("b", 1, 10)], [("a", 2, 20), ("b", 4, 40)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        sinks.latest_snapshots(stream, f"{folder}/out", checkpoint=f"{folder}/state").awaitTermination()
+    rows = sinks.read_latest(spark, f"{folder}/out").select("session_id", "scan_frame_index", "v").collect()
+    assert sorted(map(tuple, rows)) == [("a", 3, 30), ("b", 4, 40)]
