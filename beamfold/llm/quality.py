@@ -71,14 +71,16 @@ def _counts(block: W.Block) -> list[np.ndarray]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [_counts(b) for b in W.blocks(batch.column("_text"))]
+        whole = "_text" not in batch.schema.names
+        parts = [_counts(b) for b in W.blocks(batch.column("_row").field("text") if whole else batch.column("_text"))]
         columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)] or [pa.array([], pa.int64())] * len(COUNTS)
         yield pa.RecordBatch.from_arrays([batch.column("_row"), *columns], ["_row", *COUNTS])
 
 
 def measure(documents: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns as struct ``_row``, next to the counts of the whole text."""
-    rows = documents.select(F.struct(*columns).alias("_row"), F.col("text").alias("_text"))
+    text = [] if "text" in columns else [F.col("text").alias("_text")]
+    rows = documents.select(F.struct(*columns).alias("_row"), *text)
     return rows.mapInArrow(_measure, rows.select("_row", *(F.lit(0).cast("long").alias(c) for c in COUNTS)).schema)
 
 
