@@ -5,11 +5,11 @@ cut into bands; classes that share a band meet in a bucket. Candidate pairs comp
 each batch, a pair goes as soon as the posterior probability (uniform prior) that its similarity reaches the threshold is
 below ``miss``. Survivors are verified on their full sets. Components of the verified links give the groups.
 
-Buckets never emit all pairs of a large group. A round compares every entry of a bucket with its pivots only: one at first,
-then 16, 64, ... Jaccard distance is a metric, so an entry linked to a pivot can only have a link to another entry that is no
-farther than twice the threshold distance from that pivot. So linked entries leave the bucket unless such borderline entries
-remain outside the pivot's component; these keep them in as partners. Buckets go when all entries are in one component.
-Rounds end when no bucket is left: each bucket's entries have then all met or been ruled out by the metric.
+Buckets never emit all pairs of a large group. First every entry of a bucket meets only the smallest one, which joins close
+copies into components. Of the buckets that still span components, those of at most ``SMALL`` entries give their pairs of
+different components as rows. Larger ones are cut into blocks of bounded size whose tiles are compared inside tasks, first on
+signatures, then on full sets; a tile gives a spanning forest of its components only, so what comes out grows with the
+entries. No pair of different components in a bucket is left out.
 
 Defined cases: a null or empty text or one without words has an empty set and is linked with nothing; fewer words than a
 shingle are one shingle; equal rows are in one group and share a doc_id, so both are kept; a row without doc_id is linked
@@ -33,6 +33,9 @@ from beamfold.llm.components import components
 from beamfold.session import stage
 
 
+SMALL, BLOCK_SETS, BLOCK_SHINGLES = 24, 512, 400_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """Shingle length, similarity num / den, and the chances of a miss by the bands and by each look of the verification."""
@@ -53,9 +56,6 @@ class Rule:
         return self.bands * self.band_rows
 
 
-FAR, BORDER, LINK = 0, 1, 2
-
-
 def shingle_sets(block: W.Block, n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     w = W.words(block, W.NOT_SPACE)
@@ -113,25 +113,26 @@ def _least_matches(looks: tuple[int, ...], t: float, miss: float) -> tuple[int,
     return tuple(out)
 
 
-def _bayes(rule: Rule):
+def _looks(rule: Rule) -> tuple[tuple[int, ...], tuple[int, ...]]:
     looks = tuple(range(rule.batch, rule.hashes, rule.batch)) + (rule.hashes,)
-    t = rule.num / rule.den
-    link, border = (_least_matches(looks, x, rule.miss) for x in (t, 2 * t - 1))
+    return looks, _least_matches(looks, rule.num / rule.den, rule.miss)
+
 
+def _plausible(x: np.ndarray, y: np.ndarray, rule: Rule) -> np.ndarray:
+    """Places of the signature pairs (rows of x and y) that no look rules out."""
+    live, matches, at = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+    for n, least in zip(*_looks(rule)):
+        matches += (x[live, at:n] == y[live, at:n]).sum(1)
+        keep = matches >= least
+        live, matches, at = live[keep], matches[keep], n
+    return live
+
+
+def _bayes(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, rule.hashes) for c in ("sa", "sb"))
-            status = np.full(len(x), LINK)
-            matches = np.zeros(len(x), np.int64)
-            live, at = np.arange(len(x)), 0
-            for n, a, b in zip(looks, link, border):
-                matches[live] += (x[live, at:n] == y[live, at:n]).sum(1)
-                at = n
-                status[live[matches[live] < a]] = BORDER
-                far = matches[live] < b
-                status[live[far]] = FAR
-                live = live[~far]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(status.astype(np.int32))], ["a", "b", "status"])
+            yield batch.select(["a", "b"]).take(pa.array(_plausible(x, y, rule)))
 
     return run
 
@@ -139,66 +140,131 @@ def _bayes(rule: Rule):
 def _exact(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            status = []
+            links = []
             for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                either = len(x) + len(y) - both
-                status.append(LINK if rule.den * both >= rule.num * either else BORDER if rule.den * both >= (2 * rule.num - rule.den) * either else FAR)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(status, pa.int32())], ["a", "b", "status"])
+                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                links.append(rule.den * both >= rule.num * (len(x) // 8 + len(y) // 8 - both))
+            yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """pairs (a, b) of keys with their status; only pairs that pass the sequential test meet on their full sets."""
+    """The links among pairs (a, b) of keys; only pairs that pass the sequential test meet on their full sets."""
     def beside(p: DataFrame, column: str, *names: str) -> DataFrame:
         for side, name in zip("ab", names):
             p = p.join(sets.select(F.col("key").alias(side), F.col(column).alias(name)), side)
         return p.select("a", "b", *names)
 
-    schema = "a long, b long, status int"
-    looked = stage(beside(pairs, "signature", "sa", "sb").mapInArrow(_bayes(rule), schema), "looked")
-    sure = beside(looked.where(F.col("status") == LINK).select("a", "b"), "shingles", "xa", "xb").mapInArrow(_exact(rule), schema)
-    return stage(looked.where(F.col("status") != LINK).unionAll(sure).distinct(), "verified")
+    looked = stage(beside(pairs, "signature", "sa", "sb").mapInArrow(_bayes(rule), "a long, b long"), "looked")
+    return stage(beside(looked, "shingles", "xa", "xb").mapInArrow(_exact(rule), "a long, b long"), "verified")
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, by incidence matrices over a bounded number of shingles at a time."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat = [np.concatenate(x) for x in (a, b)]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    both = np.intersect1d(*flat)
+    place = []
+    for f, o in zip(flat, owner):
+        at = np.minimum(np.searchsorted(both, f), max(len(both) - 1, 0))
+        known = both[at] == f if len(both) else np.zeros(len(f), bool)
+        order = np.argsort(at[known], kind="stable")
+        place.append((at[known][order], o[known][order]))
+    for start in range(0, len(both), columns):
+        m = []
+        for (at, o), x in zip(place, (a, b)):
+            i, j = np.searchsorted(at, [start, start + columns])
+            dense = np.zeros((len(x), columns), np.float32)
+            dense[o[i:j], at[i:j] - start] = 1
+            m.append(dense)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _tile(rule: Rule):
+    """Links between two blocks of a bucket, as a spanning forest of the tile's components."""
+    import pandas as pd
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        factors = W.series(3, rule.hashes) | np.uint64(1)
+        # Entries of one component stand for each other: a link inside it says nothing new.
+        keys, comps = tile["key"].to_numpy(), tile["comp"].to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in tile["shingles"]]
+        signs = np.stack([np.frombuffer(signature(x, factors), "<u4") for x in sets])
+        ends = tile["side"].to_numpy()
+        left, right = (np.flatnonzero(ends == 0), np.flatnonzero(ends == 1)) if (ends == 1).any() else (np.arange(len(ends)), np.arange(len(ends)))
+        found: list[tuple[int, int]] = []
+        root = {c: c for c in comps.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        size = np.array([len(x) for x in sets])
+        both = None
+        for i, k in enumerate(left):
+            others = right[comps[right] != comps[k]]
+            others = others[_plausible(np.broadcast_to(signs[k], (len(others), rule.hashes)), signs[others], rule)]
+            if not len(others):
+                continue
+            both = shared_counts([sets[x] for x in left], [sets[x] for x in right]) if both is None else both
+            meet = both[i][np.searchsorted(right, others)]
+            for o in others[rule.den * meet >= rule.num * (size[k] + size[others] - meet)].tolist():
+                x, y = top(int(comps[k])), top(int(comps[o]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((int(keys[k]), int(keys[o])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def _with_comp(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return entries.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
-def _links(state: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
-    """Components (key, comp) of all links between entries (band, key, active) that share a band."""
-    links, labels, rounds = None, None, 0
-    while not state.isEmpty():
-        many = 4 ** (rounds + 1) if rounds else 1
-        size = state.where("active").groupBy("band").agg(F.count("*").alias("m"), F.min("key").alias("least"))
-        chosen = F.col("key") == F.col("least")
-        if rounds:
-            chosen |= F.pmod(F.xxhash64("key", F.lit(rounds)), F.ceil(F.col("m") / many)) == 0
-        pivots = state.where("active").join(size, "band").where(chosen).select("band", F.col("key").alias("pivot"))
-        met = stage(state.join(pivots, "band").where("key <> pivot"), "met")
-        pairs = met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        status = verified(pairs, sets, rule)
-        new = status.where(F.col("status") == LINK).select("a", "b")
-        links = new if links is None else links.unionAll(new)
-        labels = components(links)
-
-        judged = met.withColumns({"a": F.least("key", "pivot"), "b": F.greatest("key", "pivot")}).join(status, ["a", "b"]).drop("a", "b")
-        # Before a bucket's entries are told apart: does it still span components?
-        spans = _with_comp(state, labels).groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-        judged = stage(judged.join(spans, "band", "left_semi"), "judged")
-        pivot_comp = labels.select(F.col("key").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        edge = _with_comp(judged.where(F.col("status") == BORDER), labels).join(pivot_comp, "pivot", "left").where(F.col("comp") != F.coalesce("pivot_comp", "pivot"))
-        edge = edge.select("band", "pivot").distinct().withColumn("edge", F.lit(True))
-        fate = judged.join(edge, ["band", "pivot"], "left").groupBy("band", "key", "active").agg(
-            F.max(F.col("status") == LINK).alias("linked"), F.max((F.col("status") == LINK) & F.col("edge").isNull()).alias("free"))
-        rest = fate.join(pivots, (fate.band == pivots.band) & (fate.key == pivots.pivot), "left_anti")
-        rest = rest.where("not active or not free").select("band", "key", (F.col("active") & ~F.col("linked")).alias("active"))
-        live = rest.groupBy("band").agg(F.max("active").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("band")
-        state = stage(rest.join(live, "band", "left_semi"), "state")
-        rounds += 1
-    return labels
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links; only links between components are looked at."""
+    at = links
+    for side in "ab":
+        at = at.join(labels.select(F.col("key").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
+    moved = components(at.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    onto = moved.select(F.col("key").alias("comp"), F.col("comp").alias("to"))
+    old = labels.join(onto, "comp", "left").select("key", F.coalesce("to", "comp").alias("comp"))
+    return stage(old.unionAll(moved.join(labels, "key", "left_anti")), "components")
+
+
+def _links(entries: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Components (key, comp) of all links between entries (band, key) that share a band."""
+    # Each entry against the smallest of its bucket: this settles the buckets of close copies in one pass.
+    least = entries.groupBy("band").agg(F.min("key").alias("a"))
+    stars = entries.join(least, "band").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+    labels = components(verified(stars, sets, rule))
+
+    # Buckets that still span components: all pairs of different components, in small buckets as rows, in large ones by tiles.
+    sizes = sets.select("key", (F.octet_length("shingles") / 8).cast("long").alias("n")).dropDuplicates(["key"])
+    state = _with_comp(entries, labels)
+    spans = state.join(sizes, "key").groupBy("band").agg(
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum("n").alias("n")).where("x <> y")
+    state = stage(state.join(spans.select("band", "m", "n"), "band"), "open")
+    small = state.where(F.col("m") <= SMALL).select("band", "key", "comp")
+    other = small.select("band", F.col("key").alias("b"), F.col("comp").alias("cb"))
+    pairs = small.join(other, "band").where("key < b and comp <> cb").select(F.col("key").alias("a"), "b").distinct()
+    labels = _merged(labels, verified(pairs, sets, rule))
+
+    # A large bucket is cut into blocks of bounded size; a tile holds two of them, so an entry goes to as many tiles as there are blocks.
+    large = _with_comp(state.where(F.col("m") > SMALL).select("band", "key", "m", "n"), labels)
+    still = large.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    cut = large.join(still, "band", "left_semi").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    tiles = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", "key", "comp", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), (F.col("i") > F.col("j")).cast("int").alias("side"))
+    links = tiles.join(sets.select("key", "shingles"), "key").groupBy("band", "p", "q").applyInPandas(_tile(rule), "a long, b long")
+    return _merged(labels, stage(links.distinct(), "tiles"))
 
 
 def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -210,18 +276,14 @@ def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
         F.sequence(F.lit(0), F.lit(rule.bands - 1)),
         lambda b: F.xxhash64(b, F.substr("signature", b * width + 1, F.lit(width))))).alias("band"))
     shared = rows.groupBy("band").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("band")
-    state = stage(rows.join(shared, "band", "left_semi").distinct().withColumn("active", F.lit(True)), "entries")
+    state = stage(rows.join(shared, "band", "left_semi").distinct(), "entries")
 
     classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     wanted = classes.join(state.select("key").distinct(), "key", "left_semi").select(F.col("first").alias("doc_id"))
     sets = stage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sign(rule, True), "key long, signature binary, shingles binary").where("signature is not null"), "sets")
-    labels = _links(state, sets, rule)
-    if labels is None:
-        named = classes.withColumnRenamed("first", "component_id")
-    else:
-        lead = _with_comp(classes, labels)
-        lowest = lead.groupBy("comp").agg(F.min("first").alias("component_id"))
-        named = lead.join(lowest, "comp").select("key", "component_id")
+    lead = _with_comp(classes, _links(state, sets, rule))
+    lowest = lead.groupBy("comp").agg(F.min("first").alias("component_id"))
+    named = lead.join(lowest, "comp").select("key", "component_id")
     found = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(named, "key", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
