@@ -99,13 +99,18 @@ class Words:
         return np.arange(len(self.text)) - self.firsts[self.text]
 
 
-def ranges_hash(block: Block, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Hash of each byte range of the block."""
+def prefix(block: Block, lower: bool = False) -> np.ndarray:
+    """Running hash before each byte of the block."""
     n = len(block.data)
-    power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[block.data] * power[:n], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD)
+    np.cumsum((_BYTE_LOWER if lower else _BYTE)[block.data] * _powers(n + 1)[0][:n], out=total[1:])
+    return total
+
+
+def ranges_hash(block: Block, start: np.ndarray, end: np.ndarray, lower: bool = False, total: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each byte range of the block; total: its prefix(), if at hand."""
+    total = prefix(block, lower) if total is None else total
+    return mix((total[end] - total[start]) * _powers(len(block.data) + 1)[1][start] + (end - start).astype(np.uint64) * _ODD)
 
 
 def words(block: Block, kind: np.ndarray, lower: bool = True) -> Words:
