@@ -14,7 +14,7 @@ Ids come from the tokenizers library. A space between two visible characters alw
 there and each distinct cut of a task's texts is encoded once; texts with runs of white space are cut only at single spaces.
 
 The dictionary is a model fitted on at most ``SAMPLE_DOCUMENTS`` documents of at most ``SAMPLE_BYTES`` bytes, those with the
-smallest hash of their text. Rows of one doc_id are ordered by the hash of their text; a null doc_id comes first. A null or
+smallest hash of their doc_id. Rows of one doc_id are ordered by the hash of their text; a null doc_id comes first. A null or
 empty text has the end id only. Other columns are ignored; an empty table gives no blocks.
 """
 
@@ -24,9 +24,10 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import cache
-from itertools import chain
+from functools import cache, cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from beamfold.session import new_folder
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8192, 64 << 10
 END_ID = 2
 BLOCK_BYTES = 1 << 20
-TABLE = 300_000
+TABLE = 600_000
 GROUP = 128
 LEVEL = 1
 MAGIC = b"TIDS"
@@ -49,6 +50,41 @@ _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _BLOCK = "part int, block int, first_id long, last_id long, n_docs long, n_tokens long, payload binary"
 
 
+class _Table(dict):
+    """What follows a space, up to the next cut -> ids of the space and it; a new entry is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        # The byte-level model's own letters: printable bytes stand for themselves, the others follow from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+    def __missing__(self, text: str) -> bytes:
+        if text.isalpha():  # a space and letters are one pre-token
+            shown = (" " + text).encode().decode("latin-1").translate(self.letters)
+            raw = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        elif text[-1:] in (".", ",") and text[:-1].isalpha():  # so is one mark at the end
+            raw = self[text[:-1]] + self.marks[text[-1]]
+        else:
+            raw = self.whole(" " + text)
+        self[text] = raw
+        return raw
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    @cached_property
+    def marks(self) -> dict[str, bytes]:
+        return {m: self.whole(m) for m in ".,"}
+
+    def trim(self) -> None:
+        """Keep the words met first, which are the common ones."""
+        if len(self) > TABLE:
+            first = dict(islice(self.items(), TABLE // 4))
+            self.clear()
+            self.update(first)
+
+
 class Encoder:
     """Texts to little-endian u32 ids."""
 
@@ -58,12 +94,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        #: What follows a space, up to the next cut -> ids of the space and it.
-        self.known: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.known = _Table(Tokenizer.from_file(path))
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -74,16 +105,12 @@ class Encoder:
         return [first, *(x[1:] for x in rest)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.cut(t) for t in texts]
-        heads = self._raw([c[0] for c in cuts])
-        if len(self.known) > TABLE:
-            self.known.clear()
-        for c in cuts:
-            del c[0]
-        new = list(set(chain.from_iterable(cuts)).difference(self.known))
-        self.known.update(zip(new, self._raw([" " + x for x in new])))
-        known = self.known.__getitem__
-        return [head + b"".join(map(known, c)) for head, c in zip(heads, cuts)]
+        out, known = [], self.known.__getitem__
+        for text in texts:
+            first, *rest = self.cut(text)
+            out.append(self.known.whole(first) + b"".join(map(known, rest)))
+        self.known.trim()
+        return out
 
 
 @cache
@@ -93,8 +120,11 @@ def encoder(path: str) -> Encoder:
 
 def train_dictionary(documents: DataFrame, path: str, end_id: int) -> tuple[bytes, int]:
     """Content of a dictionary, and how many documents it has seen; too few documents to train on are the content themselves."""
-    rows = documents.select("text").where(F.octet_length("text").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCUMENTS).collect()
-    samples = [x + struct.pack("<I", end_id) for x in encoder(path).encode([r[0] for r in rows])]
+    # Only ids are sorted; a few of their texts may be too long for the sample.
+    ids = [r[0] for r in documents.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()]
+    rows = documents.where(F.col("doc_id").isin(ids) & F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "text").collect() if ids else []
+    rows.sort(key=lambda r: (r[0], r[1]))
+    samples = [x + struct.pack("<I", end_id) for x in encoder(path).encode([r[1] for r in rows])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), len(samples)
     except zstandard.ZstdError:
