@@ -41,7 +41,9 @@ NEEDS = {"user": ("S",), "token": ("I",), "endpoint": ("I", "S")}
 
 def _least(pattern: str, group: int, least: int) -> str:
     """The pattern with its open end replaced by a least length: cheap to test before places are worked out."""
-    return pattern[:-2] + "{%d,})" % least if group else pattern[:-1] + "{%d,}" % least
+    if group:
+        return pattern[:-2] + "{%d,})" % least
+    return pattern[:-1] + "{%d,}" % (least - pattern.index("["))  # what stands before the class counts, too
 
 
 #: Texts without any of these hold no exact kind and no secret or identifier, so nothing to report.
