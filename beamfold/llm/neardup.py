@@ -86,13 +86,15 @@ def _sign(rule: Rule, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = W.series(3, rule.hashes) | np.uint64(1)
         for batch in batches:
-            sets = [u for block in W.blocks(batch.column("text")) for u in shingle_sets(block, rule.words)]
-            signs = pa.array([signature(u, factors) if len(u) else None for u in sets], pa.binary())
-            keys = pa.array([set_key(u) for u in sets], pa.int64())
-            if full:
-                yield pa.RecordBatch.from_arrays([keys, signs, pa.array([u.astype("<u8").tobytes() for u in sets], pa.binary())], ["key", "signature", "shingles"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), keys, signs], ["doc_id", "n_shingles", "key", "signature"])
+            for block in W.blocks(batch.column("text")):  # a block at a time: the sets are larger than the texts
+                sets = shingle_sets(block, rule.words)
+                signs = pa.array([signature(u, factors) if len(u) else None for u in sets], pa.binary())
+                keys = pa.array([set_key(u) for u in sets], pa.int64())
+                if full:
+                    yield pa.RecordBatch.from_arrays([keys, signs, pa.array([u.astype("<u8").tobytes() for u in sets], pa.binary())], ["key", "signature", "shingles"])
+                else:
+                    ids = batch.column("doc_id").slice(block.first, block.rows)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([len(u) for u in sets], pa.int64()), keys, signs], ["doc_id", "n_shingles", "key", "signature"])
 
     return run
 
