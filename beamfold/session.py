@@ -27,17 +27,25 @@ def apply_recommended(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Root of the folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    local runs) is a fresh local folder made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session (tests, one machine) may leave it unset and then
+    gets a fresh folder of its own; on a cluster that would be another disk for each executor, so it is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if configured:
+        return configured
+    context = spark.sparkContext
+    master = context.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folders[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

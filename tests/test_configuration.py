@@ -54,6 +54,13 @@ def test_rules_fire(spark):
     assert found == {f"{severity} {path}": {(severity, path)} for severity, path in cases} and not issues
 
 
+def test_addresses(spark):
+    rows = [("1.2.3.4", True), ("255.255.255.255", True), ("0.0.0.0", True), ("01.2.3.4", False), ("1.2.3.004", False), ("1.2.3", False),
+            ("1.2.3.4.", False), ("1.2.3.256", False), ("", False), ("1..3.4", False)]
+    df = spark.createDataFrame(rows, "a string, good boolean")
+    assert df.where(J._ipv4(F.col("a")) != F.col("good")).count() == 0
+
+
 def test_type_and_range_issues(spark):
     _, issues = findings(spark, {"s": [("digitizer.sample_rate_hz", "fast"), ("udp.target_port", "-1"), ("mcu.enabled", "yes"),
                                        ("processing.fft_backend", "abacus")]})
@@ -74,3 +81,19 @@ def test_update_waits_for_the_next_raster(spark):
     updates = spark.createDataFrame([("s", 5, 1), ("s", 72, 2), ("s", 75, 3)], "session_id string, requested_ns long, revision long")
     stamped = {r.frame_id: r.processing_revision for r in J.stamp_processing_revision(buffers, updates, span_ns=25).collect()}
     assert [stamped[i] for i in range(1, 13)] == [1] * 8 + [3] * 4
+
+
+def test_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+    from beamfold.session import shared_folder
+
+    def session(master, configured=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: configured),
+                               sparkContext=SimpleNamespace(master=master, applicationId="a", getCheckpointDir=lambda: None))
+
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077"))
+    assert shared_folder(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
