@@ -49,8 +49,12 @@ def with_measurement(peaked: DataFrame) -> DataFrame:
     )
 
 
+# What the transform cannot do without; a value that did not decode is NULL and rejects the record.
+PARAMETERS = ("fft_length", "window_function", "remove_dc", "invert_down", "peak_start", "peak_end", "threshold_db")
+
+
 def tag_records(ascans: DataFrame, config: DataFrame) -> DataFrame:
-    return with_config(ascans, config).withColumn("reject_reason", contract_reason(ascans.columns))
+    return with_config(ascans, config).withColumn("reject_reason", contract_reason(ascans.columns, parameters=PARAMETERS))
 
 
 def measure_tagged(tagged: DataFrame) -> DataFrame:
@@ -61,8 +65,8 @@ def measure_tagged(tagged: DataFrame) -> DataFrame:
 def measure_ascans(ascans: DataFrame, config: DataFrame) -> DataFrame:
     """Measure every record that honours its configuration; one map-only pass over the samples.
 
-    The payload never shuffles: the configuration is a dimension join and the samples are
-    dropped right behind the transform, so later stages move only scalars.
+    The payload stays in place as long as the configuration is small enough to be sent to it (``with_config``); the samples
+    are dropped right behind the transform, so later stages move only scalars.
     """
     return measure_tagged(tag_records(ascans, config))
 

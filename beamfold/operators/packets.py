@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from beamfold.operators.records import first_reason, split_by_reason
 from beamfold.schemas import PACKET_POINT
@@ -176,6 +176,9 @@ def drop_stale_frames(frames: DataFrame, *, reset_s: float = 2.0, span_s: float
     reset, span = int(reset_s * 1e9), int(span_s * 1e9)
     if span < reset:
         raise ValueError("span_s must be at least reset_s")
+    # Equal rows are told apart by a number, so that each gets its own verdict.
+    same = Window.partitionBy("sender", "arrival_ns", "raster_frame_id").orderBy(F.lit(0))
+    frames = frames.withColumn("_copy", F.row_number().over(same))
     sliced = frames.withColumn("_slice", F.floor(F.col("arrival_ns") / F.lit(span)).cast("long"))
 
     def summarise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -203,14 +206,14 @@ def drop_stale_frames(frames: DataFrame, *, reset_s: float = 2.0, span_s: float
         return pd.DataFrame(entries, columns=["sender", "_slice", "entry_id", "entry_ns"]).astype(
             {"entry_id": "Int64", "entry_ns": "Int64"})
 
-    heads = sliced.select("sender", "_slice", "arrival_ns", "raster_frame_id")
+    heads = sliced.select("sender", "_slice", "arrival_ns", "raster_frame_id", "_copy")
     summary = heads.groupBy("sender", "_slice").applyInPandas(
         summarise, "sender string, _slice long, at long, id long, ns long, leave_id long, leave_ns long")
     entries = summary.groupBy("sender").applyInPandas(
         chain, "sender string, _slice long, entry_id long, entry_ns long")
 
     def replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["arrival_ns", "raster_frame_id"])
+        rows = rows.sort_values(["arrival_ns", "raster_frame_id", "_copy"])
         ids, times = rows["raster_frame_id"].to_numpy(), rows["arrival_ns"].to_numpy()
         entry_id, entry_ns = rows["entry_id"].iloc[0], rows["entry_ns"].iloc[0]
         fresh = np.zeros(len(rows), dtype=bool)
@@ -221,11 +224,11 @@ def drop_stale_frames(frames: DataFrame, *, reset_s: float = 2.0, span_s: float
         while row < len(ids):
             fresh[row] = True
             row = int(following[row])
-        return pd.DataFrame({"sender": key[0], "arrival_ns": times, "raster_frame_id": ids, "stale": ~fresh})
+        return pd.DataFrame({"sender": key[0], "arrival_ns": times, "raster_frame_id": ids, "_copy": rows["_copy"].to_numpy(), "stale": ~fresh})
 
     verdict = heads.join(entries, ["sender", "_slice"]).groupBy("sender", "_slice").applyInPandas(
-        replay, "sender string, arrival_ns long, raster_frame_id long, stale boolean")
-    marked = frames.join(verdict, ["sender", "arrival_ns", "raster_frame_id"])
+        replay, "sender string, arrival_ns long, raster_frame_id long, _copy int, stale boolean")
+    marked = frames.join(verdict, ["sender", "arrival_ns", "raster_frame_id", "_copy"]).drop("_copy")
     return marked if keep_stale else marked.where(~F.col("stale")).drop("stale")
 
 

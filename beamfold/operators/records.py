@@ -9,6 +9,8 @@ from beamfold.functions.signal import window_weight
 
 CONFIG_KEY = "config_revision"
 BATCH_KEYS = ["session_id", "dma_buffer_sequence"]
+# A configuration row has a few hundred bytes, so this bounds what is broadcast to a few megabytes.
+BROADCAST_ROWS = 10_000
 
 
 def first_reason(rules: list[tuple[Column, str]]) -> Column:
@@ -22,9 +24,18 @@ def split_by_reason(tagged: DataFrame, reason: str = "reject_reason") -> tuple[D
 
 
 def with_config(df: DataFrame, config: DataFrame, *, key: str = CONFIG_KEY, alias: str = "cfg") -> DataFrame:
-    """Attach the row's configuration as one struct column (a dimension join; Spark sizes the broadcast)."""
-    fields = [c for c in config.columns if c != key]
-    return df.join(config.select(key, F.struct(*fields).alias(alias)), key, "left")
+    """Attach the row's configuration as one struct column.
+
+    A configuration with a ``session_id`` belongs to that session's revision, as revisions count per session; one without
+    holds for all sessions. It is a few short rows; up to ``BROADCAST_ROWS`` of them, counted first, it is sent to the
+    rows, so that samples stay where they are. A larger one is joined by key.
+    """
+    keys = [k for k in ("session_id", key) if k in config.columns and k in df.columns]
+    fields = [c for c in config.columns if c not in keys]
+    side = config.select(*keys, F.struct(*fields).alias(alias))
+    if config.select(*keys).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return df.join(side, keys, "left")
 
 
 def stored_count(columns: list[str]) -> Column:
@@ -32,7 +43,8 @@ def stored_count(columns: list[str]) -> Column:
     return (F.length("payload") / 2).cast("int") if "payload" in columns else F.size("samples")
 
 
-def contract_reason(columns: list[str], cfg: str = "cfg") -> Column:
+def contract_reason(columns: list[str], cfg: str = "cfg", parameters: tuple[str, ...] = ()) -> Column:
+    """The first rule of the record contract that a row breaks. parameters: configuration values that must be there."""
     up, down = F.col("up_segment"), F.col("down_segment")
     length = F.col(f"{cfg}.sample_point")
 
@@ -47,6 +59,7 @@ def contract_reason(columns: list[str], cfg: str = "cfg") -> Column:
         (valid_segment(up, length), "up_segment"),
         (valid_segment(down, length), "down_segment"),
         (same(up, "up") & same(down, "down"), "segment_config"),
+        *[(F.col(f"{cfg}.{p}").isNotNull(), "incomplete_config") for p in parameters],
     ])
 
 
@@ -156,12 +169,6 @@ def coherent_sum(window: DataFrame) -> DataFrame:
     return window.groupBy("n").agg(F.greatest(F.sum("w"), F.lit(1.0)).alias("coherent"))
 
 
-def coherent_sum_of(function: str, length: Column) -> Column:
-    """Coherent sum as an in-row expression for short segments."""
-    weights = F.transform(F.sequence(F.lit(0), length.cast("int") - 1), lambda i: window_weight(function, i, length))
-    return F.greatest(F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w), F.lit(1.0))
-
-
 def select_record(ascans: DataFrame, record_index: int, *, width: int) -> DataFrame:
     """The operator-selected record of every buffer with its full-scale waveform."""
     chosen = min(record_index, width - 1) if width > 0 else 0

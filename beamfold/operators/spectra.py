@@ -12,8 +12,6 @@ from beamfold.functions.signal import magnitude_db, parabolic_offset
 
 RECORD_KEYS = ("session_id", "frame_id")
 SEGMENT_KEYS = (*RECORD_KEYS, "seg")
-# Above this segment length the in-row transform (length x bins) loses to the Arrow kernel's FFT.
-LONGEST_NATIVE_SEGMENT = 128
 
 
 def native_spectrum_arrays(values: Column, fft_length: int) -> Column:
@@ -31,12 +29,11 @@ def native_spectrum_arrays(values: Column, fft_length: int) -> Column:
     )
 
 
-def spectrum_per_segment(segments: DataFrame, fft_length: int, *, method: str = "auto",
-                         segment_length: int | None = None) -> DataFrame:
-    """Add ``spectrum`` (arrays re, im) to each segment row; segments are zero-padded implicitly."""
-    if method == "auto":
-        short = segment_length is not None and segment_length <= LONGEST_NATIVE_SEGMENT
-        method = "sql" if short else "arrow"
+def spectrum_per_segment(segments: DataFrame, fft_length: int, *, method: str = "arrow") -> DataFrame:
+    """Add ``spectrum`` (arrays re, im) to each segment row; segments are zero-padded implicitly.
+
+    ``arrow`` is the fast transform; ``sql`` the direct one in expressions, for segments of at most a hundred samples or so.
+    """
     if method == "arrow":
         column = spectrum_arrays(F.col("values"), F.lit(fft_length))
     elif method == "sql":
@@ -52,11 +49,9 @@ def explode_spectrum(per_segment: DataFrame) -> DataFrame:
     return per_segment.select(*kept, F.posexplode(pairs).alias("k", "_z")).select(*kept, "k", "_z.re", "_z.im")
 
 
-def spectrum(segments: DataFrame, fft_length: int, *, method: str = "auto",
-             segment_length: int | None = None) -> DataFrame:
+def spectrum(segments: DataFrame, fft_length: int, *, method: str = "arrow") -> DataFrame:
     """Unnormalised real-to-complex bins 0..n/2 of each segment as rows (..., seg, k, re, im)."""
-    return explode_spectrum(
-        spectrum_per_segment(segments, fft_length, method=method, segment_length=segment_length))
+    return explode_spectrum(spectrum_per_segment(segments, fft_length, method=method))
 
 
 def peak_bin_search(spec: DataFrame, *, start: int, end: int, keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
@@ -122,31 +117,6 @@ def peaks_up_down(peaks: DataFrame, *, keys: Sequence[str] = RECORD_KEYS) -> Dat
     ])
 
 
-def native_peak(spec: Column, coherent: Column, first: int, last: int, threshold: Column) -> Column:
-    """Peak struct of one array-form spectrum, in-row (short segments)."""
-    def power_at(k: Column) -> Column:
-        re, im = F.element_at(spec["re"], k + 1), F.element_at(spec["im"], k + 1)
-        return re * re + im * im
-
-    def level_at(k: Column) -> Column:
-        re, im = F.element_at(spec["re"], k + 1), F.element_at(spec["im"], k + 1)
-        return magnitude_db(re, im, coherent)
-
-    powers = F.transform(F.sequence(F.lit(first), F.lit(last)), power_at)
-    best = (F.array_position(powers, F.array_max(powers)) - 1 + first).cast("int")
-    centre = level_at(best)
-    ok = F.coalesce(centre > threshold, F.lit(False))
-    inside = (best > first) & (best < last)
-    left, right = F.when(inside, level_at(best - 1)), F.when(inside, level_at(best + 1))
-    offset = F.coalesce(parabolic_offset(left, centre, right), F.lit(0.0))
-    return F.struct(
-        F.when(ok, best).otherwise(F.lit(-1)).alias("discrete_bin"),
-        F.when(ok, best + offset).alias("peak_bin"),
-        F.when(ok, centre - F.coalesce(F.lit(0.25) * (left - right) * offset, F.lit(0.0))).alias("magnitude_db"),
-        ok.alias("valid"),
-    )
-
-
 def spectra_for_selected(spec: DataFrame, record_index: int) -> DataFrame:
     """Keep spectra of the selected record only; measurements of the others are unaffected."""
     return spec.where(F.col("record_index_in_buffer") == record_index)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from beamfold.operators.clouds import well_formed
+from beamfold.sources.recordings import read_by_session
 
 # Header and column order of the exported table.
 CSV_COLUMNS = {
@@ -19,7 +20,7 @@ def write_clouds(clouds: DataFrame, path: str) -> None:
 
 
 def read_clouds(spark: SparkSession, path: str) -> DataFrame:
-    return well_formed(spark.read.parquet(path).withColumn("session_id", F.col("session_id").cast("string")))
+    return well_formed(read_by_session(spark, path))
 
 
 def csv_rows(points: DataFrame) -> DataFrame:

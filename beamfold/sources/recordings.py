@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from beamfold.functions.kernels import pack_samples, unpack_samples
 from beamfold.operators.records import first_reason, split_by_reason
@@ -403,7 +403,14 @@ def write_ascans(ascans: DataFrame, path: str, *, split_gb: float = 4.0) -> None
     )
 
 
+def read_by_session(spark: SparkSession, path: str) -> DataFrame:
+    """A table partitioned by session, its ids as written: ``007`` is not the number 7."""
+    schema = spark.read.parquet(path).schema
+    schema["session_id"].dataType = T.StringType()
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_ascans(spark: SparkSession, path: str, *, unpack: bool = False) -> DataFrame:
     """Stored A-scans, as packed rows (the form to measure) or with ``samples`` arrays."""
-    rows = spark.read.parquet(path).withColumn("session_id", F.col("session_id").cast("string")).drop("part")
+    rows = read_by_session(spark, path).drop("part")
     return rows.withColumn("samples", unpack_samples(F.col("payload"))).drop("payload") if unpack else rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from beamfold.operators.configuration import nearly
-from beamfold.operators.records import first_reason, split_by_reason
+from beamfold.operators.records import first_reason, split_by_reason, stored_count
 from beamfold.schemas import SESSIONS
 
 
@@ -14,7 +14,9 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     documents = (
         spark.read.schema(SESSIONS).option("multiLine", "true").option("mode", "PERMISSIVE")
         .option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(path))
-    stem = F.regexp_replace(F.col("_metadata.file_path"), r"(\.raw)?\.json$", "")
+    # The path comes percent-encoded; a plus sign in it is one.
+    path_ = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_replace(path_, r"(\.raw)?\.json$", "")
     # File paths come with one or three slashes after the scheme; stems use the short form.
     return documents.withColumn("stem", F.regexp_replace(stem, r"^file:/+", "file:/"))
 
@@ -22,7 +24,7 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 def write_manifest(ascans: DataFrame, clouds: DataFrame | None, path: str | None) -> DataFrame:
     """Per session: blocks, records, frames, sample bytes, first and last stamp, whether anything was written."""
     blocks = ascans.groupBy("session_id", "dma_buffer_sequence").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size("samples").cast("long") * 2).alias("bytes"),
+        F.count(F.lit(1)).alias("n"), F.sum(stored_count(ascans.columns).cast("long") * 2).alias("bytes"),
         F.min("host_timestamp_ns").alias("lo"), F.max("host_timestamp_ns").alias("hi"))
     manifest = blocks.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("blocks_written"), F.sum("n").cast("long").alias("records_written"),

@@ -33,6 +33,7 @@ def read_waveform(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         .unionByName(heads.where(F.col("_ok") & (F.col("_rows") < 3)).select(
             "file", F.col("_first").alias("line"), F.lit("too_few_points").alias("message")))
         .unionByName(rows.where(F.col("_ok") & bad).select("file", "line", F.lit("bad_row").alias("message")))
+        .unionByName(files.where(~F.col("value").rlike(r"\S")).select("file", F.lit(0).alias("line"), F.lit("empty_file").alias("message")))
     )
     clean = rows.join(issues.select("file").distinct(), "file", "left_anti")
     # Blank lines leave holes in line numbers, so points are numbered per file (bounded by one waveform).

@@ -115,14 +115,14 @@ class FrameAssembly(StatefulProcessor):
                 out.append(self._event("evicted", oldest, frames.pop(oldest)[0], now))
             frames[frame] = ({**incoming, "updated_ns": now, "point_count": 0, "renewed": True}, {})
         head, parts = frames[frame]
+        # A packet that is late within the watermark does not shorten the frame's life.
+        head["updated_ns"] = max(head["updated_ns"], now)
         if segment in parts:
-            head["updated_ns"] = now
             out.append(self._event("duplicate", frame, head, now))
         elif head["point_count"] + size > self.max_points:
             out.append(self._event("oversized", frame, frames.pop(frame)[0], now))
         else:
             head["point_count"] += size
-            head["updated_ns"] = now
             parts[segment] = body
             if len(parts) == total:
                 frames.pop(frame)

@@ -139,3 +139,18 @@ def test_samples_do_not_shuffle(spark):
     df = scene(spark)
     plan = measure.measure_ascans(df, cfg)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in plan and "Aggregate" not in plan
+
+
+def test_revisions_belong_to_their_session(spark):
+    cfg = config(spark).withColumn("session_id", F.lit("s0")).unionByName(config(spark, distance_scale=2.0).withColumn("session_id", F.lit("s1")))
+    one = scene(spark, 2)
+    both = one.unionByName(one.withColumn("session_id", F.lit("s1")))
+    found = {(r.session_id, r.frame_id): r.distance_m for r in measure.measure_ascans(both, cfg).collect()}
+    assert len(found) == 4 and all(abs(found["s1", i] - 2 * found["s0", i]) < 1e-9 for i in (1, 2))
+
+
+def test_missing_parameters_reject_the_record(spark):
+    cfg = config(spark).withColumn("fft_length", F.lit(None).cast("long"))
+    measured, rejected = measure.measure_batches(scene(spark, 4), cfg)
+    assert measured.count() == 0 and [r.reject_reason for r in rejected.collect()] == ["incomplete_config"]
+    assert measure.measure_ascans(scene(spark, 4), cfg).count() == 0

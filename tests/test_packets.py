@@ -154,3 +154,10 @@ def test_latest_snapshot_versions_carry_over(spark):
         sinks.latest_snapshots(stream, f"{folder}/out", checkpoint=f"{folder}/state").awaitTermination()
     rows = sinks.read_latest(spark, f"{folder}/out").select("session_id", "scan_frame_index", "v").collect()
     assert sorted(map(tuple, rows)) == [("a", 3, 30), ("b", 4, 40)]
+
+
+def test_equal_frames_are_judged_one_by_one(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 1, 0), ("a", 2, 5), ("a", 2, 5), ("a", 2, 5)], "sender string, raster_frame_id long, arrival_ns long")
+    marked = packets.drop_stale_frames(df, keep_stale=True)
+    assert sorted((r.raster_frame_id, r.stale) for r in marked.collect()) == [(1, False), (1, True), (2, False), (2, True), (2, True)]
+    assert set(packets.drop_stale_frames(df).columns) == set(df.columns) and packets.drop_stale_frames(df).count() == 2

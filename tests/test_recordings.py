@@ -122,3 +122,28 @@ def test_incomplete_clouds_are_not_stored(spark):
     place = os.path.join(folder(), "clouds")
     clouds_io.write_clouds(df, place)
     assert [r.session_id for r in clouds_io.read_clouds(spark, place).collect()] == ["a"]
+
+
+def test_session_ids_stay_text(spark):
+    df = ascans(spark, [ascan_row(i, np.full(64, i, np.int16), up=(0, 32), down=(32, 64), session=s) for i, s in ((1, "007"), (2, "8"))])
+    place = os.path.join(folder(), "store")
+    recordings.write_ascans(df, place)
+    assert {(r.session_id, r.frame_id) for r in recordings.read_ascans(spark, place).collect()} == {("007", 1), ("8", 2)}
+    assert {r.session_id: r.bytes_written for r in sessions.write_manifest(recordings.read_ascans(spark, place), None, None).collect()} == {"007": 128, "8": 128}
+
+
+def test_stems_are_plain_paths(spark):
+    place = os.path.join(folder(), "my dir+1")
+    os.makedirs(place)
+    with open(os.path.join(place, "g.raw.json"), "w") as out:
+        out.write('{"session_id": "g"}')
+    assert sessions.read_sessions(spark, place).first().stem.endswith("/my dir+1/g")
+
+
+def test_blank_waveform_is_an_issue(spark):
+    place = folder()
+    for name, text in {"blank": " \n\n", "good": "sps 10\n1 2 0\n3 4 1\n"}.items():
+        with open(os.path.join(place, f"{name}.txt"), "w") as out:
+            out.write(text)
+    rows, issues = waveforms.read_waveform(spark, place)
+    assert rows.count() == 2 and [(r.line, r.message) for r in issues.collect()] == [(0, "empty_file")]
