@@ -5,8 +5,9 @@
 2. Contexts of the anchors that occur at two places are collapsed by content. A context found twice repeats in all its windows.
 3. Of each anchor with several distinct contexts, all of them meet in one shard, and a suffix order by linear grouping
    (``suffixes``) puts equal windows next to each other; what all contexts of an anchor share around it is one symbol.
-   Neighbours are compared byte by byte. An anchor of more than ``LARGE`` contexts, such as the end of a passage that very
-   many documents share, has its windows grouped by their 64-bit hash instead, so that no task holds it whole.
+   Neighbours are compared byte by byte. An anchor of more than ``LARGE`` contexts (about a megabyte of bytes), such as the end
+   of a passage that very many documents share, has its windows grouped by their 64-bit hash instead, so that no task holds
+   more than that.
 4. Repeating windows are merged into removal spans of each distinct text; equal texts are worked on once.
 
 Hashes have 64 bits; texts and contexts count as equal if these agree.
@@ -33,7 +34,7 @@ from beamfold.llm.suffixes import suffix_order
 from beamfold.session import stage
 
 SPAN, GRAM = 200, 40
-LARGE = 300
+LARGE = 4000
 _PLACE_BITS = 31
 _PLACE = W.series(5, 1)[0] | np.uint64(1)
 
