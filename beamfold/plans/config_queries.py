@@ -166,10 +166,12 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("J5_board_capability_check", with_ctes(*CONFIG_CTES, BOARD_SQL, CHECKED, select="""
-SELECT session_id, known AS board_known, coalesce(rate_ok, false) AND known AS rate_ok, coalesce(record_ok, false) AS record_ok FROM checked"""))
+SELECT session_id, known AS board_known, coalesce(rate_ok, false) AND known AS rate_ok, coalesce(record_ok, false) AS record_ok,
+  known AS input_ok, coalesce(ohms = 50, false) AND known AS impedance_ok, known AS pretrigger_ok, known AS delay_ok FROM checked"""))
 def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = J.board_capability_check(typed(spark, sf_dir)[0], J.boards(spark))
-    return out.select("session_id", "board_known", *[F.coalesce(n, F.lit(False)).alias(n) for n in ("rate_ok", "record_ok")])
+    return out.select("session_id", "board_known", *[F.coalesce(n, F.lit(False)).alias(n) 
+        for n in ("rate_ok", "record_ok", "input_ok", "impedance_ok", "pretrigger_ok", "delay_ok")])
 
 
 @query("J6_nearest_record_length", """

@@ -27,7 +27,7 @@ SUM = "CAST(list_sum(list_transform(samples, lambda s, i: s * i)) AS BIGINT)"
 
 
 @query("A1_read_recordings", with_ctes(ASCANS, select=f"""
-SELECT session_id, frame_id, CASE WHEN CAST(substr(session_id, 2) AS INTEGER) % 3 = 2 THEN (frame_id - 1) % 50 ELSE dma_buffer_sequence END
+SELECT session_id, frame_id, CASE WHEN CAST(substr(session_id, 2) AS INTEGER) % 3 = 2 THEN frame_id - 1 ELSE dma_buffer_sequence END
          AS dma_buffer_sequence,
        CAST(CASE WHEN CAST(substr(session_id, 2) AS INTEGER) % 3 = 2 THEN 0 ELSE record_index_in_buffer END AS INTEGER) AS record_index_in_buffer,
        host_timestamp_ns, config_revision, CAST(record_index_in_buffer AS INTEGER) AS x_index, 'signed_int16' AS sample_format,
@@ -41,20 +41,20 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("A1_read_packed_recordings", with_ctes(ASCANS, select=f"""
-SELECT session_id, frame_id, CAST(64 AS INTEGER) AS stored, {SUM} AS checksum FROM ascans WHERE CAST(substr(session_id, 2) AS INTEGER) % 3 = 0"""))
+SELECT session_id, frame_id, CAST(64 AS INTEGER) AS stored, {SUM} AS checksum FROM ascans"""))
 def a1_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fixtures.write_recordings(spark, sf_dir)
-    rows, _ = A.read_recordings(spark, folder, packed=True)
+    rows, _ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder), packed=True)
     rows = rows.withColumn("samples", unpack_samples(F.col("payload")))
     return rows.select("session_id", "frame_id", stored_count(rows.columns).alias("stored"), weighted().alias("checksum"))
 
 
 @query("A1_read_batches", with_ctes(ASCANS, select="""
-SELECT session_id, dma_buffer_sequence AS sequence, count(*) AS record_count, min(host_timestamp_ns) AS completion_ns FROM ascans
-WHERE CAST(substr(session_id, 2) AS INTEGER) % 3 = 0 GROUP BY ALL"""))
+SELECT session_id, CASE WHEN CAST(substr(session_id, 2) AS INTEGER) % 3 = 2 THEN frame_id - 1 ELSE dma_buffer_sequence END AS sequence,
+  count(*) AS record_count, min(host_timestamp_ns) AS completion_ns FROM ascans GROUP BY ALL"""))
 def a1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fixtures.write_recordings(spark, sf_dir)
-    _, batches = A.read_recordings(spark, folder, formats=("v3",))
+    _, batches = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder))
     return batches.select("session_id", "sequence", "record_count", "completion_ns")
 
 

@@ -172,21 +172,23 @@ def block_stride() -> Column:
 
 
 def block_ranges(headers: DataFrame, *, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """Ranges of whole blocks, about ``task_bytes`` each, spread over one partition per range.
+    """Ranges of whole blocks, about ``task_bytes`` each, dealt evenly to as many partitions.
 
     A trailing remainder counts as one more (truncated) block, so it is reported, not lost.
     """
     start = F.when(F.col("version") == 1, F.lit(STREAM_BYTES[1])).otherwise(F.lit(STREAM_BYTES[3]))
     sized = headers.withColumn("stride", block_stride()).withColumn("first_offset", start)
     blocks = F.ceil((F.col("length") - F.col("first_offset")) / F.col("stride")).cast("long")
-    sized = sized.withColumn("blocks", blocks).where("blocks > 0")
+    # Version 1 has no block numbers: its records are numbered over all parts of the recording.
+    earlier = Window.partitionBy("stem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("blocks", blocks).withColumn("base_block", F.coalesce(F.sum("blocks").over(earlier), F.lit(0))).where("blocks > 0")
     sized = sized.withColumn("per_task", F.greatest(F.lit(1), F.floor(F.lit(task_bytes) / F.col("stride")).cast("long")))
     ranges = sized.withColumn(
         "first_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.col("per_task"))))
     ranges = ranges.withColumn("block_count", F.least(F.col("per_task"), F.col("blocks") - F.col("first_block")))
     # Ranges are tiny rows standing for large reads, so AQE must not merge them by row size.
     tasks = sized.agg(F.sum(F.ceil(F.col("blocks") / F.col("per_task")))).first()[0] or 1
-    return ranges.repartition(int(min(max(tasks, 1), 100000)), "path", "first_block")
+    return ranges.repartition(int(max(tasks, 1)))
 
 
 def scan_blocks(headers: DataFrame, *, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -211,7 +213,7 @@ def scan_blocks(headers: DataFrame, *, task_bytes: int = TASK_BYTES) -> DataFram
                     block["version"], block["record_count"] = 1, 1
                     block["header_bytes"] = RECORD_BYTES[1]
                     block["payload_bytes"] = heads["sample_count"].astype(np.int64) * 2
-                    block["sequence"] = row["first_block"] + np.arange(count)
+                    block["sequence"] = row["base_block"] + row["first_block"] + np.arange(count)
                     block["completion_ns"] = block["ownership_ns"] = heads["host_timestamp_ns"]
                     heads = block
 
@@ -238,7 +240,7 @@ def scan_blocks(headers: DataFrame, *, task_bytes: int = TASK_BYTES) -> DataFram
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     needed = ["path", "stem", "part", "length", "version", "channel", "sample_format", "sample_rate_hz",
-              "record_length", "records_per_buffer", "stride", "first_offset", "first_block", "block_count"]
+              "record_length", "records_per_buffer", "stride", "first_offset", "base_block", "first_block", "block_count"]
     ranges = block_ranges(headers, task_bytes=task_bytes).select(
         *[F.col(c).cast("int") if c == "version" else F.col(c) for c in needed])
     return ranges.mapInArrow(read, BLOCK_SCHEMA)

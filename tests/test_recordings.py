@@ -147,3 +147,14 @@ def test_blank_waveform_is_an_issue(spark):
             out.write(text)
     rows, issues = waveforms.read_waveform(spark, place)
     assert rows.count() == 2 and [(r.line, r.message) for r in issues.collect()] == [(0, "empty_file")]
+
+
+def test_v1_records_are_numbered_over_all_parts(spark):
+    place = folder()
+    part(place, "a.raw.0000.bin", 1, [block(0)])
+    part(place, "a.raw.0001.bin", 1, [block(1), block(2)])
+    with open(os.path.join(place, "a.raw.json"), "w") as out:
+        out.write('{"session_id": "a", "coordinate_frame": "%s"}' % STANDARD_COORDINATE_FRAME)
+    rows, batches = recordings.read_recordings(spark, place, sessions=sessions.read_sessions(spark, place), task_bytes=300)
+    assert sorted((r.dma_buffer_sequence, r.frame_id) for r in rows.collect()) == [(i, i + 1) for i in range(9)]
+    assert sorted(r.sequence for r in batches.collect()) == list(range(9))
