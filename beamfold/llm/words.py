@@ -40,20 +40,22 @@ NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_power = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_LONG = BLOCK + BLOCK // 2
+_kept: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64 for i < n."""
-    global _power, _inverse
-    if len(_power) < n:
-        n = max(n, BLOCK + BLOCK // 2)
-        p = 0x5851F42D4C957F2D
-        _power, _inverse = (
-            np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64))])
-            for x in (p, pow(p, -1, 1 << 64)))
-    return _power, _inverse
+    """p**i and p**-i modulo 2**64 for i < n. Only tables of the usual size are kept, as this module's state can be sent along
+    with a function that uses it."""
+    if n <= _LONG and _kept:
+        return _kept[0]
+    p = 0x5851F42D4C957F2D
+    tables = tuple(
+        np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, _LONG) - 1, x, np.uint64))])
+        for x in (p, pow(p, -1, 1 << 64)))
+    if n <= _LONG:
+        _kept.append(tables)
+    return tables
 
 
 @dataclass
