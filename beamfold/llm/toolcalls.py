@@ -8,9 +8,12 @@ keys). The JSON has sorted keys, no spaces and plain letters.
 
 Defined cases, by status: ``ok``; ``no_result``; ``orphan_result`` (a result without a call, depth null); ``bad_json``;
 ``unknown_tool``; ``invalid`` (with the reasons in ``problems``); ``missing_dependency`` (depth 0); ``cycle`` (depth null). The
-first that applies of cycle, missing_dependency, bad_json, unknown_tool, invalid, no_result counts. Of equal identifiers the
-smallest (turn, content) is kept and ``repeats`` counts the others; a null identifier links with nothing and is left out; an
-empty text is an empty string, a null content is null in the JSON; other columns are ignored; empty tables give no rows.
+first that applies of cycle, missing_dependency, bad_json, unknown_tool, invalid, no_result counts. ``links`` gives a row for
+every distinct call with every distinct result of its identifier, so nothing but wholly equal rows is merged and ``repeats`` is
+0; what comes after an identifier of several calls counts the calls before the smallest (turn, conv_id, after) of them.
+``linked`` is the short view: of equal identifiers the smallest call and result, ``repeats`` counts the others. A null identifier
+links with nothing and is left out; an empty text is an empty string, a null content is null in the JSON; other columns are
+ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -93,16 +96,34 @@ def _written(schemas: dict):
     return run
 
 
+_COLUMNS = "call_id string, conv_id long, turn long, depth long, repeats long, status string, problems string, json string"
+
+
+def _judged(rows: DataFrame, schemas: dict) -> DataFrame:
+    rows = rows.select("call_id", F.col("conv_id").cast("long"), F.col("turn").cast("long"), "depth", "repeats", "name", "arguments", "content",
+                       *(F.coalesce(c, F.lit(False)).alias(c) for c in ("called", "answered", "missing")))
+    return rows.mapInArrow(_written(schemas), _COLUMNS)
+
+
 def linked(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """One row per identifier: conv_id, turn, depth, status, problems, json."""
     first = lambda df, *names: df.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct(*names)).alias("x"), F.count("*").alias("n")).select("call_id", "n", "x.*")
     one = stage(first(calls, "turn", "conv_id", "name", "arguments", "after").withColumn("called", F.lit(True)), "calls")
     answers = first(results, "turn", "content").select("call_id", "content", F.col("n").alias("n_results"), F.lit(True).alias("answered"))
     rows = one.join(depths(one), "call_id").join(answers.hint("shuffle_hash"), "call_id", "full")
-    rows = rows.withColumn("repeats", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)) + F.greatest(F.coalesce("n_results", F.lit(0)) - 1, F.lit(0)))
-    rows = rows.select("call_id", F.col("conv_id").cast("long"), F.col("turn").cast("long"), "depth", "repeats", "name", "arguments", "content",
-                       *(F.coalesce(c, F.lit(False)).alias(c) for c in ("called", "answered", "missing")))
-    return rows.mapInArrow(_written(schemas), "call_id string, conv_id long, turn long, depth long, repeats long, status string, problems string, json string")
+    return _judged(rows.withColumn("repeats", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)) + F.greatest(F.coalesce("n_results", F.lit(0)) - 1, F.lit(0))), schemas)
+
+
+def links(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+    """One row per distinct call and distinct result of an identifier, in the columns of ``linked``."""
+    every = stage(calls.where("call_id is not null").select("call_id", "turn", "conv_id", "name", "arguments", "after").distinct(), "calls")
+    one = every.groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "after")).alias("x")).select("call_id", "x.after")
+    above = depths(one).select(F.col("call_id").alias("after"), F.col("depth").alias("above"), F.lit(True).alias("known"))
+    placed = every.join(above, "after", "left").select(
+        "call_id", "conv_id", "turn", "name", "arguments", F.when(F.col("known"), F.col("above") + 1).otherwise(0).cast("long").alias("depth"),
+        (F.col("after").isNotNull() & F.col("known").isNull()).alias("missing"), F.lit(True).alias("called"))
+    answers = results.where("call_id is not null").select("call_id", "turn", "content").distinct().select("call_id", "content", F.lit(True).alias("answered"))
+    return _judged(placed.join(answers, "call_id", "full").withColumn("repeats", F.lit(0).cast("long")), schemas)
 
 
 _ID = "concat_ws('-', conv_id, {})"
@@ -110,7 +131,7 @@ _ID = "concat_ws('-', conv_id, {})"
 
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """User turns as calls, each after the user turn two turns earlier if there is one; assistant turns as results of the turn
-    before them."""
+    before them; a turn of another role is neither."""
     turns = conversations.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "coalesce(text, '') text").where("conv_id is not null and turn is not null")
     n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     user = turns.where("role = 'user'")
@@ -145,4 +166,4 @@ FROM j
 
 @query("op8_tool_call_linking", SQL_LINKED)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(*turns_as_calls(table(spark, sf_dir, "conversations")))
+    return links(*turns_as_calls(table(spark, sf_dir, "conversations")))

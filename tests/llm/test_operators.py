@@ -269,6 +269,26 @@ def test_tool_calls(spark):
                             spark.createDataFrame([], "call_id string, turn long, content string"), schema).count() == 0
 
 
+def test_tool_calls_of_one_identifier_all_stay(spark, tmp_path):
+    import duckdb
+
+    turns = [(1, 1, "user", "one"), (1, 1, "user", "two"), (1, 1, "user", "two"), (1, 2, "assistant", "x"), (1, 2, "assistant", "y"), (1, 3, "user", "then"),
+             (1, 0, "system", "be kind"), (2, 2, "assistant", "lost"), (2, 2, "assistant", None), (3, 1, "user", ""), (3, None, "user", "no turn")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns = "call_id, conv_id, turn, depth, repeats, status, problems, json"
+    wanted = con.execute(f"SELECT DISTINCT {columns} FROM ({toolcalls.SQL_LINKED})").fetchall()
+    same(got(toolcalls.op8(spark, str(tmp_path)), *columns.split(", ")), wanted)
+    assert sum(w[0] == "1-1" for w in wanted) == 4 and sum(w[0] == "2-1" for w in wanted) == 2
+    calls = [("a", 1, 0, "t", "{}", None), ("b", 1, 1, "t", "{}", "a"), ("b", 1, 2, "t", "{}", "zz"), ("c", 1, 3, "t", "{}", "b"), ("d", 1, 4, "t", "{}", "e"), ("e", 1, 5, "t", "{}", "d"), ("a", 1, 6, "t", "{}", "e")]
+    df = toolcalls.links(spark.createDataFrame(calls, "call_id string, conv_id long, turn long, name string, arguments string, after string"),
+                         spark.createDataFrame([], "call_id string, turn long, content string"), {"t": {}})
+    assert {(r.call_id, r.turn): (r.depth, r.status) for r in df.collect()} == {
+        ("a", 0): (0, "no_result"), ("b", 1): (1, "no_result"), ("b", 2): (0, "missing_dependency"), ("c", 3): (2, "no_result"),
+        ("d", 4): (None, "cycle"), ("e", 5): (None, "cycle"), ("a", 6): (None, "cycle")}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
