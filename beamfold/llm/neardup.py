@@ -12,8 +12,9 @@ signatures, then on full sets; a tile gives a spanning forest of its components
 entries. No pair of different components in a bucket is left out.
 
 Defined cases: a null or empty text or one without words has an empty set and is linked with nothing; fewer words than a
-shingle are one shingle; equal rows are in one group and share a doc_id, so both are kept; a row without doc_id is linked
-only through an equal set; an empty table gives no rows; other columns are kept by ``unique`` and ignored by ``groups``.
+shingle are one shingle; rows are told apart by a number, so a doc_id may repeat or be null. Of a group ``unique`` leaves exactly
+one row, that of the smallest doc_id (null last), then of the smallest row hash; ``groups`` has doc_ids only, so equal rows of one
+doc_id both show as kept. An empty table gives no rows; other columns are kept by ``unique`` and ignored by ``groups``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from beamfold.llm import words as W
 from beamfold.llm.catalog import query, table
@@ -82,7 +83,7 @@ def signature(u: np.ndarray, factors: np.ndarray) -> bytes:
 
 
 def _sign(rule: Rule, full: bool):
-    """doc_id, n_shingles, key, signature; or, if full, key, signature and the set."""
+    """row, tie, doc_id, n_shingles, key, signature; or, if full, key, signature and the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = W.series(3, rule.hashes) | np.uint64(1)
         for batch in batches:
@@ -93,8 +94,8 @@ def _sign(rule: Rule, full: bool):
                 if full:
                     yield pa.RecordBatch.from_arrays([keys, signs, pa.array([u.astype("<u8").tobytes() for u in sets], pa.binary())], ["key", "signature", "shingles"])
                 else:
-                    ids = batch.column("doc_id").slice(block.first, block.rows)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([len(u) for u in sets], pa.int64()), keys, signs], ["doc_id", "n_shingles", "key", "signature"])
+                    ids = [batch.column(c).slice(block.first, block.rows) for c in ("row", "tie", "doc_id")]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array([len(u) for u in sets], pa.int64()), keys, signs], ["row", "tie", "doc_id", "n_shingles", "key", "signature"])
 
     return run
 
@@ -269,10 +270,9 @@ def _links(entries: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return _merged(labels, stage(links.distinct(), "tiles"))
 
 
-def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (it is that document)."""
-    texts = documents.selectExpr("cast(doc_id as long) doc_id", "text")
-    signed = stage(texts.mapInArrow(_sign(rule, False), "doc_id long, n_shingles long, key long, signature binary"), "signed")
+def _decided(texts: DataFrame, rule: Rule) -> DataFrame:
+    """texts: (row, tie, doc_id, text), written. Each row's doc_id, n_shingles, component_id and stands: it stands for its group."""
+    signed = stage(texts.mapInArrow(_sign(rule, False), "row long, tie long, doc_id long, n_shingles long, key long, signature binary"), "signed")
     width = 4 * rule.band_rows
     rows = signed.where("signature is not null").select("key", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(rule.bands - 1)),
@@ -280,21 +280,35 @@ def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     shared = rows.groupBy("band").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("band")
     state = stage(rows.join(shared, "band", "left_semi").distinct(), "entries")
 
-    classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    wanted = classes.join(state.select("key").distinct(), "key", "left_semi").select(F.col("first").alias("doc_id"))
-    sets = stage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sign(rule, True), "key long, signature binary, shingles binary").where("signature is not null"), "sets")
+    classes = signed.where("n_shingles > 0").groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "tie", "row")).alias("first"))
+    wanted = classes.join(state.select("key").distinct(), "key", "left_semi").select("first.row")
+    sets = stage(texts.join(wanted, "row", "left_semi").mapInArrow(_sign(rule, True), "key long, signature binary, shingles binary").where("signature is not null"), "sets")
     lead = _with_comp(classes, _links(state, sets, rule))
-    lowest = lead.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = lead.join(lowest, "comp").select("key", "component_id")
-    found = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(named, "key", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
+    top = lead.groupBy("comp").agg(F.min("first").alias("top"))
+    named = lead.join(top, "comp").select("key", F.col("top.doc_id").alias("component_id"), F.col("top.row").alias("top"))
+    found = signed.select("row", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(named, "key", "left")
+    return found.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+                        (F.col("key").isNull() | (F.col("row") == F.col("top"))).alias("stands"))
+
+
+_ROW = "_neardup_row"
+
+
+def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (it is that document)."""
+    texts = documents.selectExpr("monotonically_increasing_id() row", "xxhash64(text) tie", "cast(doc_id as long) doc_id", "text")
+    return _decided(stage(texts, "numbered"), rule).drop("row", "stands").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def unique(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The documents without those that stand for a group under a smaller doc_id, all their columns."""
-    gone = groups(documents, rule).where("not kept").select("doc_id")
-    return documents.join(stage(gone, "gone"), "doc_id", "left_anti").select(documents.columns)
+    """The documents without those that another one stands for, all their columns."""
+    plain = [f.name for f in documents.schema if isinstance(f.dataType, T.AtomicType)]
+    numbered = stage(documents.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(_ROW).alias("row"), F.xxhash64(*plain).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = _decided(texts, rule).where("not stands").select(F.col("row").alias(_ROW))
+    return numbered.join(stage(gone, "gone"), _ROW, "left_anti").select(documents.columns)
 
 
 @query("op1_minhash_near_dedup")

@@ -93,6 +93,25 @@ def test_rows_repeated_and_without_id(docs, rows):
     same(got(neardup.groups(twice, RULE).where("doc_id is not null").distinct(), "doc_id", "component_id"), [(i, c) for i, (_, c) in plain.groups(rows, 3, 85).items()])
 
 
+def test_one_of_a_group_stays_where_ids_repeat_or_are_null(spark):
+    rng = random.Random(9)
+    base, other, third = (" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(120)) for _ in range(3))
+    near = lambda t, n: t + f" end{n}"
+    cases = [(3, base), (5, near(base, 1)), (5, other), (8, near(other, 2)),  # a shared doc_id, different texts
+             (9, third), (9, third), (9, near(third, 3)), (None, near(third, 4)),  # exact copies under one doc_id
+             (None, "only null ids " + base[::-1]), (None, near("only null ids " + base[::-1], 5)), (None, "alone " + other[::-1]),
+             (None, None), (None, None), (9, "")]
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    kept = got(neardup.unique(df), "doc_id", "text")
+    nulls = [t for i, t in kept if i is None and t and t.startswith("only")]
+    assert len(nulls) == 1
+    nines = [t for i, t in kept if i == 9 and t]
+    assert len(nines) == 1 and nines[0] in (third, near(third, 3))
+    same(kept, [(3, base), (5, other), (9, nines[0]), (None, nulls[0]), (None, "alone " + other[::-1]), (None, None), (None, None), (9, "")])
+    judged = neardup.groups(df).collect()
+    assert len(judged) == len(cases) and {r.component_id for r in judged if r.doc_id is None} == {None, 9}
+
+
 def test_posterior_bound():
     looks = (24, 150)
     for t in (0.8, 0.85):
