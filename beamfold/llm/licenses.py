@@ -3,7 +3,8 @@
 Texts are brought to lower-case words with one space between them, whole blocks of texts at a time. A notice of k allowed
 edits is cut into k + 1 pieces; a place within k edits holds at least one piece unchanged (pigeonhole), so one search for all
 the pieces gives every candidate place. The regex library's bounded-error matching then judges a stretch around each
-candidate, as long as the notice and its edits allow, and gives the best match and its edits.
+candidate by itself, as long as the notice and its edits allow, and gives the best match and its edits. Of matches of a notice
+that overlap the one with the fewest edits counts, then the first; what a stretch has left beside it is judged again.
 
 Edits are counted on the UTF-8 bytes of the normal form; spans are byte ranges of the text as given. A span's score is the
 share of the notice that is unchanged, an exact phrase scores 1, a document the best of its spans, 0 without any.
@@ -14,6 +15,8 @@ crosses documents; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -86,32 +89,53 @@ def normal(block: W.Block) -> tuple[bytes, np.ndarray]:
     return np.insert(out[at], where, 0x0A).tobytes(), np.insert(at, where, ends)
 
 
+def _apart(form: bytes, stretches: set[tuple[int, int]], notice: bytes, k: int, pattern: regex.Pattern) -> Iterator[tuple[int, int, int]]:
+    """Start, end and edits of the matches in the stretches, fewest edits first, none over another."""
+    found: list[tuple[int, int, int, int, int]] = []
+
+    def judge(a: int, b: int) -> None:
+        if b - a < len(notice) - k:
+            return
+        at = form.find(notice, a, b)
+        if at >= 0:
+            heapq.heappush(found, (0, at, at + len(notice), a, b))
+        elif m := pattern.search(form, a, b):
+            heapq.heappush(found, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+    for a, b in stretches:
+        judge(a, b)
+    taken: list[tuple[int, int]] = []
+    while found:
+        edits, start, end, a, b = heapq.heappop(found)
+        i = bisect.bisect_left(taken, (start, end))
+        if not (i and taken[i - 1][1] > start or i < len(taken) and taken[i][0] < end):
+            taken.insert(i, (start, end))
+            yield start, end, edits
+            # A stretch can have room for another match beside this one; places before and behind it are judged again.
+        for x, y in taken[max(bisect.bisect_left(taken, (a, a)) - 1, 0):]:
+            if x >= b:
+                break
+            judge(a, min(x, b))
+            a = max(a, y)
+        judge(a, b)
+
+
 def notices(form: bytes) -> Iterator[tuple[str, int, int, int, int]]:
     """Label, start, end, edits and length of notice for every notice in a normal form."""
     plan, automaton = _plan()
-    places: dict[int, list[int]] = {}
-    for end, hits in automaton.iter(form.decode("latin-1")):
+    places: dict[int, set[tuple[int, int]]] = {}
+    for last, hits in automaton.iter(form.decode("latin-1")):
         for i, offset in hits:
-            places.setdefault(i, []).append(end + 1 - offset)
-    for i, starts in places.items():
+            notice, _, k, _ = plan[i]
+            at = last + 1 - offset
+            # A stretch may go over the end of a text: a match stays in the text of its piece.
+            a, b = max(at - k, 0), min(at + len(notice) + k, len(form))
+            before, behind = form.rfind(b"\n", a, last + 1), form.find(b"\n", last + 1, b)
+            places.setdefault(i, set()).add((max(a, before + 1), behind if behind >= 0 else b))
+    for i, stretches in places.items():
         notice, label, k, pattern = plan[i]
-        near = [(at - k, at + len(notice) + k) for at in starts]
-        reach: list[list[int]] = []
-        for a, b in sorted(near):
-            if reach and a <= reach[-1][1]:
-                reach[-1][1] = max(reach[-1][1], b)
-            else:
-                reach.append([max(a, 0), b])
-        for a, b in reach:
-            # A stretch may hold the end of a text: each text's part is judged by itself.
-            b = min(b, len(form))
-            while a < b:
-                stop = form.find(b"\n", a, b)
-                stop = b if stop < 0 else stop
-                for m in pattern.finditer(form, a, stop):
-                    if m.end() > m.start():
-                        yield label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)
-                a = stop + 1
+        for start, end, edits in _apart(form, stretches, notice, k, pattern):
+            yield label, start, end, edits, len(notice)
 
 
 def _phrase_places(w: W.Words) -> list[tuple[str, np.ndarray]]:

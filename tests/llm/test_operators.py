@@ -272,6 +272,18 @@ def test_licenses(docs, rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_adjacent_notices_all_count(spark):
+    exact, one, two = "released under the mit license", "released under the mit licence", "relased under the mit licence"
+    gnu = "gnu lesser general public license "
+    texts = [f"{one} {exact}", f"{exact} {one} {two} {exact} {two}", " ".join([two, one] * 40), "x", f"{exact}, {exact}", gnu * 3 + "gnu leser general public license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end, s.edits) for s in r.spans if s.label in ("mit", "lgpl")] for r in licenses.scan(df).collect()}
+    assert found[0] == [(0, 30, 1), (31, 61, 0)]
+    assert [e for *_, e in found[1]] == [0, 1, 2, 0, 2]
+    assert [e for *_, e in found[2]] == [2, 1] * 40 and all(a[1] <= b[0] for a, b in zip(found[2], found[2][1:]))
+    assert found[3] == [] and [e for *_, e in found[4]] == [0, 0] and [e for *_, e in found[5]] == [0, 0, 0, 1]
+
+
 def test_tool_calls(spark):
     calls = [("a", 1, 0, "t", '{"q": "x", "n": 2}', None), ("b", 1, 2, "t", '{"n": 9}', "a"), ("c", 1, 4, "u", "{}", "b"), ("d", 1, 6, "t", "{", None), ("e", 1, 8, "t", '{"q":"x"}', "zz"),
              ("f", 2, 0, "t", '{"q":"x"}', "g"), ("g", 2, 1, "t", '{"q":"x"}', "f"), ("a", 1, 3, "t", "{}", None), (None, 1, 1, "t", "{}", None), ("h", 3, 0, "t", '{"q":"é","n":true}', "c")]
