@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("quality", "decontaminate", "licenses", "neardup", "pieces", "tokens", "secrets", "toxicity", "repeats", "toolcalls")
+MODULES = ("quality", "decontaminate", "licenses", "neardup", "pieces", "tokens", "secrets", "toxicity", "repeats", "toolcalls", "collocations", "merkle", "packing")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

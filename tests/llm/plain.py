@@ -143,3 +143,81 @@ def base_secrets(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+def collocations(rows, threshold=100, longest=5, top=2000):
+    """rows: (lang, text)."""
+    n, f = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall("[^\x20\t]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i:i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    many = {g: a for g, a in f.items() if len(g[1]) > 1 and a >= threshold}
+    most = Counter()
+    for (lang, w), a in many.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                most[lang, w[i:i + k]] = max(most[lang, w[i:i + k]], a)
+    out = defaultdict(list)
+    for (lang, w), a in many.items():
+        score, k = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w)))
+        if most[lang, w] < a:
+            out[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return [(lang, rank, p.decode(), -a, left, right, n[lang], -s) for lang in out for rank, (s, a, p, left, right) in enumerate(sorted(out[lang])[:top], 1)]
+
+
+def merkle(rows, fan=16):
+    """rows: (doc_id, source, lang, n_chars, text)."""
+    def leaf(r, text):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (*r[:4], text)))
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([sha("".join(levels[-1][i:i + fan])) for i in range(0, len(levels[-1]), fan)])
+        return levels
+
+    def steps(levels, i):
+        for level in levels[:-1]:
+            first = i // fan * fan
+            yield level[first:i], level[i + 1:first + fan]
+            i //= fan
+
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[1]].append(((r[0] is not None, r[0] or 0), leaf(r, r[4]), r))
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    built = [tree([x[1] for x in sorted(by_source[s], key=lambda x: x[:2])]) for s in sources]
+    top = tree([b[-1][0] for b in built])
+    out = []
+    for j, s in enumerate(sources):
+        for i, (_, own, r) in enumerate(sorted(by_source[s], key=lambda x: x[:2])):
+            path = [*steps(built[j], i), *steps(top, j)]
+            changed = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[4] is not None
+            node = leaf(r, lower(r[4])) if changed else own
+            for before, after in path:
+                node = sha("".join([*before, node, *after]))
+            out.append((r[0], own, built[j][-1][0], top[-1][0], sha("".join(x for p in path for q in p for x in q)), node, node == top[-1][0]))
+    return out
+
+
+def sum_of_squares(sizes, length):
+    """Fill at which each item is placed."""
+    levels, out = [], []
+    for size in sizes:
+        best = None
+        for h in {0, *(x for x in levels if x + size <= length)}:
+            count = Counter(levels)
+            count[h] -= bool(h)
+            count[h + size] += h + size < length
+            rank = (sum(v * v for v in count.values()), -h)
+            best = min(best or (rank, h), (rank, h))
+        h = best[1]
+        out.append(h)
+        if h:
+            levels.remove(h)
+        if h + size < length:
+            levels.append(h + size)
+    return out
