@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from beamfold.functions.frames import densify_frames, fuse_frames
 from beamfold.functions.geometry import POINT_FIELDS, edge_gate, finite_point, point_range
 from beamfold.operators.ordered import Series, previous, running_sum
 from beamfold.session import stage
@@ -24,25 +25,70 @@ def well_formed(clouds: DataFrame) -> DataFrame:
     return clouds.where(F.coalesce(ok, F.lit(False)))
 
 
-def fusion_sessions(clouds: DataFrame, *, span: int = 1 << 15) -> DataFrame:
-    """Add ``fusion_session`` and ``ord`` to well-formed clouds in arrival order.
-
-    History restarts when the frame index does not advance or the geometry or revision changes.
-    Only staged headers are ordered; the point arrays join back by (session, arrival).
-    """
+def _numbered(heads: DataFrame, span: int) -> DataFrame:
+    """(session_id, arrival, fusion_session, ord) of staged frame headers."""
     series = Series(("session_id",), ("arrival",), span)
-    heads = well_formed(clouds).select("session_id", "arrival", "scan_frame_index", "width", "height", "revision")
     watched = ("scan_frame_index", "width", "height", "revision")
-    heads = previous(stage(heads, "cloud-heads"), series, {f"_p_{c}": c for c in watched})
+    heads = previous(heads, series, {f"_p_{c}": c for c in watched})
     changed = F.col("_p_scan_frame_index").isNull() | (F.col("scan_frame_index") <= F.col("_p_scan_frame_index"))
     for name in watched[1:]:
         changed = changed | (F.col(name) != F.col(f"_p_{name}"))
     heads = stage(heads.select("session_id", "arrival", changed.cast("long").alias("_reset")), "cloud-heads")
     # The ordinal is a running count, so both numbers come from one pass.
     heads = running_sum(heads, series, {"fusion_session": F.col("_reset"), "_count": F.lit(1)})
-    heads = heads.withColumn("ord", (F.col("_count") - 1).cast("long"))
-    return well_formed(clouds).join(
-        heads.select("session_id", "arrival", "fusion_session", "ord"), ["session_id", "arrival"])
+    return heads.select("session_id", "arrival", "fusion_session", (F.col("_count") - 1).cast("long").alias("ord"))
+
+
+def fusion_sessions(clouds: DataFrame, *, span: int = 1 << 15) -> DataFrame:
+    """Add ``fusion_session`` and ``ord`` to well-formed clouds in arrival order.
+
+    History restarts when the frame index does not advance or the geometry or revision changes. The clouds are written once;
+    only their headers are ordered, and the two numbers join back by (session, arrival).
+    """
+    clouds = stage(well_formed(clouds), "clouds")
+    heads = clouds.select("session_id", "arrival", "scan_frame_index", "width", "height", "revision")
+    return clouds.join(_numbered(heads, span), ["session_id", "arrival"])
+
+
+def fuse_clouds(clouds: DataFrame, *, history: int = 1) -> DataFrame:
+    """``temporal_fusion`` of whole frames (with fusion_session and ord): ``points`` become fused cells in the same order, with
+    ``source_valid`` and ``temporal_observations``.
+
+    A frame meets the few before it in its own row; one exchange moves whole frames, and medians are taken over all cells at once.
+    """
+    depth = max(1, min(MAXIMUM_HISTORY, history))
+    chunk = F.floor(F.col("ord") / FUSION_CHUNK).cast("long")
+    halo = F.col("ord") % FUSION_CHUNK >= FUSION_CHUNK - (depth - 1)
+    rows = clouds.withColumn("_chunk", F.explode(F.array_compact(F.array(chunk, F.when(halo, chunk + 1)))))
+    window = Window.partitionBy("session_id", "fusion_session", "_chunk").orderBy("ord")
+    frames = F.array_compact(F.array("points", *(F.lag("points", k).over(window) for k in range(1, depth))))
+    rows = rows.withColumn("_frames", frames).where(F.col("_chunk") == chunk)
+    return rows.withColumn("points", fuse_frames("_frames")).drop("_chunk", "_frames")
+
+
+def _point() -> Column:
+    return F.struct(*(F.col(f"_c.{n}").alias(n) for n in (*POINT_FIELDS, "valid"))).alias("point")
+
+
+def fused_cells(fused: DataFrame) -> DataFrame:
+    """Rows of cells of ``fuse_clouds``, as ``temporal_fusion`` gives them."""
+    kept = [c for c in fused.columns if c != "points"]
+    rows = fused.select(*kept, F.posexplode("points").alias("cell", "_c"))
+    return rows.select(
+        *kept, "cell", F.expr("cast(cell div width as int)").alias("y_index"), (F.col("cell") % F.col("width")).cast("int").alias("x_index"), _point(),
+        "_c.source_valid", "_c.temporal_observations")
+
+
+def densify_clouds(fused: DataFrame, *, factor: int = 1) -> DataFrame:
+    """``interpolate_rows`` of the whole frames of ``fuse_clouds``, without an exchange: rows of the cells on display."""
+    steps = interpolation_factor(factor)
+    kept = [c for c in fused.columns if c != "points"]
+    shown = densify_frames(F.col("points"), F.col("width").cast("int"), F.lit(steps))
+    rows = fused.select(*kept, F.explode(shown).alias("_c"))
+    scale = F.when(F.col("height") > 1, F.lit(steps)).otherwise(F.lit(1))
+    return rows.select(
+        *kept, ((F.col("height") - 1) * scale + 1).alias("display_height"), "_c.x_index", "_c.y_index", "_c.display_y", _point(), "_c.source_valid",
+        "_c.temporal_observations", "_c.interpolated")
 
 
 def _median(values: Column) -> Column:

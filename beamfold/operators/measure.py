@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from beamfold.functions.geometry import to_xyz
 from beamfold.functions.kernels import peak_pair
 from beamfold.functions.signal import beat_frequency, calibrate, intensity, range_velocity
-from beamfold.operators.records import BATCH_KEYS, contract_reason, with_config
+from beamfold.operators.records import BATCH_KEYS, batch_faults, contract_reason, with_config
+from beamfold.session import stage
 
 
 def with_peaks(records: DataFrame) -> DataFrame:
@@ -72,17 +73,23 @@ def measure_ascans(ascans: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def measure_batches(ascans: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Like ``measure_ascans``, but one bad record rejects its whole buffer.
+    """Like ``measure_ascans``, but one bad record rejects its whole buffer: (measurements, rejected buffers).
 
-    The samples are still read once and never shuffle: bad records pass the transform with their
-    payload withheld, and the verdict on a buffer is taken over the scalar rows behind it.
+    A buffer is also rejected if it has more records than its configuration's ``records_per_buffer`` (where the configuration has
+    that column), or other ones than its records declare. The samples are read once and never shuffle: bad records pass
+    the transform with their payload withheld, the scalar rows behind it are written once, and the verdict on a buffer and both
+    outputs come from these.
     """
     tagged = tag_records(ascans, config)
     source = "payload" if "payload" in ascans.columns else "samples"
     withheld = tagged.withColumn(source, F.when(F.col("reject_reason").isNull(), F.col(source)))
-    buffer = Window.partitionBy(*BATCH_KEYS)
-    judged = with_peaks(withheld).withColumn("_fault", F.max("reject_reason").over(buffer))
-    kept = judged.where(F.col("_fault").isNull()).drop("_fault", "reject_reason")
-    rejected = tagged.where(F.col("reject_reason").isNotNull()).groupBy(*BATCH_KEYS).agg(
-        F.count(F.lit(1)).alias("bad_records"), F.min("reject_reason").alias("reject_reason"))
+    judged = stage(with_peaks(withheld), "peaks")
+    limit = F.max("cfg.records_per_buffer") if "records_per_buffer" in config.columns else F.lit(None).cast("int")
+    faults = batch_faults(judged).withColumnRenamed("reject_reason", "_batch")
+    verdict = judged.groupBy(*BATCH_KEYS).agg(
+        F.count("reject_reason").alias("bad_records"), F.min("reject_reason").alias("_record"), F.count(F.lit(1)).alias("_n"), limit.alias("_limit"))
+    verdict = verdict.join(faults, BATCH_KEYS, "left").select(*BATCH_KEYS, "bad_records", F.coalesce(
+        F.when(F.col("_n") > F.col("_limit"), F.lit("record_count")), "_batch", "_record").alias("reject_reason"))
+    rejected = verdict.where("reject_reason is not null")
+    kept = judged.drop("reject_reason").join(rejected.select(*BATCH_KEYS), BATCH_KEYS, "left_anti")
     return with_measurement(kept).drop("cfg"), rejected

@@ -22,23 +22,23 @@ MAXIMUM_SEGMENTS = 65535
 FRAME_KEYS = ["sender", "raster_frame_id", "timestamp_ns", "config_revision", "segment_count"]
 
 
-def packetize(frames: DataFrame, *, points_per_packet: int = 256) -> DataFrame:
-    """Cut each frame's points into segments, in-row (no shuffle); an empty frame is one empty segment.
+def packetize(frames: DataFrame, *, points_per_packet: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Cut each frame's points into segments, in-row (no shuffle): (packets, rejects). An empty frame is one empty segment.
 
-    Frames that would need more than 65535 segments are left out; ``unpacketizable`` lists them.
+    ``rejects`` lists, without their points, the frames that would need more than 65535 segments (``segment_count``) and those
+    without a list of points (``points``).
     """
     if not 1 <= points_per_packet <= MAXIMUM_POINTS_PER_PACKET:
         raise ValueError("points_per_packet is outside the packet format's range")
-    counted = _with_segment_count(frames, points_per_packet).where(F.col("segment_count") <= MAXIMUM_SEGMENTS)
-    kept = [c for c in counted.columns if c != "points"]
-    rows = counted.select(
+    tagged = _with_segment_count(frames, points_per_packet).withColumn("reject_reason", first_reason([
+        (F.col("points").isNotNull(), "points"), (F.col("segment_count") <= MAXIMUM_SEGMENTS, "segment_count")]))
+    good, bad = split_by_reason(tagged)
+    kept = [c for c in good.columns if c != "points"]
+    rows = good.select(
         *kept, "points", F.explode(F.sequence(F.lit(0), F.col("segment_count") - 1)).alias("segment_index"))
     part = F.slice("points", F.col("segment_index") * points_per_packet + 1, F.lit(points_per_packet))
-    return rows.select(*kept, "segment_index", part.alias("points")).withColumn("point_count", F.size("points"))
-
-
-def unpacketizable(frames: DataFrame, *, points_per_packet: int = 256) -> DataFrame:
-    return _with_segment_count(frames, points_per_packet).where(F.col("segment_count") > MAXIMUM_SEGMENTS)
+    packets = rows.select(*kept, "segment_index", part.alias("points")).withColumn("point_count", F.size("points"))
+    return packets, bad.withColumn("points_in_frame", F.size("points")).drop("points")
 
 
 def _with_segment_count(frames: DataFrame, points_per_packet: int) -> DataFrame:

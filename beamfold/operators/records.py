@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from beamfold.functions.samples import decode_samples, normalize_samples, slice_segment, valid_segment
 from beamfold.functions.signal import window_weight
+from beamfold.schemas import FULL_CHIRP_PERIOD
 
 CONFIG_KEY = "config_revision"
 BATCH_KEYS = ["session_id", "dma_buffer_sequence"]
@@ -39,7 +40,9 @@ def with_config(df: DataFrame, config: DataFrame, *, key: str = CONFIG_KEY, alia
 
 
 def stored_count(columns: list[str]) -> Column:
-    """Stored samples per record, for array rows and for packed payload rows."""
+    """Stored samples per record, for array rows, packed payload rows and rows that left their samples behind."""
+    if "stored" in columns:
+        return F.col("stored")
     return (F.length("payload") / 2).cast("int") if "payload" in columns else F.size("samples")
 
 
@@ -54,6 +57,7 @@ def contract_reason(columns: list[str], cfg: str = "cfg", parameters: tuple[str,
 
     return first_reason([
         (F.col(cfg).isNotNull(), "no_config"),
+        *([(F.col("frame_kind") == FULL_CHIRP_PERIOD, "frame_kind")] if "frame_kind" in columns else []),
         (F.col("channel") == F.col(f"{cfg}.channel"), "channel"),
         ((stored_count(columns) == length) & (F.col("record_length") == length), "sample_count"),
         (valid_segment(up, length), "up_segment"),

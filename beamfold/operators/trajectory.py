@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from beamfold.functions.geometry import index_to_angle, line_to_elevation
 from beamfold.operators.ordered import Series, following, ordinal, previous, row_index
-from beamfold.operators.records import split_by_reason, with_config
+from beamfold.operators.records import first_reason, split_by_reason, with_config
 from beamfold.session import stage
 
 # Playback rate and point limit of a scan waveform, range below which an axis is still.
@@ -86,19 +86,32 @@ def _point_count(waveform: DataFrame) -> DataFrame:
 
 
 def resample_waveform(waveform: DataFrame, *, src_rate: str = "sample_rate_hz",
-                      dst_rate: float = WAVEFORM_RATE_HZ) -> DataFrame:
-    """Linear x/y and nearest marker at the playback rate; waveforms outside 2..15000 points drop out.
+                      dst_rate: float = WAVEFORM_RATE_HZ) -> tuple[DataFrame, DataFrame]:
+    """Linear x/y and nearest marker at the playback rate, and the waveforms refused: (points, rejects).
+
+    A waveform at the playback rate stays as it is, whatever its length. ``rejects`` has waveform_id, source_points,
+    requested_points and reject_reason: ``sample_rate`` (missing, not finite or not positive; points without one rate) or
+    ``point_count`` (the resampled length is not 2..15000).
 
     Each source row emits the output points that start on it, using only itself and its
     successor, so no join on positions is needed.
     """
+    ratio = F.try_divide(F.lit(float(dst_rate)), F.col(src_rate))
+    rate = F.min(src_rate)
+    counted = waveform.groupBy("waveform_id").agg(
+        (F.max("idx") + 1).cast("long").alias("_n"), rate.alias("_rate"), (F.count(src_rate) < F.count(F.lit(1))) | (rate != F.max(src_rate)))
+    counted = counted.toDF("waveform_id", "_n", "_rate", "_mixed")
+    known = ~F.col("_mixed") & (F.col("_rate") > 0) & (F.col("_rate") < float("inf"))
+    kept_as_is = F.abs(F.col("_rate") - F.lit(float(dst_rate))) < 1.0e-9
+    requested = F.when(kept_as_is, F.col("_n")).otherwise(F.rint(
+        F.try_divide(F.col("_n").cast("double") * F.lit(float(dst_rate)), F.col("_rate")))).cast("long")
+    counted = counted.withColumn("_m", F.when(known, requested)).withColumn("reject_reason", first_reason([
+        (known, "sample_rate"), (kept_as_is | F.col("_m").between(2, WAVEFORM_MAXIMUM_POINTS), "point_count")]))
+    rejects = counted.where("reject_reason is not null").select(
+        "waveform_id", F.col("_n").alias("source_points"), F.col("_m").alias("requested_points"), "reject_reason")
     paired = following(waveform, _waveform_series(), {"_nx": "x", "_ny": "y", "_nm": "trigger"})
-    paired = paired.join(_point_count(waveform), "waveform_id")
-    ratio = F.lit(float(dst_rate)) / F.col(src_rate)
+    paired = paired.join(counted.where("reject_reason is null").select("waveform_id", "_n", "_m"), "waveform_id")
     same = F.abs(F.col(src_rate) - F.lit(float(dst_rate))) < 1.0e-9
-    target = F.when(same, F.col("_n")).otherwise(
-        F.rint(F.col("_n").cast("double") * F.lit(float(dst_rate)) / F.col(src_rate)).cast("long"))
-    paired = paired.withColumn("_m", target).where(F.col("_m").between(2, WAVEFORM_MAXIMUM_POINTS))
     final = F.col("idx") == F.col("_n") - 1
     low = F.greatest(F.floor(F.col("idx") * ratio).cast("long") - 1, F.lit(0))
     high = F.when(final, F.col("_m") - 1).otherwise(
@@ -115,10 +128,11 @@ def resample_waveform(waveform: DataFrame, *, src_rate: str = "sample_rate_hz",
         return F.when(final, F.col(here)).otherwise(F.col(here) + (F.col(there) - F.col(here)) * fraction)
 
     marker = F.when(final | (nearest == F.col("idx")), F.col("trigger")).otherwise(F.col("_nm"))
-    return emitted.select(
+    points = emitted.select(
         "waveform_id", F.col("_t").alias("idx"), blend("x", "_nx").alias("x"), blend("y", "_ny").alias("y"),
         marker.alias("trigger"), marker.alias("logical_trigger"), F.lit(float(dst_rate)).alias("sample_rate_hz"),
     )
+    return points, rejects
 
 
 def rising_edges(series: DataFrame, *, marker: str = "trigger") -> DataFrame:

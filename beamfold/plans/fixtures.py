@@ -7,6 +7,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from beamfold.plans.tables import WIDTH, ascans
@@ -18,10 +19,6 @@ from beamfold.sources.recordings import (BLOCK_BYTES, BLOCK_FIELDS, BLOCK_MAGIC,
 BLOCKS_PER_PART = 5
 
 
-def local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path
-
-
 def block_bytes(version: int, rows: pd.DataFrame) -> bytes:
     """One block (or, for version 1, its records one by one) from A-scan rows of one buffer."""
     count, length = len(rows), len(rows["samples"].iloc[0])
@@ -58,36 +55,50 @@ def stream_header(version: int, record_length: int, records_per_buffer: int) ->
     return head.tobytes()[:STREAM_BYTES[version]]
 
 
-def write_recordings(spark: SparkSession, sf_dir: str, *, damage: bool = False, gap: bool = False) -> str:
-    """Raw parts of five buffers each, one task per part; versions 3, 2, 1 by session number.
+def create(path: str, data: bytes) -> None:
+    """Write a file to the file system that the path names, as any executor may."""
+    uri = path if "://" in path else "file://" + (path[5:] if path.startswith("file:") else path)
+    system, inner = pafs.FileSystem.from_uri(uri)
+    system.create_dir(os.path.dirname(inner), recursive=True)
+    with system.open_output_stream(inner) as out:
+        out.write(data)
+
+
+def write_recordings(spark: SparkSession, sf_dir: str, *, damage: bool = False, gap: bool = False, values: bool = False, alien: bool = False) -> str:
+    """Raw parts of five buffers each, one task per part; versions 3, 2, 1 by session number (3 only, unless the
+    recording is whole or ``alien``).
 
-    ``damage`` spoils some blocks by sequence and cuts the last block of part 0; ``gap`` leaves part 2 of
-    odd sessions unwritten.
+    ``damage`` spoils some block headers by sequence and cuts the last block of part 0; ``values`` spoils record tables and
+    segments by sequence; ``gap`` leaves part 2 of odd sessions unwritten; ``alien`` spoils the stream header of part 3 and
+    gives some sessions a sidecar of another frame, or none. Version 1 has no blocks to spoil.
     """
-    folder = local(new_folder(spark, "recordings"))
-    os.makedirs(folder)
+    folder = new_folder(spark, "recordings")
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         session, part = key
         number = int(session[1:])
-        version = 3 if damage or gap else 3 - number % 3
+        version = 3 if (damage or gap or values) and not alien else 3 - number % 3
         if gap and number % 2 == 1 and part == 2:
             return pd.DataFrame({"bytes": [0]})
         data = stream_header(version, 64, WIDTH)
         for sequence, block in rows.sort_values("record_index_in_buffer").groupby("dma_buffer_sequence", sort=True):
             raw = bytearray(block_bytes(version, block))
-            if damage and sequence % 7 == 3:
-                raw[48:52] = (200000).to_bytes(4, "little")
-            if damage and sequence % 7 == 5:
-                raw[16:24] = (12).to_bytes(8, "little")
+            if version > 1:
+                for wanted, rest, at, value, size in (
+                        (damage, 3, 48, 200000, 4), (damage, 5, 16, 12, 8),  # record count, payload bytes
+                        (values, 2, BLOCK_BYTES, 2**64 - 1, 8), (values, 6, 108, 3_000_000_000, 4),  # frame id, end of the UP segment
+                        (values and version == 3, 1, BLOCK_BYTES + 92, 9, 1), (values and version == 3, 4, BLOCK_BYTES + 56, 2**31, 4)):  # axis, x index
+                    if wanted and sequence % 7 == rest:
+                        raw[at:at + size] = value.to_bytes(size, "little")
             data += bytes(raw)
+        if alien and part == 3:
+            data = b"NOTARAW?" + data[8:]
         if damage and part == 0:
             data = data[:-100]
-        with open(f"{folder}/{session}.raw.{part:04d}.bin", "wb") as out:
-            out.write(data)
-        if part == 0:
-            with open(f"{folder}/{session}.raw.json", "w") as out:
-                out.write(json.dumps({"session_id": session, "coordinate_frame": STANDARD_COORDINATE_FRAME}))
+        create(f"{folder}/{session}.raw.{part:04d}.bin", data)
+        if part == 0 and not (alien and number % 4 == 2):
+            frame = "camera" if alien and number % 4 == 1 else STANDARD_COORDINATE_FRAME
+            create(f"{folder}/{session}.raw.json", json.dumps({"session_id": session, "coordinate_frame": frame}).encode())
         return pd.DataFrame({"bytes": [len(data)]})
 
     columns = ["session_id", "frame_id", "dma_buffer_sequence", "record_index_in_buffer", "host_timestamp_ns",
@@ -103,9 +114,7 @@ def write_documents(df: DataFrame, folder: str, name: str, text: str) -> None:
     def write(batches):
         for batch in batches:
             for file, content in zip(batch[name], batch[text]):
-                with open(f"{folder}/{file}", "w") as out:
-                    out.write(content)
+                create(f"{folder}/{file}", content.encode())
             yield pd.DataFrame({"n": [len(batch)]})
 
-    os.makedirs(folder)
     df.select(name, text).mapInPandas(write, "n long").agg(F.sum("n")).first()

@@ -94,10 +94,24 @@ FROM placed_grid g JOIN waveforms a ON a.waveform_id = g.waveform_id AND a.idx =
 JOIN waveforms b ON b.waveform_id = g.waveform_id AND b.idx = upper_idx
 JOIN waveforms m ON m.waveform_id = g.waveform_id AND m.idx = marker_idx"""))
 def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.resample_waveform(waveforms(spark, sf_dir))
+    out, _ = E.resample_waveform(waveforms(spark, sf_dir))
     return out.select("waveform_id", "idx", r6("x").alias("x"), r6("y").alias("y"), "trigger")
 
 
+@query("E4_rejects", with_ctes(WAVEFORMS, """rated AS (SELECT waveform_id, n, CASE CAST(waveform_id AS INTEGER) % 6 WHEN 1 THEN rate * 1e5 WHEN 2 THEN rate / 1e4 WHEN 3 THEN 0e0
+    WHEN 4 THEN NULL WHEN 5 THEN 1e5 ELSE rate END AS rate
+  FROM (SELECT waveform_id, count(*) AS n, min(sample_rate_hz) AS rate FROM waveforms GROUP BY waveform_id)),
+judged AS (SELECT *, CASE WHEN rate > 0 THEN CAST(round_even(n * 1e5 / rate, 0) AS BIGINT) END AS m FROM rated)""", select="""
+SELECT waveform_id, n AS source_points, m AS requested_points, CASE WHEN m IS NULL THEN 'sample_rate' ELSE 'point_count' END AS reject_reason
+FROM judged WHERE m IS NULL OR (rate <> 1e5 AND m NOT BETWEEN 2 AND 15000)"""))
+def e4_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Rates that are too high, too low, zero or missing, by the waveform's number.
+    k, rate = F.col("waveform_id").cast("int") % 6, F.col("sample_rate_hz")
+    spoiled = F.when(k == 1, rate * 1e5).when(k == 2, rate / 1e4).when(k == 3, F.lit(0.0)).when(
+        k == 4, F.lit(None).cast("double")).when(k == 5, F.lit(1e5)).otherwise(rate)
+    return E.resample_waveform(waveforms(spark, sf_dir).withColumn("sample_rate_hz", spoiled))[1]
+
+
 @query("E5_rising_edges", with_ctes(WAVEFORMS, EDGES, select="SELECT waveform_id, idx, edge FROM edges"))
 def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.rising_edges(waveforms(spark, sf_dir)).select("waveform_id", "idx", "edge")
@@ -349,9 +363,12 @@ FUSION_CTES = (CELLS, FULL_LINES, FRAME_CELLS, FUSION, FUSED)
 POINT_NUMBERS = ("x", "y", "z", "intensity", "velocity", "scan_x", "scan_y")
 
 
+def fused_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.fuse_clouds(G.fusion_sessions(arriving_clouds(spark, sf_dir), span=32), history=3)
+
+
 def fused_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unfolded = raster.unfold_cloud(G.fusion_sessions(arriving_clouds(spark, sf_dir), span=32))
-    return G.temporal_fusion(unfolded, history=3)
+    return G.fused_cells(fused_clouds(spark, sf_dir))
 
 
 @query("G1_finite_points", with_ctes(CELLS, select="SELECT session_id, frame_id FROM cells WHERE shown AND o_custkey % 9 <> 0"))
@@ -394,7 +411,7 @@ display AS (
 
 
 def display_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.interpolate_rows(fused_cells(spark, sf_dir), factor=4)
+    return G.densify_clouds(fused_clouds(spark, sf_dir), factor=4)
 
 
 @query("G4_interpolate_rows", with_ctes(*FUSION_CTES, DISPLAY, select=f"""

@@ -31,7 +31,7 @@ def pack_datagram(frame: pa.Array, stamp: pa.Array, revision: pa.Array, count: p
 
 def frame_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, _ = raster.raster_frames_by_id(cells(spark, sf_dir), WIDTH, HEIGHT)
-    return H.packetize(frames, points_per_packet=PER_PACKET)
+    return H.packetize(frames, points_per_packet=PER_PACKET)[0]
 
 
 PACKETS = f"""shown_points AS (
@@ -60,6 +60,18 @@ def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id", "raster_frame_id", "segment_index", "segment_count", "point_count", r6(total("points", "x")).alias("x_sum"))
 
 
+@query("H1_rejects", """
+SELECT s_suppkey AS raster_frame_id, CASE WHEN s_suppkey % 11 <> 5 THEN CAST(s_suppkey % 7 * 20000 AS INTEGER) END AS points_in_frame,
+       CASE WHEN s_suppkey % 11 = 5 THEN 'points' ELSE 'segment_count' END AS reject_reason
+FROM supplier WHERE s_suppkey % 11 = 5 OR s_suppkey % 7 > 3""")
+def h1_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Up to 120,000 points of one supplier's balance a frame, none, or no list at all.
+    k = F.col("s_suppkey")
+    points = F.when(k % 11 != 5, F.array_repeat(F.struct(F.col("s_acctbal").cast("double").alias("x")), (k % 7 * 20000).cast("int")))
+    frames = table(spark, sf_dir, "supplier").select(k.alias("raster_frame_id"), points.alias("points"))
+    return H.packetize(frames, points_per_packet=1)[1].select("raster_frame_id", "points_in_frame", "reject_reason")
+
+
 def datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wire bytes of the frames' packets, some of them damaged by position."""
     packets = frame_packets(spark, sf_dir)

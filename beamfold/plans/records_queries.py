@@ -10,9 +10,12 @@ from beamfold.functions.kernels import pack_samples
 from beamfold.functions.signal import (beat_frequency, calibrate, intensity, magnitude_db, range_velocity)
 from beamfold.operators import measure, records as R, spectra as C
 from beamfold.operators.trajectory import stamp_raster
+from beamfold.plans import fixtures
 from beamfold.plans.catalog import query, r6, sql6, with_ctes
 from beamfold.plans.tables import (ASCANS, CFG, MEASURED, PEAKS, POSITIONS, SEGMENTS, SPECTRUM, ascans, config, table)
 from beamfold.schemas import OFFSET_BINARY_12, SIGNED_INT16
+from beamfold.sources.measured import measure_recordings
+from beamfold.sources.sessions import read_sessions
 
 FIRST, LAST, FFT = 2, 30, 64
 
@@ -71,14 +74,15 @@ def damaged(df: DataFrame) -> DataFrame:
     """Records with contract faults spread by frame number."""
     f = F.col("frame_id")
     return (
-        df.withColumn("channel", F.when(f % 17 == 0, F.lit("b")).otherwise(F.col("channel")))
+        df.withColumn("frame_kind", F.when(f % 37 == 0, F.lit(None).cast("string")).otherwise(F.col("frame_kind")))
+        .withColumn("channel", F.when(f % 17 == 0, F.lit("b")).otherwise(F.col("channel")))
         .withColumn("samples", F.when(f % 23 == 0, F.slice("samples", 1, 60)).otherwise(F.col("samples")))
         .withColumn("up_segment", F.when(f % 29 == 0, F.struct(F.lit(4).alias("start"), F.lit(4).alias("end_excl")))
                     .when(f % 31 == 0, F.struct(F.lit(1).alias("start"), F.lit(32).alias("end_excl")))
                     .otherwise(F.col("up_segment"))))
 
 
-DAMAGE = """CASE WHEN frame_id % 17 = 0 THEN 'channel' WHEN frame_id % 23 = 0 THEN 'sample_count'
+DAMAGE = """CASE WHEN frame_id % 37 = 0 THEN 'frame_kind' WHEN frame_id % 17 = 0 THEN 'channel' WHEN frame_id % 23 = 0 THEN 'sample_count'
   WHEN frame_id % 29 = 0 THEN 'up_segment' WHEN frame_id % 31 = 0 THEN 'segment_config' ELSE 'ok' END"""
 
 
@@ -341,21 +345,34 @@ def c9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_rows(measure.measure_ascans(stamp_raster(packed, cfg), cfg))
 
 
-BAD_BUFFERS = f"""bad AS (SELECT session_id, dma_buffer_sequence, count(*) AS bad_records, min({DAMAGE}) AS reject_reason
-  FROM ascans WHERE {DAMAGE} <> 'ok' GROUP BY ALL)"""
+@query("C9_measure_recordings", with_ctes(*MEASURE_CTES, select=f"SELECT {MEASURE_COLUMNS} FROM measured"))
+def c9_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw parts of all three versions, the samples never leaving the tasks that read them."""
+    cfg, folder = config(spark, sf_dir), fixtures.write_recordings(spark, sf_dir)
+    return measure_rows(measure_recordings(spark, folder, cfg, place=lambda rows: stamp_raster(rows, cfg), sessions=read_sessions(spark, folder))[0])
+
+
+BAD_BUFFERS = f"""bad AS (SELECT session_id, dma_buffer_sequence, count(*) FILTER ({DAMAGE} <> 'ok') AS bad_records,
+    CASE WHEN min(config_revision) = 1 THEN 'record_count' ELSE min({DAMAGE}) FILTER ({DAMAGE} <> 'ok') END AS reject_reason
+  FROM ascans GROUP BY ALL HAVING min(config_revision) = 1 OR count(*) FILTER ({DAMAGE} <> 'ok') > 0)"""
+
+
+def batch_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffers have ten records, which is one too many for revision 1."""
+    return config(spark, sf_dir).withColumn("records_per_buffer", F.when(F.col("config_revision") == 1, 9).otherwise(10))
 
 
 @query("C10_measure_batches", with_ctes(*MEASURE_CTES, BAD_BUFFERS, select=f"""
 SELECT {MEASURE_COLUMNS} FROM measured m
 WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.session_id = m.session_id AND b.dma_buffer_sequence = m.dma_buffer_sequence)"""))
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cfg = config(spark, sf_dir)
+    cfg = batch_config(spark, sf_dir)
     return measure_rows(measure.measure_batches(damaged(stamp_raster(ascans(spark, sf_dir), cfg)), cfg)[0])
 
 
 @query("C10_rejected_batches", with_ctes(ASCANS, BAD_BUFFERS, select="SELECT * FROM bad"))
 def c10_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cfg = config(spark, sf_dir)
+    cfg = batch_config(spark, sf_dir)
     return measure.measure_batches(damaged(stamp_raster(ascans(spark, sf_dir), cfg)), cfg)[1]
 
 

@@ -14,7 +14,7 @@ from beamfold.plans.geometry_queries import (CLOUD_ROWS, DISPLAY, FRAME_CELLS, F
 from beamfold.plans.tables import ASCANS, CELLS, HEIGHT, WIDTH, ascans, table
 from beamfold.session import new_folder
 from beamfold.sources import clouds_io, recordings as A, replay, sessions, waveforms
-from beamfold.streaming.sinks import append_table
+from beamfold.streaming.sinks import drain_table
 
 
 def weighted(samples: str = "samples") -> Column:
@@ -23,6 +23,10 @@ def weighted(samples: str = "samples") -> Column:
     return F.aggregate(terms, F.lit(0).cast("long"), lambda a, v: a + v)
 
 
+def session_of(stem: str) -> Column:
+    return F.element_at(F.split(stem, "/"), -1).alias("session_id")
+
+
 SUM = "CAST(list_sum(list_transform(samples, lambda s, i: s * i)) AS BIGINT)"
 
 
@@ -34,7 +38,7 @@ SELECT session_id, frame_id, CASE WHEN CAST(substr(session_id, 2) AS INTEGER) %
        {SUM} AS checksum FROM ascans"""))
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fixtures.write_recordings(spark, sf_dir)
-    rows, _ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder), task_bytes=20000)
+    rows, *_ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder), task_bytes=20000)
     return rows.select(
         "session_id", "frame_id", "dma_buffer_sequence", "record_index_in_buffer", "host_timestamp_ns", "config_revision",
         "pos.x_index", "sample_format", weighted().alias("checksum"))
@@ -44,7 +48,7 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT session_id, frame_id, CAST(64 AS INTEGER) AS stored, {SUM} AS checksum FROM ascans"""))
 def a1_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fixtures.write_recordings(spark, sf_dir)
-    rows, _ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder), packed=True)
+    rows, *_ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder), packed=True)
     rows = rows.withColumn("samples", unpack_samples(F.col("payload")))
     return rows.select("session_id", "frame_id", stored_count(rows.columns).alias("stored"), weighted().alias("checksum"))
 
@@ -54,10 +58,30 @@ SELECT session_id, CASE WHEN CAST(substr(session_id, 2) AS INTEGER) % 3 = 2 THEN
   count(*) AS record_count, min(host_timestamp_ns) AS completion_ns FROM ascans GROUP BY ALL"""))
 def a1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fixtures.write_recordings(spark, sf_dir)
-    _, batches = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder))
+    _, batches, _ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder))
     return batches.select("session_id", "sequence", "record_count", "completion_ns")
 
 
+@query("A1_rejects", with_ctes(ASCANS, """blocks AS (
+  SELECT DISTINCT session_id, CAST(substr(session_id, 2) AS INTEGER) AS n, dma_buffer_sequence AS seq, CAST(dma_buffer_sequence // 5 AS INTEGER) AS part,
+         max(dma_buffer_sequence) OVER (PARTITION BY session_id) AS newest FROM ascans),
+parts AS (SELECT DISTINCT session_id, n, part, CASE WHEN part = 3 THEN 'stream_magic' WHEN part = 4 THEN 'not_contiguous'
+  WHEN n % 3 > 0 AND n % 4 = 1 THEN 'coordinate_frame' WHEN n % 3 > 0 AND n % 4 = 2 THEN 'no_coordinate_frame' END AS reason FROM blocks)""", select="""
+SELECT session_id, part, NULL::BIGINT AS block, reason FROM parts WHERE reason IS NOT NULL
+UNION ALL
+SELECT session_id, part, seq % 5, CASE WHEN seq % 7 = 3 THEN 'record_count' WHEN seq % 7 = 5 THEN 'payload_bytes' WHEN seq = least(4, newest) THEN 'truncated_payload'
+  WHEN seq % 7 = 2 THEN 'record_unsigned_range' WHEN seq % 7 = 1 THEN 'trajectory' WHEN seq % 7 = 4 THEN 'record_index_range' ELSE 'segment_range' END
+FROM blocks JOIN parts USING (session_id, n, part)
+WHERE reason IS NULL AND n % 3 < 2 AND (seq % 7 IN (2, 3, 5, 6) OR n % 3 = 0 AND seq % 7 IN (1, 4) OR seq = least(4, newest))
+UNION ALL
+SELECT session_id, 0, max(a.frame_id) - 1, 'truncated_payload' FROM ascans a JOIN parts USING (session_id)
+WHERE part = 0 AND reason IS NULL AND n % 3 = 2 AND a.dma_buffer_sequence < 5 GROUP BY session_id"""))
+def a1_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fixtures.write_recordings(spark, sf_dir, damage=True, values=True, alien=True)
+    rejects = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder), task_bytes=20000)[2]
+    return rejects.select(session_of("stem"), "part", "block", F.col("reject_reason").alias("reason"))
+
+
 @query("A2_discover_parts", with_ctes(ASCANS, """parts AS (
   SELECT DISTINCT session_id, CAST(dma_buffer_sequence // 5 AS INTEGER) AS part, CAST(substr(session_id, 2) AS INTEGER) % 2 = 1 AS odd FROM ascans)""",
     select="SELECT session_id, part, NOT (odd AND part > 2) AS contiguous FROM parts WHERE NOT (odd AND part = 2)"))
@@ -79,11 +103,23 @@ def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
         bad.select(session, "part", "block", F.col("reject_reason").alias("verdict")))
 
 
+@query("A3_bad_values", with_ctes(ASCANS, """blocks AS (SELECT DISTINCT session_id, dma_buffer_sequence AS seq FROM ascans)""", select="""
+SELECT session_id, CAST(seq // 5 AS INTEGER) AS part, seq % 5 AS block, CASE seq % 7 WHEN 1 THEN 'trajectory' WHEN 2 THEN 'record_unsigned_range'
+  WHEN 4 THEN 'record_index_range' WHEN 6 THEN 'segment_range' ELSE 'ok' END AS verdict FROM blocks"""))
+def a3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fixtures.write_recordings(spark, sf_dir, values=True)
+    good, bad = A.quarantine_blocks(A.scan_blocks(A.read_stream_headers(A.list_parts(spark, folder))))
+    # Good blocks are those that decode; each shows by its first record.
+    read = A.decode_blocks(good).where("record_index_in_buffer = 0").select(
+        "session_id", F.expr("cast(dma_buffer_sequence div 5 as int)").alias("part"), (F.col("dma_buffer_sequence") % 5).alias("block"), F.lit("ok").alias("verdict"))
+    return read.unionByName(bad.select(session_of("stem"), "part", "block", F.col("reject_reason").alias("verdict")))
+
+
 @query("A5_read_sessions", f"""
 SELECT s_name AS session_id, s_suppkey AS blocks_written, s_suppkey % 2 = 0 AS completed, CAST(3 AS INTEGER) AS format_version,
        {sql6("s_acctbal * 1e3", "sample_rate_hz")}, CAST(2 AS INTEGER) AS files, CAST(s_nationkey AS VARCHAR) AS lines FROM supplier""")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = fixtures.local(new_folder(spark, "sidecars"))
+    folder = new_folder(spark, "sidecars")
     k = F.col("s_suppkey")
     stream = F.struct(F.lit(3).alias("format_version"), F.lit("a").alias("channel"), (F.col("s_acctbal") * 1e3).alias("sample_rate_hz"),
                       F.lit(4096).alias("record_length"), F.lit(64).alias("records_per_buffer"))
@@ -196,17 +232,20 @@ def a11_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, row_number() OVER w - 1 AS i, dense_rank() OVER (PARTITION BY session_id ORDER BY dma_buffer_sequence) - 1 AS b,
          count(*) OVER (PARTITION BY session_id) AS total, count(*) OVER (PARTITION BY session_id, dma_buffer_sequence) AS size,
          row_number() OVER (PARTITION BY session_id, dma_buffer_sequence ORDER BY record_index_in_buffer) - 1 AS r
-  FROM ascans WHERE dma_buffer_sequence % 4 <> 2
-  WINDOW w AS (PARTITION BY session_id ORDER BY dma_buffer_sequence, record_index_in_buffer)),
+  FROM ascans WINDOW w AS (PARTITION BY session_id ORDER BY dma_buffer_sequence, record_index_in_buffer)),
 sizes AS (SELECT session_id, max(b) + 1 AS buffers FROM kept GROUP BY session_id)""", select=f"""
-SELECT session_id, i + 1 + loop * total AS frame_id, b + loop * buffers AS dma_buffer_sequence, CAST(r AS INTEGER) AS record_index_in_buffer,
-       CAST(size AS INTEGER) AS records_in_buffer, {SUM} AS checksum
+SELECT session_id, i + 1 + loop * total AS frame_id, i + 1 + loop * total AS trigger_sequence, b + loop * buffers AS dma_buffer_sequence,
+       CAST(r AS INTEGER) AS record_index_in_buffer, CAST(size AS INTEGER) AS records_in_buffer, {SUM} AS checksum
 FROM kept JOIN sizes USING (session_id), range(2) AS g(loop)"""))
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Every fourth buffer is missing from the recording, so numbers really change.
-    recorded = ascans(spark, sf_dir).drop("label").where(F.col("dma_buffer_sequence") % 4 != 2)
+    # The stored numbers jump after every fourth buffer and frames begin at 1001, so restamping really changes them.
+    number = F.col("dma_buffer_sequence")
+    recorded = ascans(spark, sf_dir).drop("label").withColumns({
+        "dma_buffer_sequence": number + F.floor(number / 4), "frame_id": F.col("frame_id") + 1000,
+        "trigger": F.struct((F.col("frame_id") + 7).alias("sequence"), *(F.lit(None).cast(t).alias(n) for n, t in (
+            ("timestamp_ns", "long"), ("period_jitter_ns", "long"), ("missed_trigger_count", "long"), ("valid", "boolean"))))})
     published, out = new_folder(spark, "replay"), new_folder(spark, "replayed")
-    replay.publish_replay(recorded, published, loops=2, buffers_per_file=8)
-    append_table(replay.replay_stream(spark, published, files_per_trigger=4), out).awaitTermination()
+    replay.publish_replay(recorded, published, loops=2, buffers_per_tick=8)
+    drain_table(replay.replay_stream(spark, published, ticks_per_trigger=2), out)
     return spark.read.parquet(out).select(
-        "session_id", "frame_id", "dma_buffer_sequence", "record_index_in_buffer", "records_in_buffer", weighted().alias("checksum"))
+        "session_id", "frame_id", F.col("trigger.sequence").alias("trigger_sequence"), "dma_buffer_sequence", "record_index_in_buffer", "records_in_buffer", weighted().alias("checksum"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from beamfold.schemas import SIGNED_INT16
+from beamfold.schemas import FULL_CHIRP_PERIOD, SIGNED_INT16
 
 WIDTH, HEIGHT = 10, 5
 
@@ -83,7 +83,7 @@ def ascans(spark: SparkSession, sf_dir: str) -> DataFrame:
         no_position().alias("pos"),
         F.struct(F.lit(1).cast("long").alias("revision"), F.lit(True).alias("laser_enabled"),
                  F.lit(False).alias("edfa_used"), F.lit(False).alias("edfa_output_enabled")).alias("optical"),
-        F.lit("a").alias("channel"), F.lit(SIGNED_INT16).alias("sample_format"), F.lit(1e7).alias("sample_rate_hz"),
+        F.lit("a").alias("channel"), F.lit(SIGNED_INT16).alias("sample_format"), F.lit(FULL_CHIRP_PERIOD).alias("frame_kind"), F.lit(1e7).alias("sample_rate_hz"),
         F.lit(64).alias("record_length"), F.lit(0).cast("long").alias("pre_trigger_samples"),
         F.lit(64).cast("long").alias("post_trigger_samples"),
         _segment(0, 32).alias("up_segment"), _segment(32, 64).alias("down_segment"),

@@ -47,6 +47,7 @@ ASCANS = T.StructType([
     T.StructField("optical", OPTICAL),
     T.StructField("channel", T.StringType()),
     T.StructField("sample_format", T.StringType()),
+    T.StructField("frame_kind", T.StringType()),
     T.StructField("sample_rate_hz", T.DoubleType()),
     T.StructField("record_length", T.IntegerType()),
     T.StructField("pre_trigger_samples", T.LongType()),
@@ -119,4 +120,5 @@ SESSIONS = T.StructType([
 # The coordinate contract and the sample-format names used in every table.
 STANDARD_COORDINATE_FRAME = "ros_x_forward_y_left_z_up"
 SIGNED_INT16 = "signed_int16"
+FULL_CHIRP_PERIOD = "full_chirp_period"
 OFFSET_BINARY_12 = "unsigned_offset_binary_12_left_aligned"

@@ -3,12 +3,14 @@
 A part is a stream header followed by blocks of one constant size, so block offsets are
 arithmetic: no task walks a file to find its work. Stage 1 lists files and reads one small
 header per part; stage 2 spreads fixed-size block ranges over the cluster, reads block headers
-and quarantines bad ones with native expressions; stage 3, in the same tasks, decodes the payload
-of good blocks with numpy into Arrow batches.
+and record tables (a hundredth of the bytes) and quarantines bad blocks with native expressions;
+stage 3, in the same tasks, decodes the payload of good blocks with numpy into Arrow batches.
+Whatever is not decoded is listed with its reason, without a payload being read for it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from beamfold.functions.kernels import pack_samples, unpack_samples
 from beamfold.operators.records import first_reason, split_by_reason
-from beamfold.schemas import ASCANS, PACKED_ASCANS, OFFSET_BINARY_12, SIGNED_INT16, STANDARD_COORDINATE_FRAME
+from beamfold.schemas import ASCANS, FULL_CHIRP_PERIOD, PACKED_ASCANS, OFFSET_BINARY_12, SIGNED_INT16, STANDARD_COORDINATE_FRAME
 
 # Fixed values of the raw container (all little-endian).
 STREAM_MAGIC = {b"FMCWRAW1": 1, b"FMCWRAW2": 2, b"FMCWRAW3": 3}
@@ -26,6 +28,7 @@ RECORD_MAGIC = 0x314D5246
 BLOCK_MAGIC = 0x32424D46
 CHANNELS = ("a", "b")
 FORMATS = (SIGNED_INT16, OFFSET_BINARY_12)
+FRAME_KINDS = {0: FULL_CHIRP_PERIOD}
 AXES = ("unknown", "x", "y")
 DIRECTIONS = ("unknown", "increasing", "decreasing")
 SOURCES = ("generated_raster", "mcu_trajectory", "replay")
@@ -77,14 +80,18 @@ BLOCK_SCHEMA = (
     "stream_channel long, stream_sample_format long, stream_sample_rate_hz double, stream_record_length long, "
     "stream_records_per_buffer long, "
     + ", ".join(f"{n} {'double' if t == '<f8' else 'decimal(20,0)' if t == '<u8' else 'long'}" for n, t in BLOCK_FIELDS)
+    + ", record_fault string"
 )
+REJECT_COLUMNS = ("path", "stem", "part", "block", "reject_reason")
+TABLES = {1: V1_RECORD_FIELDS, 2: RECORD_FIELDS, 3: RECORD_FIELDS + TRAJECTORY_FIELDS}
 
 
-def _open(path: str):
+def open_file(path: str):
     if path.startswith("file:"):
         return pafs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
     if "://" in path:
-        system, inner = pafs.FileSystem.from_uri(path)
+        # Spark's names of the S3 store are unknown to Arrow.
+        system, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
         return system.open_input_file(inner)
     return pafs.LocalFileSystem().open_input_file(path)
 
@@ -109,7 +116,7 @@ def read_stream_headers(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
-                with _open(path) as stream:
+                with open_file(path) as stream:
                     head = stream.read_at(dtype.itemsize, 0)
                 row = np.frombuffer(head.ljust(dtype.itemsize, b"\0"), dtype)[0]
                 known = STREAM_MAGIC.get(bytes(row["magic"]))
@@ -138,6 +145,20 @@ def stream_reason() -> Column:
     ])
 
 
+def record_fault(records: np.ndarray) -> str | None:
+    """What keeps a block's record table from being a table of A-scans: a value that no row can hold, or an unknown code."""
+    for name in ("frame_id", "host_timestamp_ns", "config_revision", "trigger_sequence", "trigger_ns", "optical_revision"):
+        if (records[name] >> np.uint64(63)).any():
+            return "record_unsigned_range"
+    if max(records["x_index"].max(), records["y_index"].max()) >= 1 << 31:
+        return "record_index_range"
+    if "axis" in records.dtype.names:
+        known = (("axis", len(AXES)), ("direction", len(DIRECTIONS)), ("source", len(SOURCES)), ("calibrated", 2))
+        if any((records[name] >= n).any() for name, n in known):
+            return "trajectory"
+    return None
+
+
 def discover_parts(headers: DataFrame) -> DataFrame:
     """Add ``contiguous``: the part follows its stem's first part without a gap or a header change.
 
@@ -192,17 +213,26 @@ def block_ranges(headers: DataFrame, *, task_bytes: int = TASK_BYTES) -> DataFra
 
 
 def scan_blocks(headers: DataFrame, *, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """One row per block with its header fields; only the fixed header is read."""
+    """One row per block with its header fields and the verdict on its record table; no payload is read."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v1, v23 = np.dtype(V1_RECORD_FIELDS), np.dtype(BLOCK_FIELDS)
         for batch in batches:
             for row in batch.to_pylist():
                 dtype = v1 if row["version"] == 1 else v23
+                table = np.dtype(TABLES[row["version"]])
+                size = dtype.itemsize + (0 if row["version"] == 1 else row["records_per_buffer"] * table.itemsize)
                 offsets = [
                     row["first_offset"] + (row["first_block"] + i) * row["stride"] for i in range(row["block_count"])]
-                with _open(row["path"]) as stream:
-                    raw = b"".join(stream.read_at(dtype.itemsize, o).ljust(dtype.itemsize, b"\0") for o in offsets)
-                heads = np.frombuffer(raw, dtype)
+                raw, faults = [], []
+                with open_file(row["path"]) as stream:
+                    for offset in offsets:
+                        data = stream.read_at(size, offset)
+                        raw.append(data[:dtype.itemsize].ljust(dtype.itemsize, b"\0"))
+                        # A shorter block has a reason of its own.
+                        whole = len(data) == size
+                        records = np.frombuffer(data, table, offset=0 if row["version"] == 1 else BLOCK_BYTES) if whole else None
+                        faults.append(record_fault(records) if whole else None)
+                heads = np.frombuffer(b"".join(raw), dtype)
                 count = len(heads)
                 if row["version"] == 1:
                     block = np.zeros(count, v23)
@@ -236,6 +266,7 @@ def scan_blocks(headers: DataFrame, *, task_bytes: int = TASK_BYTES) -> DataFram
                         columns.append(pa.array(heads[name].astype(np.uint64)).cast(pa.decimal128(20, 0)))
                     else:
                         columns.append(pa.array(heads[name].astype(np.int64)))
+                columns.append(pa.array(faults, pa.string()))
                 names = [field.split(" ")[0] for field in BLOCK_SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -248,7 +279,8 @@ def scan_blocks(headers: DataFrame, *, task_bytes: int = TASK_BYTES) -> DataFram
 
 def quarantine_blocks(blocks: DataFrame, *, max_records: int = MAXIMUM_RECORDS,
                       max_payload_bytes: int = MAXIMUM_PAYLOAD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Split block headers into good ones and rejects with a reason; nothing else is read for rejects."""
+    """Split blocks into good ones and rejects with a reason. Values that the reader of single records would take but no row can
+    hold (whole numbers of 63 bits and more, segment bounds and indices of 31) are reasons, too."""
     c = F.col
     v1 = c("stream_version") == 1
     magic = F.when(v1, F.lit(RECORD_MAGIC)).otherwise(F.lit(BLOCK_MAGIC))
@@ -271,8 +303,9 @@ def quarantine_blocks(blocks: DataFrame, *, max_records: int = MAXIMUM_RECORDS,
         ((c("header_bytes") == header) & (header <= MAXIMUM_HEADER_BYTES), "header_bytes"),
         (c("header_bytes") + c("payload_bytes") <= c("available_bytes"), "truncated_payload"),
         (in_range, "unsigned_range"),
+        (F.greatest("up_start", "up_end", "down_start", "down_end") < 2**31, "segment_range"),
     ])
-    return split_by_reason(blocks.withColumn("reject_reason", reason))
+    return split_by_reason(blocks.withColumn("reject_reason", F.coalesce(reason, c("record_fault"))))
 
 
 def _names(codes: np.ndarray, spellings: Sequence[str]) -> pa.Array:
@@ -280,8 +313,8 @@ def _names(codes: np.ndarray, spellings: Sequence[str]) -> pa.Array:
     return pa.DictionaryArray.from_arrays(pa.array(codes), pa.array(spellings)).cast(pa.string())
 
 
-def _record_batch(head: dict, records: np.ndarray, samples: np.ndarray, packed: bool) -> pa.RecordBatch:
-    """Arrow rows of one block, in the ``ASCANS`` or ``PACKED_ASCANS`` layout."""
+def record_columns(head: dict, records: np.ndarray) -> dict[str, pa.Array]:
+    """Columns of one block's A-scans without their samples."""
     count, length = len(records), head["record_length"]
     trajectory = "axis" in records.dtype.names
 
@@ -316,7 +349,7 @@ def _record_batch(head: dict, records: np.ndarray, samples: np.ndarray, packed:
         for side in ("up", "down")
     }
     v1 = head["stream_version"] == 1
-    columns = {
+    return {
         "session_id": same(head["stem"].rsplit("/", 1)[-1], pa.string()),
         "frame_id": wide("frame_id"),
         "dma_buffer_sequence": same(int(head["sequence"]), pa.int64()),
@@ -331,6 +364,7 @@ def _record_batch(head: dict, records: np.ndarray, samples: np.ndarray, packed:
                           edfa_output_enabled=flag(4)),
         "channel": same(CHANNELS[head["channel"]] if head["channel"] < len(CHANNELS) else None, pa.string()),
         "sample_format": same(FORMATS[head["sample_format"]], pa.string()),
+        "frame_kind": pa.array([FRAME_KINDS.get(int(k)) for k in records["frame_kind"]], pa.string()) if v1 else same(FRAME_KINDS.get(head["frame_kind"]), pa.string()),
         "sample_rate_hz": same(head["sample_rate_hz"], pa.float64()),
         "record_length": same(length, pa.int32()),
         "pre_trigger_samples": same(head["pre_trigger"], pa.int64()),
@@ -338,6 +372,11 @@ def _record_batch(head: dict, records: np.ndarray, samples: np.ndarray, packed:
         "up_segment": segment["up"],
         "down_segment": segment["down"],
     }
+
+
+def _record_batch(head: dict, records: np.ndarray, samples: np.ndarray, packed: bool) -> pa.RecordBatch:
+    """Arrow rows of one block, in the ``ASCANS`` or ``PACKED_ASCANS`` layout."""
+    count, length, columns = len(records), head["record_length"], record_columns(head, records)
     ends = np.arange(count + 1, dtype=np.int32) * length
     if packed:
         columns["payload"] = pa.BinaryArray.from_buffers(
@@ -350,41 +389,55 @@ def _record_batch(head: dict, records: np.ndarray, samples: np.ndarray, packed:
 def decode_blocks(good: DataFrame, *, packed: bool = False) -> DataFrame:
     """A-scan rows of good blocks; one seek and one read per block, the payload never unpacked if ``packed``."""
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {1: V1_RECORD_FIELDS, 2: RECORD_FIELDS, 3: RECORD_FIELDS + TRAJECTORY_FIELDS}
         for batch in batches:
             path, stream = None, None
             for head in batch.to_pylist():
                 if head["path"] != path:
-                    path, stream = head["path"], _open(head["path"])
+                    path, stream = head["path"], open_file(head["path"])
                 size = int(head["header_bytes"]) + int(head["payload_bytes"])
                 raw = stream.read_at(size, head["offset"])
                 fixed = 0 if head["stream_version"] == 1 else BLOCK_BYTES
                 records = np.frombuffer(
-                    raw, np.dtype(tables[head["stream_version"]]), count=head["record_count"], offset=fixed)
+                    raw, np.dtype(TABLES[head["stream_version"]]), count=head["record_count"], offset=fixed)
                 samples = np.frombuffer(raw, "<i2", offset=int(head["header_bytes"]))
                 yield _record_batch(head, records, samples, packed)
 
     return good.mapInArrow(decode, PACKED_ASCANS if packed else ASCANS)
 
 
-def read_recordings(spark: SparkSession, path: str, *, formats: Sequence[str] = ("v1", "v2", "v3"),
-                    sessions: DataFrame | None = None, packed: bool = False,
+def accepted_blocks(spark: SparkSession, path: str, *, formats: Sequence[str] = ("v1", "v2", "v3"), sessions: DataFrame | None = None,
                     task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """All recordings below ``path`` as (ascans, batches). Legacy parts need ``sessions`` for their gate."""
+    """(headers of the blocks to read, rejects) of all recordings below ``path``.
+
+    ``rejects`` lists what is left out, as path, stem, part, block (NULL: the whole part) and reject_reason: unreadable stream
+    headers, parts behind a gap or a change of header (``not_contiguous``), legacy parts whose sidecar in ``sessions`` does
+    not declare the standard frame, and quarantined blocks. Versions outside ``formats`` are not asked for and not listed.
+    """
     wanted = [int(f[1:]) for f in formats]
     headers = read_stream_headers(list_parts(spark, path))
-    headers = headers.where(stream_reason().isNull() & F.col("version").isin(wanted))
-    headers = discover_parts(headers).where("contiguous")
-    if sessions is not None:
-        headers, _ = coordinate_gate(headers, sessions)
-    else:
-        headers = headers.where("version = 3")
-    good, _ = quarantine_blocks(scan_blocks(headers, task_bytes=task_bytes))
+    headers, unreadable = split_by_reason(headers.withColumn("reject_reason", stream_reason()))
+    parts = discover_parts(headers.where(F.col("version").isin(wanted)))
+    apart = parts.where("not contiguous").withColumn("reject_reason", F.lit("not_contiguous"))
+    if sessions is None:
+        sessions = spark.createDataFrame([], "stem string, coordinate_frame string")
+    accepted, alien = coordinate_gate(parts.where("contiguous"), sessions)
+    good, bad = quarantine_blocks(scan_blocks(accepted, task_bytes=task_bytes))
+    rejects = bad.select(*REJECT_COLUMNS)
+    for whole in (unreadable, apart, alien):
+        rejects = rejects.unionByName(whole.withColumn("block", F.lit(None).cast("long")).select(*REJECT_COLUMNS))
+    return good, rejects
+
+
+def read_recordings(spark: SparkSession, path: str, *, formats: Sequence[str] = ("v1", "v2", "v3"),
+                    sessions: DataFrame | None = None, packed: bool = False,
+                    task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All recordings below ``path`` as (ascans, batches, rejects); see ``accepted_blocks`` for what is rejected."""
+    good, rejects = accepted_blocks(spark, path, formats=formats, sessions=sessions, task_bytes=task_bytes)
     long_fields = ("sequence", "completion_ns", "ownership_ns", "dropped_buffer_count", "missed_trigger_count")
     batches = good.select(
         F.element_at(F.split("stem", "/"), -1).alias("session_id"), "part", "block",
         *[F.col(c).cast("long").alias(c) for c in long_fields], "record_count", "record_length")
-    return decode_blocks(good, packed=packed), batches
+    return decode_blocks(good, packed=packed), batches, rejects
 
 
 def write_ascans(ascans: DataFrame, path: str, *, split_gb: float = 4.0) -> None:

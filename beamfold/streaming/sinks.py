@@ -20,6 +20,17 @@ def append_table(stream: DataFrame, path: str, *, checkpoint: str | None = None)
         .outputMode("append").trigger(availableNow=True).start())
 
 
+def drain_table(stream: DataFrame, path: str, *, checkpoint: str | None = None) -> None:
+    """Like ``append_table`` for a source that hands out its data by portions: micro-batches until nothing is left."""
+    query = (
+        stream.writeStream.format("parquet").option("path", path)
+        .option("checkpointLocation", checkpoint or new_folder(stream.sparkSession, "stream")).outputMode("append").start())
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def statistics_stream(outcomes: DataFrame, *, every: str = "5 seconds", delay: str = "10 seconds") -> DataFrame:
     """Counts per outcome and interval; an interval is final once the watermark passes it."""
     return link_statistics(outcomes.withWatermark("ts", delay), every=every)

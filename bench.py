@@ -1,7 +1,9 @@
 """Time the headline queries on the driver's tables and print one JSON line.
 
 ``full_records`` measures records of the reference workload's size (4992 samples, two 2048-point
-transforms, two records per customer) derived from ``customer``; its rate is reported as A-scans per second.
+transforms, two records per customer) derived from ``customer`` and stored as Parquet, read five times in one job;
+``raw_records`` measures raw recordings of such records, five per customer, each read once, with the fused scan. Its rate is
+reported as A-scans per second.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T  # n
 
 from beamfold.operators.measure import measure_ascans  # noqa: E402
 from beamfold.plans import load_catalog  # noqa: E402
+from beamfold.plans.fixtures import create  # noqa: E402
 from beamfold.plans.tables import config, no_position, table  # noqa: E402
 from beamfold.schemas import SIGNED_INT16  # noqa: E402
 from beamfold.session import RECOMMENDED_CONF, new_folder  # noqa: E402
+from beamfold.sources import recordings as A  # noqa: E402
+from beamfold.sources.measured import measure_recordings  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -39,18 +44,18 @@ LENGTH, SEGMENT, FFT = 4992, 2048, 2048
 PASSES = 5
 
 
-@F.arrow_udf(T.BinaryType())
-def two_tone_record(key: pa.Array) -> pa.Array:
+def two_tone(key: int) -> np.ndarray:
     """A record with one tone per segment and noise, determined by its key."""
-    keys = key.to_numpy(zero_copy_only=False)
     step = 2.0 * np.pi * np.arange(SEGMENT) / SEGMENT
-    out = np.empty((len(keys), LENGTH), np.int16)
-    for row, k in enumerate(keys):
-        noise = np.random.default_rng(int(k)).integers(-300, 300, LENGTH)
-        noise[:SEGMENT] += np.round(12000 * np.sin(37 * step + 0.03 * (k % 64))).astype(np.int64)
-        noise[LENGTH - SEGMENT:] += np.round(10000 * np.sin(43 * step - 0.03 * (k % 64))).astype(np.int64)
-        out[row] = noise
-    return pa.array([row.tobytes() for row in out], pa.binary())
+    noise = np.random.default_rng(key).integers(-300, 300, LENGTH)
+    noise[:SEGMENT] += np.round(12000 * np.sin(37 * step + 0.03 * (key % 64))).astype(np.int64)
+    noise[LENGTH - SEGMENT:] += np.round(10000 * np.sin(43 * step - 0.03 * (key % 64))).astype(np.int64)
+    return noise.astype(np.int16)
+
+
+@F.arrow_udf(T.BinaryType())
+def two_tone_record(key: pa.Array) -> pa.Array:
+    return pa.array([two_tone(int(k)).tobytes() for k in key.to_numpy(zero_copy_only=False)], pa.binary())
 
 
 def full_records(spark: SparkSession) -> tuple[str, int]:
@@ -73,6 +78,32 @@ def full_records(spark: SparkSession) -> tuple[str, int]:
     return path, spark.read.parquet(path).count() * PASSES
 
 
+def raw_records(spark: SparkSession) -> tuple[str, int]:
+    """Raw parts of one buffer of 998 full-size records for every 200 customers; returns their folder and record count."""
+    folder = new_folder(spark, "recordings")
+
+    def write(batches):
+        for batch in batches:
+            for number in batch.column("number").to_pylist():
+                keys = number * 998 + np.arange(998)
+                records = np.zeros(998, np.dtype(A.TABLES[3]))
+                records["frame_id"], records["flags"], records["x_index"] = keys + 1, 1, np.arange(998)
+                payload = b"".join(two_tone(int(k)).tobytes() for k in keys)
+                head = np.zeros(1, np.dtype(A.BLOCK_FIELDS))
+                for name, value in dict(
+                        magic=A.BLOCK_MAGIC, version=3, header_bytes=A.BLOCK_BYTES + records.nbytes, payload_bytes=len(payload), sequence=number, record_count=998,
+                        record_length=LENGTH, sample_rate_hz=1e9, up_end=SEGMENT, down_start=LENGTH - SEGMENT, down_end=LENGTH, post_trigger=LENGTH).items():
+                    head[name] = value
+                stream = np.zeros(1, np.dtype(A.STREAM_FIELDS))
+                stream["magic"], stream["version"], stream["sample_rate_hz"] = b"FMCWRAW3", 3, 1e9
+                stream["record_length"], stream["records_per_buffer"] = LENGTH, 998
+                create(f"{folder}/s{number}.raw.0000.bin", stream.tobytes() + head.tobytes() + records.tobytes() + payload)
+            yield pa.RecordBatch.from_arrays([batch.column("number")], ["number"])
+
+    numbers = table(spark, SF_DIR, "customer").select(F.floor(F.col("c_custkey") / 200).cast("long").alias("number")).distinct()
+    return folder, numbers.repartition(int(CPUS) * 4).mapInArrow(write, "number long").count() * 998
+
+
 def full_config(spark: SparkSession) -> DataFrame:
     return config(spark, SF_DIR).where("config_revision = 0").withColumns({
         "sample_point": F.lit(LENGTH), "up_end": F.lit(SEGMENT), "down_start": F.lit(LENGTH - SEGMENT),
@@ -98,6 +129,10 @@ def main() -> None:
     stored = reduce(DataFrame.unionByName, [spark.read.parquet(path) for _ in range(PASSES)])
     timed(measure_ascans(stored, full_config(spark)))  # starts the Python workers and compiles the plan
     seconds["full_records"] = timed(measure_ascans(stored, full_config(spark)))
+    raw, raw_rows = raw_records(spark)
+    started = time.perf_counter()
+    timed(measure_recordings(spark, raw, full_config(spark))[0])
+    seconds["raw_records"] = time.perf_counter() - started
     catalog = load_catalog()
     only = sys.argv[1:]
     for name in HEADLINE:
@@ -107,12 +142,12 @@ def main() -> None:
         df = catalog.QUERIES[name](spark, SF_DIR)
         timed(df)
         seconds[name] = time.perf_counter() - started
-    payload = rows * LENGTH * 2
+    payload = raw_rows * LENGTH * 2
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": {name: round(value, 3) for name, value in seconds.items()}, "sf": os.path.basename(SF_DIR.rstrip("/"))[2:],
-        "cpus": int(CPUS), "ascans": rows, "ascans_per_s": round(rows / seconds["full_records"]),
-        "gb_per_s": round(payload / seconds["full_records"] / 1e9, 3),
+        "cpus": int(CPUS), "ascans": raw_rows, "ascans_per_s": round(raw_rows / seconds["raw_records"]),
+        "gb_per_s": round(payload / seconds["raw_records"] / 1e9, 3), "parquet_ascans_per_s": round(rows / seconds["full_records"]),
     }))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from beamfold.schemas import ASCANS, OFFSET_BINARY_12, SIGNED_INT16
+from beamfold.schemas import ASCANS, FULL_CHIRP_PERIOD, OFFSET_BINARY_12, SIGNED_INT16
 
 SMALL = dict(length=4096, up=(192, 1920), down=(2112, 3840), fft=2048)
 
@@ -18,10 +18,10 @@ def tone_record(length: int, up: tuple, down: tuple, phase: float = 0.0, amplitu
 
 
 def ascan_row(frame_id: int, samples: np.ndarray, *, up, down, records=4, session="s0", rate=1e9,
-              fmt=SIGNED_INT16, channel="a", position=None) -> tuple:
+              fmt=SIGNED_INT16, channel="a", position=None, kind=FULL_CHIRP_PERIOD) -> tuple:
     sequence, index = divmod(frame_id - 1, records)
     return (session, frame_id, sequence, index, records, frame_id * 5000, 1, (frame_id, frame_id * 5000, 0, 0, True),
-            position, (1, True, False, False), channel, fmt, rate, len(samples), 0, len(samples), tuple(up), tuple(down),
+            position, (1, True, False, False), channel, fmt, kind, rate, len(samples), 0, len(samples), tuple(up), tuple(down),
             [int(v) for v in samples])
 
 

@@ -61,12 +61,25 @@ def test_shift_and_edges_wrap_around(spark):
 
 def test_resample_counts_and_last_point(spark):
     source = wave(spark).withColumn("sample_rate_hz", F.lit(40000.0))
-    rows = trajectory.resample_waveform(source).orderBy("idx").collect()
+    rows = trajectory.resample_waveform(source)[0].orderBy("idx").collect()
     assert len(rows) == 20 and rows[-1].x == -1.0
     assert math.isclose(rows[1].x, -1 + (2 / 3) * 0.4)
-    same = trajectory.resample_waveform(source.withColumn("sample_rate_hz", F.lit(100000.0)))
+    same, none = trajectory.resample_waveform(source.withColumn("sample_rate_hz", F.lit(100000.0)))
     assert same.select("idx", "x", "trigger").orderBy("idx").collect() == source.select("idx", "x", "trigger").orderBy("idx").collect()
-    assert trajectory.resample_waveform(source.withColumn("sample_rate_hz", F.lit(4e6))).count() == 0
+    assert none.count() == 0
+    for rate, requested, reason in ((4e6, 0, "point_count"), (1.0, 800000, "point_count"), (0.0, None, "sample_rate"), (float("nan"), None, "sample_rate"), (None, None, "sample_rate")):
+        points, rejects = trajectory.resample_waveform(source.withColumn("sample_rate_hz", F.lit(rate).cast("double")))
+        assert points.count() == 0
+        assert [tuple(r)[1:] for r in rejects.collect()] == [(8, requested, reason)]
+    mixed = source.withColumn("sample_rate_hz", F.when(F.col("idx") < 4, 40000.0).otherwise(50000.0))
+    assert [r.reject_reason for r in trajectory.resample_waveform(mixed)[1].collect()] == ["sample_rate"]
+
+
+def test_long_waveform_at_the_playback_rate_stays(spark):
+    long = spark.range(16000).select(F.lit("w").alias("waveform_id"), F.col("id").alias("idx"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"),
+                                     (F.col("id") % 100 == 0).alias("trigger"), F.lit(100000.0).alias("sample_rate_hz"))
+    points, rejects = trajectory.resample_waveform(long)
+    assert points.count() == 16000 and points.where("x <> idx").count() == 0 and rejects.count() == 0
 
 
 MEASURED = ("session_id string, frame_id long, pos struct<x_index:int,y_index:int,valid:boolean>, "
@@ -137,6 +150,36 @@ def test_fusion_across_chunk_edges(spark, monkeypatch):
         assert rows[i].point.x == middle and rows[i].temporal_observations == len(window)
 
 
+@pytest.mark.parametrize("history,factor", [(1, 1), (2, 2), (3, 4), (5, 4)])
+def test_whole_frames_fuse_and_densify_like_rows_of_cells(spark, history, factor):
+    import random
+
+    rng = random.Random(history)
+
+    def cell():
+        kind = rng.random()
+        if kind < 0.2:
+            return point()
+        row = list(point(3 + rng.random() * 0.1, rng.random() * 0.05, rng.random() * 0.1))
+        if kind < 0.3:
+            row[rng.randrange(7)] = rng.choice([float("nan"), None, float("inf")])
+        return tuple(row)
+
+    frames = [(i % 6, 1, [cell() for _ in range(12)]) for i in range(15)]
+    df = cloud(spark, frames, 3, 4).unionAll(cloud(spark, [(0, 1, [cell()])], 1, 1).withColumn("session_id", F.lit("one")))
+    numbered = clouds.fusion_sessions(df, span=4)
+    rows = clouds.temporal_fusion(raster.unfold_cloud(numbered), history=history)
+    fused_rows = clouds.fuse_clouds(numbered, history=history)
+    columns = ["session_id", "fusion_session", "ord", "x_index", "y_index", "source_valid", "temporal_observations", "point"]
+    plain = lambda d, names: sorted((tuple(r) for r in d.select(*names).collect()), key=repr)
+    assert plain(clouds.fused_cells(fused_rows), columns) == plain(rows, columns)
+    columns += ["display_y", "display_height", "interpolated"]
+    a, b = (plain(d, columns) for d in (clouds.densify_clouds(fused_rows, factor=factor), clouds.interpolate_rows(rows, factor=factor)))
+    assert len(a) == len(b)
+    for r, s in zip(sorted(a, key=lambda r: (r[:5], r[8])), sorted(b, key=lambda r: (r[:5], r[8]))):
+        assert r[:7] + r[8:] == s[:7] + s[8:] and r[7].valid == s[7].valid and all(p == q or abs(p - q) < 1e-12 for p, q in zip(r[7], s[7]))
+
+
 @pytest.mark.parametrize("column,height,inserted", [
     ([point(10.0, 0.0, -0.1), point(10.0, 0.0, 0.1)], 5, 3),
     ([point(1.0), point(10.0)], 5, 0),

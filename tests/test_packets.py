@@ -103,9 +103,13 @@ def test_decode_rejects_damage(spark):
 def test_packetize_empty_and_oversize(spark):
     schema = "session_id string, raster_frame_id long, points array<struct<x:double>>"
     df = spark.createDataFrame([("s", 1, []), ("s", 2, [(float(i),) for i in range(5)])], schema)
-    rows = packets.packetize(df, points_per_packet=2).orderBy("raster_frame_id", "segment_index").collect()
+    rows = packets.packetize(df, points_per_packet=2)[0].orderBy("raster_frame_id", "segment_index").collect()
     assert [(r.raster_frame_id, r.segment_count, r.point_count) for r in rows] == [(1, 1, 0), (2, 3, 2), (2, 3, 2), (2, 3, 1)]
-    assert packets.unpacketizable(df, points_per_packet=1).count() == 0
+    assert packets.packetize(df, points_per_packet=1)[1].count() == 0
+    wide = df.withColumn("points", F.when(F.col("raster_frame_id") == 2, F.array_repeat(F.struct(F.lit(1.0).alias("x")), 65536)))
+    kept, rejects = packets.packetize(wide, points_per_packet=1)
+    assert kept.count() == 0
+    assert {(r.raster_frame_id, r.points_in_frame, r.reject_reason) for r in rejects.collect()} == {(1, None, "points"), (2, 65536, "segment_count")}
 
 
 def brute_stale(frames, reset_ns):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from beamfold.plans import fixtures
 from beamfold.schemas import STANDARD_COORDINATE_FRAME
-from beamfold.sources import clouds_io, recordings, replay, sessions, waveforms
-from tests.scenes import ascan_row, ascans
+from beamfold.streaming import sinks
+from beamfold.sources import clouds_io, measured, recordings, replay, sessions, waveforms
+from tests.scenes import ascan_row, ascans, config
 
 
 def block(sequence, records=3, length=64):
@@ -33,10 +34,11 @@ def test_two_parts_with_one_block_each(spark):
     part(place, "a.raw.0000.bin", 3, [block(0)])
     part(place, "a.raw.0001.bin", 3, [block(1)])
     part(place, "a.raw.0003.bin", 3, [block(3)])  # behind a gap: not part of the recording
-    rows, batches = recordings.read_recordings(spark, place)
+    rows, batches, rejects = recordings.read_recordings(spark, place)
+    assert [(r.part, r.block, r.reject_reason) for r in rejects.collect()] == [(3, None, "not_contiguous")]
     assert {(r.frame_id, r.samples[0]) for r in rows.collect()} == {(i + 1, 100 * (i // 3) + i % 3) for i in range(6)}
     assert {r.sequence for r in batches.collect()} == {0, 1}
-    packed, _ = recordings.read_recordings(spark, place, packed=True)
+    packed, *_ = recordings.read_recordings(spark, place, packed=True)
     assert {len(r.payload) for r in packed.collect()} == {128}
 
 
@@ -56,13 +58,17 @@ def test_legacy_versions_need_the_standard_frame(spark):
         with open(os.path.join(place, f"{name}.raw.json"), "w") as out:
             out.write('{"session_id": "%s", "coordinate_frame": "%s"}' % (name, frame))
     sidecars = sessions.read_sessions(spark, place)
-    rows, _ = recordings.read_recordings(spark, place, sessions=sidecars)
+    rows, _, rejects = recordings.read_recordings(spark, place, sessions=sidecars)
+    assert {(r.stem.rsplit("/", 1)[-1], r.part, r.block, r.reject_reason) for r in rejects.collect()} == {
+        ("alien", 0, None, "coordinate_frame"), ("bare", 0, None, "no_coordinate_frame")}
     assert {r.session_id for r in rows.select("session_id").distinct().collect()} == {"good", "older"}
     headers = recordings.read_stream_headers(recordings.list_parts(spark, place))
     _, bad = recordings.coordinate_gate(headers, sidecars)
     assert {(r.stem.rsplit("/", 1)[-1], r.reject_reason) for r in bad.collect()} == {
         ("alien", "coordinate_frame"), ("bare", "no_coordinate_frame")}
-    assert recordings.read_recordings(spark, place)[0].count() == 0
+    rows, _, rejects = recordings.read_recordings(spark, place)
+    assert rows.count() == 0 and rejects.count() == 4
+    assert recordings.read_recordings(spark, place, formats=("v3",))[2].count() == 0
 
 
 def test_damaged_blocks_are_quarantined(spark):
@@ -96,7 +102,7 @@ def test_store_round_trip_keeps_buffers_whole(spark):
 def test_replay_restamps_and_loops(spark):
     df = ascans(spark, [ascan_row(i, np.zeros(64, np.int16), up=(0, 32), down=(32, 64)) for i in (5, 6, 7, 8, 13, 14)])
     rows = replay.renumber(df, loops=2).orderBy("frame_id").collect()
-    assert [r.frame_id for r in rows] == list(range(1, 13))
+    assert [r.frame_id for r in rows] == [r.trigger.sequence for r in rows] == list(range(1, 13))
     assert [r.dma_buffer_sequence for r in rows] == [0] * 4 + [1] * 2 + [2] * 4 + [3] * 2
     assert [(r.record_index_in_buffer, r.records_in_buffer) for r in rows[:6]] == [(0, 4), (1, 4), (2, 4), (3, 4), (0, 2), (1, 2)]
 
@@ -155,6 +161,111 @@ def test_v1_records_are_numbered_over_all_parts(spark):
     part(place, "a.raw.0001.bin", 1, [block(1), block(2)])
     with open(os.path.join(place, "a.raw.json"), "w") as out:
         out.write('{"session_id": "a", "coordinate_frame": "%s"}' % STANDARD_COORDINATE_FRAME)
-    rows, batches = recordings.read_recordings(spark, place, sessions=sessions.read_sessions(spark, place), task_bytes=300)
+    rows, batches, _ = recordings.read_recordings(spark, place, sessions=sessions.read_sessions(spark, place), task_bytes=300)
     assert sorted((r.dma_buffer_sequence, r.frame_id) for r in rows.collect()) == [(i, i + 1) for i in range(9)]
     assert sorted(r.sequence for r in batches.collect()) == list(range(9))
+
+
+def test_values_no_row_can_hold_reject_the_block(spark):
+    place = folder()
+    spoil = [(), (120, 2**64 - 1, 8), (120 + 92, 9, 1), (120 + 95, 2, 1), (120 + 96 + 56, 2**31, 4), (108, 3_000_000_000, 4), (100, 2**32 - 1, 4)]
+    raw = [bytearray(fixtures.block_bytes(3, block(i))) for i in range(len(spoil))]
+    for data, change in zip(raw, spoil):
+        if change:
+            at, value, size = change
+            data[at:at + size] = value.to_bytes(size, "little")
+    with open(os.path.join(place, "a.raw.0000.bin"), "wb") as out:
+        out.write(fixtures.stream_header(3, 64, 3) + b"".join(map(bytes, raw)))
+    part(place, "b.raw.0000.bin", 1, [block(0)])
+    with open(os.path.join(place, "b.raw.json"), "w") as out:
+        out.write('{"session_id": "b", "coordinate_frame": "%s"}' % STANDARD_COORDINATE_FRAME)
+    with open(os.path.join(place, "b.raw.0000.bin"), "r+b") as out:
+        out.seek(36 + 12)
+        out.write(b"\xff" * 8)  # the first record's frame id
+    with open(os.path.join(place, "c.raw.0000.bin"), "wb") as out:
+        out.write(b"FMCWRAW9")
+    rows, batches, rejects = recordings.read_recordings(spark, place, sessions=sessions.read_sessions(spark, place))
+    assert {(r.stem[-1], r.block, r.reject_reason) for r in rejects.collect()} == {
+        ("a", 1, "record_unsigned_range"), ("a", 2, "trajectory"), ("a", 3, "trajectory"), ("a", 4, "record_index_range"), ("a", 5, "segment_range"),
+        ("b", 0, "record_unsigned_range"), ("c", None, "stream_magic")}
+    assert {(r.session_id, r.frame_id) for r in rows.collect()} == {("a", f) for f in (1, 2, 3, 19, 20, 21)} | {("b", 2), ("b", 3)}
+    assert batches.count() == 4 and max(r.post_trigger_samples for r in rows.collect()) == 2**32 - 1
+
+
+def test_replay_source_keeps_order_paces_and_restarts(spark):
+    df = ascans(spark, [ascan_row(i, np.full(64, i, np.int16), up=(0, 32), down=(32, 64)) for i in range(1, 41)])
+    place = os.path.join(folder(), "replay")
+    replay.publish_replay(df, place, loops=2, buffers_per_tick=1)
+    out, checkpoint, seen = os.path.join(folder(), "out"), folder(), []
+
+    def run(stream, times):
+        query = stream.writeStream.foreachBatch(lambda batch, n: seen.append([r.frame_id for r in batch.collect()])).option("checkpointLocation", checkpoint).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    run(replay.replay_stream(spark, place, ticks_per_trigger=3), 0)
+    assert len(seen) == 7 and [f for batch in seen for f in sorted(batch)] == list(range(1, 81))
+    assert [max(batch) for batch in seen] == sorted(max(batch) for batch in seen)
+    replay.publish_replay(df, place + "2", loops=3, buffers_per_tick=1)
+    for tick in range(20, 30):
+        os.rename(f"{place}2/tick={tick}", f"{place}/tick={tick}")
+    seen.clear()
+    run(replay.replay_stream(spark, place, ticks_per_trigger=4), 0)
+    assert [sorted(batch) for batch in seen if batch] == [list(range(81, 97)), list(range(97, 113)), list(range(113, 121))]
+    sinks.drain_table(replay.replay_stream(spark, place, ticks_per_trigger=50, first_tick=28), out)
+    rows = spark.read.parquet(out).orderBy("frame_id").collect()
+    assert [r.frame_id for r in rows] == list(range(113, 121)) and rows[0].samples == [33] * 64
+
+
+def test_replay_cuts_single_records_into_buffers(spark):
+    df = ascans(spark, [ascan_row(i, np.full(64, i, np.int16), up=(0, 32), down=(32, 64)) for i in range(1, 8)])
+    single = df.withColumns({"dma_buffer_sequence": F.col("frame_id") - 1, "record_index_in_buffer": F.lit(0), "records_in_buffer": F.lit(1)})
+    rows = replay.renumber(single, loops=2, records_per_buffer=4).orderBy("frame_id").collect()
+    assert [(r.dma_buffer_sequence, r.record_index_in_buffer, r.records_in_buffer) for r in rows] == [(i // 4, i % 4, 4 if i < 12 else 2) for i in range(14)]
+    assert [r.samples[0] for r in rows] == [*range(1, 8)] * 2
+
+
+def test_fused_scan_measures_like_records_read_and_measured(spark):
+    place = folder()
+    rng = np.random.default_rng(3)
+    rows = [block(i) for i in range(4)]
+    for b in rows:
+        b["samples"] = [rng.integers(-9000, 9000, 64).astype(np.int16) for _ in range(3)]
+    rows[1]["config_revision"] = [1, 2, 1]
+    rows[2]["config_revision"] = 9  # unknown
+    for version in (2, 3):
+        part(place, f"s{version}.raw.0000.bin", version, rows)
+        with open(os.path.join(place, f"s{version}.raw.json"), "w") as out:
+            out.write('{"session_id": "s%d", "coordinate_frame": "%s"}' % (version, STANDARD_COORDINATE_FRAME))
+    raw = bytearray(fixtures.block_bytes(3, rows[0]))
+    raw[72:76] = (7).to_bytes(4, "little")  # frame kind
+    with open(os.path.join(place, "kind.raw.0000.bin"), "wb") as out:
+        out.write(fixtures.stream_header(3, 64, 3) + bytes(raw) + b"tail")
+    cfg = config(spark, sample_point=64, up_start=0, up_end=32, down_start=32, down_end=64, fft_length=64, peak_end=30, threshold_db=-90.0)
+    cfg = cfg.unionByName(cfg.withColumns({"config_revision": F.lit(2).cast("long"), "remove_dc": F.lit(False), "window_function": F.lit("hamming")}))
+    side = sessions.read_sessions(spark, place)
+    read, _, lost = recordings.read_recordings(spark, place, sessions=side)
+    from beamfold.operators import measure, records
+    wanted = measure.measure_ascans(read, cfg)
+    found, bad, rejects = measured.measure_recordings(spark, place, cfg, sessions=side, task_bytes=1)
+    assert found.drop("pos", "point").orderBy("session_id", "frame_id").collect() == wanted.select(found.columns).drop("pos", "point").orderBy("session_id", "frame_id").collect()
+    assert found.count() == 18 and found.where("measurement_valid").count() == 18
+    reasons = lambda df: sorted((r.session_id, r.frame_id, r.reject_reason) for r in df.collect())
+    assert reasons(bad) == reasons(records.check_record_contract(read, cfg)[1]) and {r[2] for r in reasons(bad)} == {"no_config", "frame_kind"}
+    assert rejects.count() == lost.count() == 1
+
+
+def test_batches_are_bounded_and_consistent(spark):
+    from beamfold.operators import measure
+    df = ascans(spark, [ascan_row(i, np.full(64, i, np.int16), up=(0, 32), down=(32, 64)) for i in range(1, 13)])
+    cfg = config(spark, sample_point=64, up_start=0, up_end=32, down_start=32, down_end=64, fft_length=64, peak_end=30)
+    assert measure.measure_batches(df, cfg)[1].count() == 0
+    bounded = cfg.withColumn("records_per_buffer", F.lit(3))
+    kept, rejected = measure.measure_batches(df, bounded)
+    assert kept.count() == 0 and {(r.dma_buffer_sequence, r.bad_records, r.reject_reason) for r in rejected.collect()} == {(i, 0, "record_count") for i in range(3)}
+    broken = df.where("frame_id <> 2").withColumn("channel", F.when(F.col("frame_id") == 9, "b").otherwise("a"))
+    kept, rejected = measure.measure_batches(broken, bounded.withColumn("records_per_buffer", F.lit(4)))
+    assert {r.dma_buffer_sequence for r in kept.collect()} == {1}
+    assert {(r.dma_buffer_sequence, r.bad_records, r.reject_reason) for r in rejected.collect()} == {(0, 0, "record_count"), (2, 1, "channel")}
