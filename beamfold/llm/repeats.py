@@ -3,11 +3,13 @@
 1. Anchors. Each window of SPAN bytes names one of its k-grams, the one of the least hash. Equal windows name the same k-gram,
    so a window whose anchor occurs once cannot repeat. Windows in a row with one anchor form a context.
 2. Contexts of the anchors that occur at two places are collapsed by content. A context found twice repeats in all its windows.
-3. Of each anchor with several distinct contexts, all of them meet in one shard, and a suffix order by linear grouping
-   (``suffixes``) puts equal windows next to each other; what all contexts of an anchor share around it is one symbol.
-   Neighbours are compared byte by byte. An anchor of more than ``LARGE`` contexts (about a megabyte of bytes), such as the end
-   of a passage that very many documents share, has its windows grouped by their 64-bit hash instead, so that no task holds
-   more than that.
+3. Of each anchor with several distinct contexts, of which one at least is new, all meet in one shard. How far each agrees with
+   any other to the left and to the right of the anchor leaves only windows that can repeat; a suffix order by linear grouping
+   (``suffixes``) puts equal ones of these next to each other, where what all contexts share around the anchor is one symbol, and
+   neighbours are compared byte by byte. An anchor of more than ``MOST`` contexts, such as the end of a passage that very many
+   documents share, is split first: a window reaches far to its right or else far to its left, so it also contains one of two
+   longer anchors (``_split``). Its contexts under these are collapsed and ordered likewise, or split again, at last down to whole
+   windows; so no task holds more than ``MOST`` contexts at once, and every window is settled by content or by the order.
 4. Repeating windows are merged into removal spans of each distinct text; equal texts are worked on once.
 
 Hashes have 64 bits; texts and contexts count as equal if these agree.
@@ -22,11 +24,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from beamfold.llm import words as W
 from beamfold.llm.catalog import query, table
@@ -34,7 +37,7 @@ from beamfold.llm.suffixes import suffix_order
 from beamfold.session import stage
 
 SPAN, GRAM = 200, 40
-LARGE = 4000
+MOST = 4000
 _PLACE_BITS = 31
 _PLACE = W.series(5, 1)[0] | np.uint64(1)
 
@@ -107,34 +110,65 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), batch.column("text")], ["key", "text"])
 
 
-_SNIPPET = "anchor long, many long, key long, start int, windows int, lead int, repeated boolean, bytes binary"
+_SNIPPET = "anchor long, many long, place long, key long, start int, windows int, lead int, repeated boolean, bytes binary"
+_KNOWN = [c.split()[0] for c in _SNIPPET.split(", ")][:-1]
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes under the wanted contexts of a text."""
-    names = [c.split()[0] for c in _SNIPPET.split(", ")]
     for batch in batches:
         for key, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "wanted"))):
             raw = text.encode()
-            rows = [(w["anchor"], w["many"], key, w["start"], w["windows"], w["lead"], w["repeated"], raw[w["start"]:w["start"] + w["windows"] - 1 + SPAN]) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()])], names)
-
-
-def repeated_windows(members: list[tuple[bytes, int, int, bool]]) -> list[list[int]]:
-    """members: distinct contexts of one anchor as (bytes, windows, lead, all its windows repeat anyway). The windows of each
-    that some other one has, too."""
-    left = min(m[2] for m in members)
-    first = members[0]
-    same = 0  # bytes before the anchor that all share
-    while same < left and all(m[0][m[2] - same - 1] == first[0][first[2] - same - 1] for m in members):
-        same += 1
-    right = min(len(m[0]) - m[2] for m in members)
-    end = GRAM  # bytes from the anchor on that all share
-    while end < right and all(m[0][m[2] + end] == first[0][first[2] + end] for m in members):
-        end += 1
+            rows = [(w["anchor"], w["many"], w["place"], key, w["start"], w["windows"], w["lead"], w["repeated"], raw[w["start"]:w["start"] + w["windows"] - 1 + SPAN]) for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()])], [*_KNOWN, "bytes"])
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that both begin with."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle)
+    return low
+
+
+def _agreement(sides: list[bytes]) -> tuple[list[int], int]:
+    """Bytes that each begins with like another one, and those that all begin with."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    near = [_common(sides[a], sides[b]) for a, b in zip(order, order[1:])]
+    most = [0] * len(sides)
+    for k, before, after in zip(order, [0, *near], [*near, 0]):
+        most[k] = max(before, after)
+    return most, min(near)
+
+
+def repeated_windows(members: list[tuple[bytes, int, int, bool]], core: int = GRAM) -> list[list[int]]:
+    """members: distinct contexts of one anchor of ``core`` bytes as (bytes, windows, lead, all its windows repeat anyway). The
+    windows of each that some other one has, too."""
+    out = [list(range(m[1])) if m[3] else [] for m in members]
+    left, _ = _agreement([m[0][:m[2]][::-1] for m in members])
+    right, _ = _agreement([m[0][m[2] + core:] for m in members])
+    # Windows that go beyond what a context has in common with any other one on either side are its own.
+    able = [(k, max(m[2] - left[k], 0), min(m[1], m[2] + core + right[k] - SPAN + 1)) for k, m in enumerate(members)]
+    able = [(k, a, b) for k, a, b in able if a < b]
+    if len(able) > 1 and not all(members[k][3] for k, *_ in able):
+        found = _same_windows([(members[k][0][a:b - 1 + SPAN], b - a, members[k][2] - a) for k, a, b in able], core)
+        for (k, a, _), windows in zip(able, found):
+            if not members[k][3]:
+                out[k] = [a + w for w in sorted(windows)]
+    return out
+
+
+def _same_windows(members: list[tuple[bytes, int, int]], core: int) -> list[set[int]]:
+    """Windows (bytes, windows, lead) of each that some other one has, by the suffix order of all."""
+    _, same = _agreement([m[0][:m[2]][::-1] for m in members])  # bytes before the anchor that all share
+    _, more = _agreement([m[0][m[2] + core:] for m in members])
+    end = core + more  # bytes from the anchor on that all share
     sequence: list[int] = []
     owner: list[tuple[int, int]] = []  # context and window, or -1 for the shared symbol, or None
-    for k, (raw, windows, lead, _) in enumerate(members):
+    for k, (raw, windows, lead) in enumerate(members):
         head = lead - same
         sequence += [b + 2 for b in raw[:head]] + [258] + [b + 2 for b in raw[lead + end:]] + [1]
         owner += [(k, i) if i < windows else (k, -2) for i in range(head)] + [(k, -1)] + [(k, -2)] * (len(raw) - lead - end + 1)
@@ -162,7 +196,7 @@ def repeated_windows(members: list[tuple[bytes, int, int, bool]]) -> list[list[i
             if 0 <= i < members[k][1]:
                 compare(last, (k, i))
                 last = (k, i)
-    return [list(range(m[1])) if m[3] else sorted(f) for m, f in zip(members, found)]
+    return found
 
 
 def _runs(windows: list[int]) -> list[tuple[int, int]]:
@@ -176,40 +210,70 @@ def _runs(windows: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of their anchors: repeating windows (key, first, last) of each anchor's contexts."""
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "start", "windows", "lead", "repeated", "bytes")))
-
-    out: list[tuple[int, int, int]] = []
-    schema = pa.schema([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
-    emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-    for _, group in groupby(rows(), key=lambda r: r[0]):
-        # Equal rows come from copies of a text.
-        members = list({(r[1], r[2]): r for r in group}.values())
-        if len(members) < 2:
-            continue
-        for m, windows in zip(members, repeated_windows([(m[6], m[3], m[4], m[5]) for m in members])):
-            if not m[5]:
-                out += [(m[1], m[2] + a, m[2] + b) for a, b in _runs(windows)]
-        if len(out) > 5000:
+def _ordered(core: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of their anchors: repeating windows (key, first, last) of each anchor's contexts."""
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "start", "windows", "lead", "repeated", "bytes")))
+
+        out: list[tuple[int, int, int]] = []
+        schema = pa.schema([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+        emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        for _, group in groupby(rows(), key=lambda r: r[0]):
+            # Equal rows come from copies of a text.
+            members = list({(r[1], r[2]): r for r in group}.values())
+            if len(members) < 2:
+                continue
+            for m, windows in zip(members, repeated_windows([(m[6], m[3], m[4], m[5]) for m in members], core)):
+                if not m[5]:
+                    out += [(m[1], m[2] + a, m[2] + b) for a, b in _runs(windows)]
+            if len(out) > 5000:
+                yield emit()
+                out = []
+        if out:
             yield emit()
-            out = []
-    if out:
-        yield emit()
 
+    return run
+
+
+def _split(rows: DataFrame, core: int) -> tuple[DataFrame, int]:
+    """The same windows under longer anchors: one that ends ``more`` bytes further right for windows that reach so far, one that
+    begins as far to the left for the others. Equal windows stay under equal anchors."""
+    more = -(-(SPAN - core) // 2)
+    turn = SPAN - core - more  # most bytes before the anchor of a window that has ``more`` bytes behind it
+    first = F.greatest(F.col("lead") - turn, F.lit(0))
+
+    def part(a: Column, n: Column, lead: Column, side: str) -> Column:
+        raw = F.substring("bytes", a + 1, n - 1 + SPAN)
+        return F.struct((F.col("start") + a).alias("start"), n.alias("windows"), lead.alias("lead"), raw.alias("bytes"),
+                        F.xxhash64(F.substring(raw, lead + 1, F.lit(core + more)), F.lit(side)).alias("anchor"))
+
+    n = F.least(F.col("windows"), F.col("lead") - turn)
+    both = F.array(part(first, F.col("windows") - first, F.col("lead") - first, "right"), part(F.lit(0), n, F.col("lead") - more, "left"))
+    return rows.select("place", "key", "repeated", F.explode(both).alias("p")).where("p.windows > 0").select("place", "key", "repeated", "p.*"), core + more
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the contexts: hash, identity of its place, key and number."""
-    for batch in batches:
-        for key, start, windows, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "windows", "bytes"))):
-            at = np.arange(windows)
-            block = W.Block(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            keys = np.full(windows, key, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(W.ranges_hash(block, at, at + SPAN).view(np.int64)), pa.array(_identity(keys, at + start)), pa.array(keys), pa.array((at + start).astype(np.int32))],
-                ["hash", "place", "key", "first"])
+
+def _settle(rows: DataFrame, core: int) -> list[DataFrame]:
+    """Repeating windows (key, first, last) under anchors of ``core`` bytes that have more than ``MOST`` contexts."""
+    out = []
+    while core < SPAN and not rows.isEmpty():
+        rows, core = _split(rows, core)
+        rows = stage(rows.withColumn("content", F.xxhash64("bytes", "lead")), "split")
+        kinds = stage(rows.groupBy("anchor", "content").agg(
+            F.min("place").alias("place"), (F.max("repeated") | (F.min("place") != F.max("place"))).alias("repeated")), "kinds")
+        sure = rows.where("not repeated").join(kinds.where("repeated").select("anchor", "content"), ["anchor", "content"], "left_semi")
+        out.append(sure.select("key", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last")))
+        several = stage(kinds.groupBy("anchor").agg(F.count("*").alias("many"), F.min("repeated").alias("all")).where("many > 1 and not all").drop("all"), "several")
+        rows = stage(rows.drop("repeated").join(kinds, ["anchor", "content", "place"]).join(several, "anchor").select(*_KNOWN, "bytes"), "split")
+        out.append(_order(rows.where(F.col("many") <= MOST), core))
+        rows = rows.where(F.col("many") > MOST)
+    return out
+
+
+def _order(rows: DataFrame, core: int) -> DataFrame:
+    return rows.select("anchor", "key", "start", "windows", "lead", "repeated", "bytes").repartition("anchor").sortWithinPartitions(
+        "anchor").mapInArrow(_ordered(core), "key long, first int, last int")
 
 
 def spans_of(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -237,31 +301,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _repeats(texts: DataFrame, copied: DataFrame) -> DataFrame:
     """(key, text, windows): repeating windows of the texts that occur once; copied: keys of those that do not."""
     every = texts.mapInArrow(_contexts, _CONTEXT)
-    twice = every.groupBy("anchor").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("anchor")
+    # Staged on its own, so that both sides of the join come straight from an exchange and a hot anchor can be split.
+    twice = stage(every.groupBy("anchor").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("anchor"), "anchors")
     here = stage(every.join(twice, "anchor", "left_semi").distinct(), "contexts")
     # A context's extent can differ between places of one content hash only if the content differs.
-    kinds = here.groupBy("anchor", "content").agg(F.min("place").alias("lead_place"), (F.min("place") != F.max("place")).alias("repeated"), F.max("key").alias("any_key"))
+    kinds = here.groupBy("anchor", "content").agg(
+        F.min(F.struct("place", "key", "start", "windows", "lead")).alias("rep"), (F.min("place") != F.max("place")).alias("repeated"), F.max("key").alias("any_key"))
     # A context of a copied text stands at several places, too.
     kinds = kinds.join(copied.select(F.col("key").alias("any_key"), F.lit(True).alias("copied")), "any_key", "left").select(
-        "anchor", "content", "lead_place", (F.col("repeated") | F.col("copied").isNotNull()).alias("repeated"))
+        "anchor", "content", "rep", (F.col("repeated") | F.col("copied").isNotNull()).alias("repeated"))
     kinds = stage(kinds, "kinds")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1")
+    # Where every context repeats as a whole, there is nothing left to find.
+    several = stage(kinds.groupBy("anchor").agg(F.count("*").alias("many"), F.min("repeated").alias("all")).where("many > 1 and not all").drop("all"), "several")
     sure = here.join(kinds.where("repeated").select("anchor", "content"), ["anchor", "content"], "left_semi").select(
         "key", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
-    shown = here.join(kinds.select("anchor", "content", F.col("lead_place").alias("place"), "repeated"), ["anchor", "content", "place"]).join(several, "anchor")
-    wanted = shown.groupBy("key").agg(F.collect_set(F.struct("anchor", "many", "start", "windows", "lead", "repeated")).alias("wanted"))
+    shown = kinds.select("anchor", "rep.*", "repeated").join(several, "anchor")
+    wanted = shown.groupBy("key").agg(F.collect_set(F.struct(*(c for c in _KNOWN if c != "key"))).alias("wanted"))
 
     keyed = texts.mapInArrow(_keyed, "key long, text string")
     candidates = stage(keyed.join(here.select("key").distinct(), "key", "left_semi"), "candidates")
     snippets = stage(candidates.join(wanted, "key").mapInArrow(_snippets, _SNIPPET), "snippets")
-    small = snippets.where(F.col("many") <= LARGE).repartition("anchor").sortWithinPartitions("anchor")
-    ordered = small.select("anchor", "key", "start", "windows", "lead", "repeated", "bytes").mapInArrow(_ordered, "key long, first int, last int")
-
-    large = snippets.where(F.col("many") > LARGE).select("key", "start", "windows", "bytes").mapInArrow(_hashed, "hash long, place long, key long, first int")
-    met = large.groupBy("hash").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("hash")
-    hashed = large.join(met, "hash", "left_semi").select("key", "first", F.col("first").alias("last"))
-
-    found = stage(sure.unionAll(ordered).unionAll(hashed), "windows")
+    found = [sure, _order(snippets.where(F.col("many") <= MOST), GRAM), *_settle(snippets.where(F.col("many") > MOST), GRAM)]
+    found = stage(reduce(DataFrame.unionAll, found), "windows")
     once = found.join(copied, "key", "left_anti").groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
     return candidates.join(once, "key")
 
