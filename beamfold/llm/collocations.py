@@ -13,7 +13,7 @@ gets this table of fixed size. Where two phrases share a slot, the later is coun
 A task counts its phrases in sorted arrays and hands them over in slices by the first bits of their hash, packed; one group per slice
 adds them to the slice's counts so far. Nothing is grouped by phrase in rows, a frequent phrase is one entry a task. After a
 phrase's cycle, counts under the threshold are dropped. The driver gets the new stamps, a bit a slot at most. A last scan finds
-the words of the phrases that reached the threshold; cuts, scores, drops and ranks are joins and windows.
+the words of the phrases that reached the threshold, in slices as well; cuts, scores, drops and ranks are joins and windows.
 
 Texts null or empty have no words, a null language is ``und``. Repeated rows count as often as they occur; texts are never cut, long
 ones are counted as a block of their own. Equal scores and counts rank by phrase. Other columns are ignored; an empty table
@@ -46,8 +46,12 @@ _WORD = ~_BREAK
 _WORD[[0x20, 0x09]] = False
 _STATE = "slice int, keys binary, counts binary, marks binary, bits binary, last binary"
 _STATE_KINDS = [pa.int32(), *[pa.binary()] * 5]
+_MET = "slice int, keys binary, langs array<string>, phrases array<string>"
+_MET_KINDS = [pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())]
 _FOUND = "lang string, words long, key long, phrase string, heads array<long>, tails array<long>"
 _FOUND_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+#: Slice of the languages' numbers of words.
+TOTALS = -1
 
 
 def _batch(rows: list[tuple], schema: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -191,33 +195,73 @@ def _merge(step: int, shards: int, threshold: int, longest: int, slices: int, sl
     return run
 
 
-def _names(longest: int, stamps: bytes, slot_bits: int):
-    """Language and words of stamped phrases of two words or more, each once a task; and each language's number of words."""
+def _met(longest: int, stamps: bytes, slices: int, slot_bits: int):
+    """Language and words of stamped phrases of two words or more, each once a task, in slices; and each language's number of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, totals = set(), {}
+        seen: set[int] = set()
+        new: dict[int, tuple[str, str]] = {}
+        totals: dict[str, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            keys = np.sort(np.fromiter(new, np.uint64, len(new)))
+            cut = [*np.searchsorted(keys, _edges(slices)).tolist(), len(keys)]
+            rows = []
+            for number, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                if a < b:
+                    own = [new[k] for k in keys[a:b].tolist()]
+                    rows.append((number, keys[a:b].tobytes(), [x[0] for x in own], [x[1] for x in own]))
+            new.clear()
+            return _batch(rows, _MET, _MET_KINDS)
+
         for names, block, grams in _blocks(batches, stamps, slot_bits):
-            w, data, levels, rows = grams.words, block.data.tobytes(), [], []
+            w, data = grams.words, block.data.tobytes()
             for name, n in zip(names, w.counts.tolist()):
                 totals[name] = totals.get(name, 0) + n
-
-            def key(length: int, place: int) -> int:
-                places, keys = levels[length - 1]
-                return int(keys[np.searchsorted(places, place)].view(np.int64))
-
             for length, places, keys, _ in grams.lengths(longest, LAST - 1):
-                levels.append((places, keys))
                 if length == 1:
                     continue
                 keep = np.flatnonzero(grams.stamped(keys))
-                known, index = np.unique(keys[keep].view(np.int64), return_index=True)
+                known, index = np.unique(keys[keep], return_index=True)
                 for k, p in zip(known.tolist(), places[keep[index]].tolist()):
                     if k not in seen:
                         seen.add(k)
-                        words = b" ".join(data[a:b] for a, b in zip(w.start[p:p + length].tolist(), w.end[p:p + length].tolist()))
-                        cuts = range(1, length)
-                        rows.append((names[w.text[p]], None, k, words.lower().decode(), [key(c, p) for c in cuts], [key(length - c, p + c) for c in cuts]))
-            yield _batch(rows, _FOUND, _FOUND_KINDS)
-        yield _batch([(name, n, None, None, None, None) for name, n in totals.items()], _FOUND, _FOUND_KINDS)
+                        words = b" ".join([data[a:b] for a, b in zip(w.start[p:p + length].tolist(), w.end[p:p + length].tolist())])
+                        new[k] = names[w.text[p]], words.lower().decode()
+            if len(new) > FLUSH // 16:
+                yield flush()
+        if new:
+            yield flush()
+        yield _batch([(TOTALS, np.array(list(totals.values()), np.int64).tobytes(), list(totals), None)], _MET, _MET_KINDS)
+
+    return run
+
+
+def _named(longest: int, stamps: bytes, slot_bits: int):
+    """Each phrase of a slice once, with the keys of its parts; or each language's number of words in all."""
+    def run(group: pa.Table) -> pa.Table:
+        langs = [x for v in group.column("langs").to_pylist() for x in v]
+        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.int64)
+        if group.column("slice")[0].as_py() == TOTALS:
+            total: dict[str, int] = {}
+            for name, n in zip(langs, keys.tolist()):
+                total[name] = total.get(name, 0) + n
+            return pa.Table.from_batches([_batch([(name, n, None, None, None, None) for name, n in total.items()], _FOUND, _FOUND_KINDS)])
+        phrases = [x for v in group.column("phrases").to_pylist() for x in v]
+        first = np.unique(keys, return_index=True)[1].tolist()
+        rows, at = [], 0
+        batch = pa.RecordBatch.from_arrays([pa.array([langs[i] for i in first], pa.string()), pa.array([phrases[i] for i in first], pa.string())], ["lang", "text"])
+        for names, block, grams in _blocks(iter([batch]), stamps, slot_bits):
+            levels = [(places, level) for _, places, level, _ in grams.lengths(longest, LAST - 1)]
+
+            def key(length: int, place: int) -> int:
+                places, level = levels[length - 1]
+                return int(level[np.searchsorted(places, place)].view(np.int64))
+
+            for name, n, p in zip(names, grams.words.counts.tolist(), grams.words.firsts.tolist()):
+                i, cuts = first[at], range(1, n)
+                rows.append((name, None, int(keys[i]), phrases[i], [key(c, p) for c in cuts], [key(n - c, p + c) for c in cuts]))
+                at += 1
+        return pa.Table.from_batches([_batch(rows, _FOUND, _FOUND_KINDS)])
 
     return run
 
@@ -241,7 +285,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def count_phrases(documents: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
     """(counts, names). counts: (key, n) of every phrase of up to ``longest`` words with n >= threshold occurrences. names: its lang,
     key and phrase where it has two words or more, and the keys of its parts by cut, heads and tails; also other phrases that share a
-    slot with one of these. Rows of names without a key have a language's number of words in one task."""
+    slot with one of these. Rows of names without a key have a language's number of words."""
     if shards * longest >= LAST:
         raise ValueError(f"shards times longest must stay below {LAST}")
     spark = documents.sparkSession
@@ -270,15 +314,16 @@ def count_phrases(documents: DataFrame, threshold: int = THRESHOLD, longest: int
             for raw, stamp in ((last, LAST), (bits, step)):
                 own[np.unpackbits(np.frombuffer(raw, np.uint8), count=high - low).astype(bool) & (own >= (LAST if stamp == step else NEVER))] = stamp
     counts = stage(state.select("keys", "counts", "marks").mapInArrow(_entries(threshold), "key long, n long"), "phrases")
-    return counts, dealt_texts.select("lang", "text").mapInArrow(_names(longest, squeeze(stamps.tobytes()), slot_bits), _FOUND)
+    final = squeeze(stamps.tobytes())
+    met = dealt_texts.select("lang", "text").mapInArrow(_met(longest, final, slices, slot_bits), _MET)
+    return counts, stage(met.groupBy("slice").applyInArrow(_named(longest, final, slot_bits), _FOUND), "names")
 
 
 def collocations(documents: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language."""
     counts, names = count_phrases(documents, threshold, longest, shards, slot_bits)
-    names = stage(names.groupBy("lang", "key").agg(F.sum("words").alias("n"), F.min(F.struct("phrase", "heads", "tails")).alias("p")), "names")
-    totals = names.where("key is null").select("lang", "n")
-    found = stage(names.where("key is not null").select("lang", "key", "p.*").join(counts.withColumnRenamed("n", "a"), "key"), "candidates")
+    totals = names.where("key is null").select("lang", F.col("words").alias("n"))
+    found = stage(names.where("key is not null").drop("words").join(counts.withColumnRenamed("n", "a"), "key"), "candidates")
 
     cut = found.select("lang", "key", "a", F.posexplode(F.arrays_zip("heads", "tails")).alias("k", "c")).select("lang", "key", "a", "k", "c.*")
     cut = cut.join(counts.select(F.col("key").alias("heads"), F.col("n").alias("l")), "heads").join(counts.select(F.col("key").alias("tails"), F.col("n").alias("r")), "tails").join(totals, "lang")
