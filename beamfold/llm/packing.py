@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from beamfold.llm.catalog import query, table
 from beamfold.llm.tokens import encoder, tokenizer_path
@@ -154,17 +154,18 @@ def write(documents: DataFrame, path: str, folder: str, length: int = LENGTH, en
     documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_pack(path, length, end_id), _PIECE).write.parquet(folder)
 
 
-def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Written pieces: doc_id, start, length, doc_tokens, sequence_id (from 0 without gaps), offset, ids."""
+def read_pieces(spark: SparkSession, folder: str, ids: Column | str = "ids") -> DataFrame:
+    """Written pieces: doc_id, start, length, doc_tokens, sequence_id (from 0 without gaps), offset, ids, or what is asked of ids."""
     pieces = spark.read.schema(_PIECE).parquet(folder)
+    own = pieces.select("part", "window", "doc_id", "start", "length", "doc_tokens", "offset", ids)
     # One row per written part: as many as the write had tasks, whatever the number of documents.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = pieces.groupBy("part").agg((F.max("window") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return pieces.join(parts, "part").select("doc_id", "start", "length", "doc_tokens", (F.col("base") + F.col("window")).alias("sequence_id"), "offset", "ids")
+    return own.join(parts, "part").select("doc_id", "start", "length", "doc_tokens", (F.col("base") + F.col("window")).alias("sequence_id"), "offset", own.columns[-1])
 
 
 @query("op13_packing")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "packed")
     write(table(spark, sf_dir, "documents"), tokenizer_path(), folder)
-    return read_pieces(spark, folder).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return read_pieces(spark, folder, F.crc32("ids").alias("ids_crc32"))
