@@ -3,7 +3,9 @@
 Texts are brought to lower-case words with one space between them, whole blocks of texts at a time. A notice of k allowed
 edits is cut into k + 1 pieces; a place within k edits holds at least one piece unchanged (pigeonhole), so one search for all
 the pieces gives every candidate place. The regex library's bounded-error matching then judges a stretch around each
-candidate by itself, as long as the notice and its edits allow, and gives the best match and its edits. Of matches of a notice
+candidate by itself, as long as the notice and its edits allow, and gives the best match and its edits. The words that tell a
+notice apart must stand in it as whole words, and unchanged if they are short, where an edit gives another licence's ("mit", "mpl"),
+else with at most one edit. Of matches of a notice
 that overlap the one with the fewest edits counts, then the first; what a stretch has left beside it is judged again.
 
 Edits are counted on the UTF-8 bytes of the normal form; spans are byte ranges of the text as given. A span's score is the
@@ -32,20 +34,22 @@ from beamfold.llm.catalog import query, table
 # Phrases and labels that count at every place.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Short notices in their normal form and the label each one stands for.
+# Short notices in their normal form, the label each one stands for, and the words of it that tell it apart.
 NOTICES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("released under the mit license", "mit"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("licensed under the gnu general public license", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("mozilla public license version 2 0", "mpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("creative commons attribution", "cc"),
-    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", "hereby granted"),
+    ("released under the mit license", "mit", "mit"),
+    ("licensed under the apache license version 2 0", "apache", "apache"),
+    ("licensed under the gnu general public license", "gpl", "general"),
+    ("gnu lesser general public license", "lgpl", "lesser"),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "source and binary"),
+    ("mozilla public license version 2 0", "mpl", "mozilla"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "by nc"),
+    ("creative commons attribution", "cc", "commons"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", "use copy modify"),
+    ("this is free and unencumbered software released into the public domain", "unlicense", "unencumbered"),
 )
+#: Words of so many bytes that tell a notice apart may have one of its edits.
+LONG_WORDS = 6
 #: One edit for so many bytes of a notice, so that no piece is shorter than about this less one.
 BYTES_PER_EDIT = 14
 
@@ -64,10 +68,13 @@ def pieces(notice: bytes, edits: int) -> list[tuple[int, bytes]]:
 def _plan() -> tuple[list[tuple], ahocorasick.Automaton]:
     """Notices with label, edits and pattern; an automaton of all pieces with (notice, place of the piece's end)."""
     plan, where = [], {}
-    for i, (text, label) in enumerate(NOTICES):
+    for i, (text, label, own) in enumerate(NOTICES):
         notice = text.encode()
         k = len(notice) // BYTES_PER_EDIT
-        plan.append((notice, label, k, regex.compile(b"(?b)(?:" + regex.escape(notice) + b"){e<=%d}" % k)))
+        fuzzy = lambda part: b"(?:" + regex.escape(part) + b"){e<=%d}" % k if part else b""  # noqa: E731, B023
+        before, behind = notice.split(own.encode())
+        apart = b"(?:" + regex.escape(own.encode()) + (b"){e<=1}" if len(own) >= LONG_WORDS else b")")
+        plan.append((notice, label, k, regex.compile(b"(?b)" + fuzzy(before) + rb"(?<![^ \n])" + apart + rb"(?![^ \n])" + fuzzy(behind))))
         for offset, piece in pieces(notice, k):
             where.setdefault(piece.decode("latin-1"), []).append((i, offset + len(piece)))
     automaton = ahocorasick.Automaton()
@@ -97,9 +104,9 @@ def _apart(form: bytes, stretches: set[tuple[int, int]], notice: bytes, k: int,
         if b - a < len(notice) - k:
             return
         at = form.find(notice, a, b)
-        if at >= 0:
+        if at >= 0 and pattern.match(form, at, at + len(notice)):
             heapq.heappush(found, (0, at, at + len(notice), a, b))
-        elif m := pattern.search(form, a, b):
+        elif (m := pattern.search(form, a, b)) and sum(m.fuzzy_counts) <= k:
             heapq.heappush(found, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
 
     for a, b in stretches:
