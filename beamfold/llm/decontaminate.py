@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from beamfold.llm import words as W
-from beamfold.llm.catalog import query, table
+from beamfold.llm.catalog import column, query, table
+from beamfold.session import stage
 
 WINDOW = 10
 PART_BYTES = 8 << 20
@@ -232,13 +233,16 @@ def _scanned(documents: DataFrame, benchmark: DataFrame, window: int, part_bytes
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(size / part_bytes))
-    rows = documents.select(F.struct(*(["doc_id", "text"] if slim else documents.columns)).alias("_row"))
+    rows = documents.select(F.struct(*map(column, ["doc_id", "text"] if slim else documents.columns)).alias("_row"))
     for k in range(parts):
         # Every part has about part_bytes; xxhash deals the items out evenly.
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
         last = slim and k == parts - 1
         row = StructField("doc_id", documents.schema["doc_id"].dataType) if last else rows.schema["_row"]
         rows = rows.mapInArrow(_pass(phrases([(r[0], r[1]) for r in part], window), k > 0, last), StructType([row, *_ADDED.fields]))
+        if k < parts - 1:
+            # Each part is a job of its own, so that tasks hold the phrases of one part, however large the benchmark.
+            rows = stage(rows, "screened")
     return rows
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from beamfold.llm import words as W
-from beamfold.llm.catalog import query, table
+from beamfold.llm.catalog import column, query, table
 from beamfold.llm.components import components
 from beamfold.session import stage
 
@@ -292,9 +292,6 @@ def _decided(texts: DataFrame, rule: Rule) -> DataFrame:
                         (F.col("key").isNull() | (F.col("row") == F.col("top"))).alias("stands"))
 
 
-_ROW = "_neardup_row"
-
-
 def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (it is that document)."""
     texts = documents.selectExpr("monotonically_increasing_id() row", "xxhash64(text) tie", "cast(doc_id as long) doc_id", "text")
@@ -304,11 +301,14 @@ def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def unique(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The documents without those that another one stands for, all their columns."""
-    plain = [f.name for f in documents.schema if isinstance(f.dataType, T.AtomicType)]
-    numbered = stage(documents.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select(F.col(_ROW).alias("row"), F.xxhash64(*plain).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = _decided(texts, rule).where("not stands").select(F.col("row").alias(_ROW))
-    return numbered.join(stage(gone, "gone"), _ROW, "left_anti").select(documents.columns)
+    plain = [column(f.name) for f in documents.schema if isinstance(f.dataType, T.AtomicType)]
+    number = "row"
+    while number in documents.columns:
+        number += "_"
+    numbered = stage(documents.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(number).alias("row"), F.xxhash64(*plain).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = _decided(texts, rule).where("not stands").select(F.col("row").alias(number))
+    return numbered.join(stage(gone, "gone"), number, "left_anti").select(*map(column, documents.columns))
 
 
 @query("op1_minhash_near_dedup")

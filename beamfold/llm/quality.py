@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from beamfold.llm import words as W
-from beamfold.llm.catalog import query, table
+from beamfold.llm.catalog import column, query, table
 from beamfold.session import stage
 
 SYMBOLS = b"#*$%&|<>"
@@ -80,7 +80,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(documents: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns as struct ``_row``, next to the counts of the whole text."""
     text = [] if "text" in columns else [F.col("text").alias("_text")]
-    rows = documents.select(F.struct(*columns).alias("_row"), *text)
+    rows = documents.select(F.struct(*map(column, columns)).alias("_row"), *text)
     return rows.mapInArrow(_measure, rows.select("_row", *(F.lit(0).cast("long").alias(c) for c in COUNTS)).schema)
 
 

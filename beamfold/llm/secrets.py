@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from beamfold.llm.catalog import query, table
+from beamfold.llm.catalog import column, query, table
 from beamfold.session import stage
 
 SCOPE = 200
@@ -127,7 +127,7 @@ def redacted(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The documents, every reported span replaced by ``MASK``; n_chars, if there is one, follows. Texts without an anchor are not shuffled."""
     text = F.coalesce("text", F.lit(""))
     found = stage(_per_text(_reported(_parts(stage(_read(documents.selectExpr("cast(doc_id as long) doc_id", "text")), "parts")), scope)), "spans")
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), text.rlike(ANCHOR).alias("_anchored"), text.alias("_text"))
+    rows = documents.select(F.struct(*map(column, documents.columns)).alias("_row"), text.rlike(ANCHOR).alias("_anchored"), text.alias("_text"))
     hit = rows.where("_anchored").withColumn("key", F.md5("_text")).join(found, "key", "left")
     pieces = F.transform("spans", lambda s: F.when(s["start"] >= s["covered"], F.concat(
         F.substr("_text", (s["covered"] + 1).cast("int"), (s["start"] - s["covered"]).cast("int")), F.lit(MASK))).otherwise(F.lit("")))

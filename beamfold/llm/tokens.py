@@ -14,7 +14,7 @@ Ids come from the tokenizers library. A space between two visible characters alw
 there and each distinct cut of a task's texts is encoded once; texts with runs of white space are cut only at single spaces.
 
 The dictionary is a model fitted on at most ``SAMPLE_DOCUMENTS`` documents of at most ``SAMPLE_BYTES`` bytes, those with the
-smallest hash of their doc_id. Rows of one doc_id are ordered by the hash of their text; a null doc_id comes first. A null or
+smallest hash of their doc_id (of rows of one doc_id, of their text). Rows of one doc_id are ordered by the hash of their text; a null doc_id comes first. A null or
 empty text has the end id only. Other columns are ignored; an empty table gives no blocks.
 """
 
@@ -120,10 +120,13 @@ def encoder(path: str) -> Encoder:
 
 def train_dictionary(documents: DataFrame, path: str, end_id: int) -> tuple[bytes, int]:
     """Content of a dictionary, and how many documents it has seen; too few documents to train on are the content themselves."""
-    # Only ids are sorted; a few of their texts may be too long for the sample.
-    ids = [r[0] for r in documents.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()]
-    rows = documents.where(F.col("doc_id").isin(ids) & F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "text").collect() if ids else []
-    rows.sort(key=lambda r: (r[0], r[1]))
+    # The rows themselves are chosen, by their hashes; only chosen ones have their texts read.
+    tie = F.xxhash64("text")
+    short = documents.where(F.col("doc_id").isNotNull() & F.octet_length("text").between(1, SAMPLE_BYTES))
+    chosen = {tuple(r) for r in short.select("doc_id", tie.alias("tie")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "tie").limit(SAMPLE_DOCUMENTS).collect()}
+    rows = short.where(F.col("doc_id").isin(sorted({i for i, _ in chosen})) & tie.isin(sorted({t for _, t in chosen}))).select(
+        "doc_id", "text", tie.alias("tie")).dropDuplicates(["doc_id", "tie"]).collect() if chosen else []
+    rows = sorted(r for r in rows if (r[0], r[2]) in chosen)
     samples = [x + struct.pack("<I", end_id) for x in encoder(path).encode([r[1] for r in rows])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), len(samples)

@@ -1,7 +1,7 @@
 """Toxicity scores: the most suspicious of all overlapping windows of a text, by a recurrent network trained here.
 
 The network (``gru``) is fitted on the driver on at most ``PER_LABEL`` labelled documents of each label, of at most
-``TRAIN_BYTES`` bytes, those with the smallest hash of their doc_id, none of them held out. Every text is scored whole.
+``TRAIN_BYTES`` bytes, those with the smallest hash of their doc_id (of rows of one doc_id, of their text), none of them held out. Every text is scored whole.
 
 Defined cases: a null or empty text, or one without words, gets the share of toxic rows in the sample, halved; without
 labels of both kinds every score is that value (0 without any); a null doc_id counts as the empty string for the fold; equal
@@ -31,15 +31,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     """Texts and labels of the bounded training sample."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out())
-    ids = {}
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    short = documents.where(F.octet_length("text") <= TRAIN_BYTES)
+    # The rows themselves are chosen, by their hashes; only chosen ones have their texts read.
+    rows = short.select("doc_id", F.xxhash64("text").alias("tie")).distinct().join(known, "doc_id")
+    chosen = {}
     for label in (0, 1):
-        rows = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL).collect()
-        ids |= {r.doc_id: label for r in rows}
-    if not ids:
+        found = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "tie").limit(PER_LABEL).collect()
+        chosen |= {(r.doc_id, r.tie): label for r in found}
+    if not chosen:
         return [], np.zeros(0, np.int64)
-    rows = documents.select("doc_id", "text").where(F.col("doc_id").isin(list(ids))).where(F.octet_length("text") <= TRAIN_BYTES).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in rows], np.array([ids[r.doc_id] for r in rows], np.int64)
+    tie = F.xxhash64("text")
+    texts = short.where(F.col("doc_id").isin(sorted({i for i, _ in chosen})) & tie.isin(sorted({t for _, t in chosen}))).select(
+        "doc_id", tie.alias("tie"), "text").dropDuplicates(["doc_id", "tie"]).collect()
+    texts = sorted((r.doc_id, r.text, chosen[r.doc_id, r.tie]) for r in texts if (r.doc_id, r.tie) in chosen)
+    return [t for _, t, _ in texts], np.array([label for *_, label in texts], np.int64)
 
 
 def train(texts: list[str], labels: np.ndarray) -> Network | None:

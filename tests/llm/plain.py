@@ -221,3 +221,42 @@ def sum_of_squares(sizes, length):
         if h + size < length:
             levels.append(h + size)
     return out
+
+
+def near(text, notice, own, edits, own_edits):
+    """(edits, end) of the best place where the notice stands with at most so many edits, ``own_edits`` of them in its words ``own``, which
+    are whole words; [] for none. Edit distances to any substring, of what stands before the own words and of what stands behind."""
+    before, behind = notice.split(own)
+
+    def distances(pattern, s):
+        """Fewest edits between the pattern and any substring of s that ends at each place."""
+        row = [0] * (len(s) + 1)
+        for i, c in enumerate(pattern, 1):
+            last, row = row, [i]
+            for j, d in enumerate(s, 1):
+                row.append(min(last[j - 1] + (c != d), last[j] + 1, row[j - 1] + 1))
+        return row
+
+    def exact(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row = row, [i]
+            for j, d in enumerate(b, 1):
+                row.append(min(last[j - 1] + (c != d), last[j] + 1, row[j - 1] + 1))
+        return row[-1]
+
+    found = []
+    ends = {m.end() for m in re.finditer("[^ ]+", text)}
+    for m in re.finditer("[^ ]+", text):
+        for end in range(m.start() + len(own) - own_edits, m.start() + len(own) + own_edits + 1):
+            # Words with nothing at their own places are far more edits than allowed.
+            if end not in ends or len(set(own) & set(text[m.start():end])) + own_edits < len(set(own)):
+                continue
+            middle = exact(own, text[m.start():end])
+            if middle > own_edits:
+                continue
+            left = distances(before, text[max(m.start() - 2 * len(notice), 0):m.start()])[-1]
+            right = distances(behind[::-1], text[end:end + 2 * len(notice)][::-1])[-1]
+            if left + middle + right <= edits:
+                found.append((left + middle + right, end))
+    return [min(found)] if found else []

@@ -120,6 +120,36 @@ def test_posterior_bound():
     assert neardup._least_matches(looks, 0.85, 1e-2)[1] > neardup._least_matches(looks, 0.85, 1e-6)[1]
 
 
+def test_names_with_dots_and_of_our_own(spark, rows):
+    data = [(i, t, "en", "a", len(t or ""), "x", i * 2, 7) for i, t in rows[:40]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, row long, `row_` int")
+    benchmark = spark.createDataFrame([(1, "not there at all")], "item_id long, text string")
+    for kept in (quality.accepted(df), neardup.unique(df), decontaminate.clean(df, benchmark), secrets.redacted(df)):
+        assert kept.columns == df.columns
+        found = kept.collect()
+        assert found and all((r["a.b"], r.row, r.row_) == ("x", 2 * r.doc_id, 7) for r in found)
+
+
+def test_benchmark_in_parts_is_one_scan_a_part(spark, docs, rows):
+    items = [(i, f"{t} word{i} " * 3) for i, t in rows[12:32] if t] + [(99, " ".join(rows[40][1].split()[20:50]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t.encode()) for _, t in items)
+    found = decontaminate.scan(docs, benchmark, part_bytes=size // 10)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    same(got(found, "doc_id", "items"), [(w[0], w[3]) for w in plain.contaminated(rows, items)])
+
+
+def test_samples_are_bounded_by_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_LABEL", 5)
+    monkeypatch.setattr(tokens, "SAMPLE_DOCUMENTS", 5)
+    table = [(1 + (i > 150), f"text number {i}", "z") for i in range(200)] * 2 + [(7, "long " * 5000, "z"), (8, None, "z"), (None, "none", "z")]
+    documents = spark.createDataFrame(table, "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, int(i == 2)) for i in (1, 2, 7, 8)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    texts, known = toxicity.sample(documents, labels)
+    assert len(texts) == len(set(texts)) <= 10 and len(known) == len(texts)
+    assert tokens.train_dictionary(documents, tokens.tokenizer_path(), 2)[1] == 5
+
+
 def test_decontamination(docs, rows, none, spark):
     long = rows[40][1]
     items = [(1, " ".join(long.split()[20:50])), (2, "one two"), (2, "up up"), (None, rows[12][1]), (30, None), (31, ""), (7, " ".join(long.split()[20:50])), (8, "not there at all")]
@@ -147,9 +177,9 @@ def test_suffix_order():
         assert suffixes.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("large", [repeats.LARGE, 1])
-def test_repeats(docs, rows, none, monkeypatch, large):
-    monkeypatch.setattr(repeats, "LARGE", large)
+@pytest.mark.parametrize("most", [repeats.MOST, 3, 1])  # few contexts a group: anchors are split down to whole windows
+def test_repeats(docs, rows, none, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST", most)
     wanted = plain.repeated(rows)
     assert len({w[3] for w in wanted}) > 2
     same(got(repeats.dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), wanted)
@@ -264,9 +294,11 @@ def test_licenses(docs, rows, none):
         assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(sorted({x for _, x in places})))
         assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
-        form = " ".join(w).encode()
-        wanted = {label for notice, label, k, pattern in licenses._plan()[0] if pattern.search(form)}
-        assert {s.label for s in r.spans} == wanted and (r.score > 0) == bool(r.labels)
+        found_here = [(n, own, label, *best) for n, label, own in licenses.NOTICES for best in plain.near(" ".join(w), n, own, len(n) // licenses.BYTES_PER_EDIT, int(len(own) >= licenses.LONG_WORDS))]
+        assert {s.label for s in r.spans} == {x[2] for x in found_here} and (r.score > 0) == bool(r.labels)
+        least = {label: min((e for _, _, x, e, _ in found_here if x == label), default=None) for label in {x[2] for x in found_here}}
+        assert all(min(s.edits for s in r.spans if s.label == label) == e for label, e in least.items())
+        assert r.score == max([1.0 * bool(places), *(1 - e / len(n) for n, _, _, e, _ in found_here)], default=0.0)
     fuzzy = next(i for i, t in rows if t and "lisence" in t)
     assert found[fuzzy].labels == "apache" and found[fuzzy].n_base == 0 and 0 < found[fuzzy].score < 1
     assert licenses.scan(none).count() == 0
@@ -284,6 +316,29 @@ def test_adjacent_notices_all_count(spark):
     assert found[3] == [] and [e for *_, e in found[4]] == [0, 0] and [e for *_, e in found[5]] == [0, 0, 0, 1]
 
 
+def test_words_that_tell_licenses_apart_stand_unchanged(spark):
+    cases = {"Released under the MPL license": "", "released under the MIT licence": "mit", "relased undr the MIT license": "mit", "released under the BIT license": "",
+             "licensed under CC BY-ND 4.0": "", "licensed under CC BY-NC 4.0": "cc-by-nc", "licenced under CC-BY-NC 4.0": "cc-by-nc", "licensed under CC BY-SA 4.0": "",
+             "licensed under the Apache Licence, version 2.0": "apache", "licensed under the Apathe License version 2.0": "apache", "licensed under the Apathi License version 2.0": "", "licensed under the gnu generic public license": "",
+             "gnu lesser general publik license": "lgpl", "gnu leser general public license": "lgpl", "Mozilla Publik License Version 2.0": "mpl", "Mozila Public License Version 2.0": "mpl", "Mozzarella Public License Version 2.0": "",
+             "creative common attribution": "cc", "creativ commons attribution": "cc", "released under the mit. license!": "mit", "released underthe mitt license": "",
+             "permission to use, copy, modify and/or distribute this softwar for any purpose": "isc",
+             "This is free and unencumbered sofware released into the public domain": "unlicense", "This is free and encumbered software released into the public domain": ""}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: {s.label for s in r.spans} for r in licenses.scan(df).collect()}
+    assert {t: found[i] for i, t in enumerate(cases)} == {t: {label} - {""} for t, label in cases.items()}
+
+
+def test_arguments_that_are_no_json(spark):
+    assert toolcalls.parsed('{"a": [1, 2.5, "é"], "b": null}') == {"a": [1, 2.5, "é"], "b": None}
+    bad = ['{"a": "\\ud800"}', '{"a": ' + "[" * 200_000 + "]" * 200_000 + "}", '{"a": NaN}', '{"a": 1e999}', '{"a": -Infinity}', '{"a": 1, "a": 2}', '{"a": {"b": 1, "b": 1}}',
+           '{"a": ' + "1" * 5000 + "}", "[1]", "null", "", None, "{"]
+    assert [toolcalls.parsed(t) for t in bad] == [None] * len(bad)
+    calls = spark.createDataFrame([(str(i), 1, i, "t", t, None, "extra") for i, t in enumerate(bad)], "call_id string, conv_id long, turn long, name string, arguments string, after string, depth string")
+    rows = toolcalls.links(calls, spark.createDataFrame([("0", 1, "x", "y")], "call_id string, turn long, content string, called string"), {"t": {}}).collect()
+    assert {r.status for r in rows} == {"bad_json"} and len(rows) == len(bad)
+
+
 def test_tool_calls(spark):
     calls = [("a", 1, 0, "t", '{"q": "x", "n": 2}', None), ("b", 1, 2, "t", '{"n": 9}', "a"), ("c", 1, 4, "u", "{}", "b"), ("d", 1, 6, "t", "{", None), ("e", 1, 8, "t", '{"q":"x"}', "zz"),
              ("f", 2, 0, "t", '{"q":"x"}', "g"), ("g", 2, 1, "t", '{"q":"x"}', "f"), ("a", 1, 3, "t", "{}", None), (None, 1, 1, "t", "{}", None), ("h", 3, 0, "t", '{"q":"é","n":true}', "c")]
@@ -312,6 +367,9 @@ def test_tool_calls_of_one_identifier_all_stay(spark, tmp_path):
     wanted = con.execute(f"SELECT DISTINCT {columns} FROM ({toolcalls.SQL_LINKED})").fetchall()
     same(got(toolcalls.op8(spark, str(tmp_path)), *columns.split(", ")), wanted)
     assert sum(w[0] == "1-1" for w in wanted) == 4 and sum(w[0] == "2-1" for w in wanted) == 2
+    assert [w[-1] for w in wanted if w[5] == "message"] == ['{"content":"be kind","id":"1-0","role":"system"}']
+    assert len(con.execute(toolcalls.SQL_LINKED).fetchall()) == len(wanted)
+    assert "ShuffledHashJoin" in toolcalls.links(*toolcalls.turns_as_calls(spark.read.parquet(str(tmp_path / "conversations.parquet")))[:2])._jdf.queryExecution().toString()
     calls = [("a", 1, 0, "t", "{}", None), ("b", 1, 1, "t", "{}", "a"), ("b", 1, 2, "t", "{}", "zz"), ("c", 1, 3, "t", "{}", "b"), ("d", 1, 4, "t", "{}", "e"), ("e", 1, 5, "t", "{}", "d"), ("a", 1, 6, "t", "{}", "e")]
     df = toolcalls.links(spark.createDataFrame(calls, "call_id string, conv_id long, turn long, name string, arguments string, after string"),
                          spark.createDataFrame([], "call_id string, turn long, content string"), {"t": {}})
