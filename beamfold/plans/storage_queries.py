@@ -159,18 +159,39 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud_rows(clouds_io.read_clouds(spark, path))
 
 
-@query("A9_write_manifest", with_ctes(ASCANS, select="""
-SELECT session_id, count(DISTINCT dma_buffer_sequence) AS blocks_written, count(*) AS records_written, count(*) * 128 AS bytes_written,
-       min(host_timestamp_ns) AS start_timestamp_ns, max(host_timestamp_ns) AS end_timestamp_ns,
-       (SELECT count(DISTINCT o_orderkey % 5000 // 50) FROM orders WHERE 's' || (o_orderkey // 5000) = session_id) AS frames_written, true AS completed
-FROM ascans GROUP BY session_id"""))
+@query("A9_write_manifest", with_ctes(ASCANS, """stored AS (
+  SELECT session_id, count(DISTINCT dma_buffer_sequence) AS blocks_written, count(*) AS records_written, count(*) * 128 AS bytes_written,
+         min(host_timestamp_ns) AS start_timestamp_ns, max(host_timestamp_ns) AS end_timestamp_ns, count(DISTINCT dma_buffer_sequence // 8) AS files,
+         (SELECT count(DISTINCT o_orderkey % 5000 // 50) FROM orders WHERE 's' || (o_orderkey // 5000) = session_id) AS frames_written
+  FROM ascans GROUP BY session_id),
+closings AS (SELECT 's' || k AS session_id, k % 2 = 0 AS completed, CASE WHEN k % 2 = 0 THEN 'operator' ELSE 'disk full' END AS stop_reason
+  FROM (SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS k FROM nation) WHERE k % 5 <> 1)""", select="""
+SELECT session_id, coalesce(blocks_written, 0) AS blocks_written, coalesce(records_written, 0) AS records_written, coalesce(bytes_written, 0) AS bytes_written,
+       coalesce(start_timestamp_ns, -1) AS start_timestamp_ns, coalesce(end_timestamp_ns, -1) AS end_timestamp_ns, coalesce(frames_written, 0) AS frames_written,
+       CAST(coalesce(files, 0) AS INTEGER) AS files, coalesce(completed, false) AS completed, coalesce(stop_reason, '-') AS stop_reason,
+       CAST(CASE WHEN blocks_written > 0 THEN 10 ELSE -1 END AS INTEGER) AS records_per_buffer
+FROM stored FULL JOIN closings USING (session_id)"""))
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("s"), F.floor(F.col("o_orderkey") / 5000).cast("string")).alias("session_id"),
         F.floor(F.col("o_orderkey") % 5000 / 50).alias("frame")).distinct()
-    path = new_folder(spark, "manifest")
-    sessions.write_manifest(ascans(spark, sf_dir), frames, path)
-    return spark.read.parquet(path)
+    # Recorders of some sessions never said how they ended; others have nothing stored.
+    k = F.col("n_nationkey").cast("long")
+    closings = table(spark, sf_dir, "nation").where(k % 5 != 1).select(
+        F.concat(F.lit("s"), k.cast("string")).alias("session_id"), (k % 2 == 0).alias("completed"),
+        F.when(k % 2 == 0, "operator").otherwise("disk full").alias("stop_reason"), F.lit(7).cast("long").alias("end_timestamp_utc_ns"))
+    store, path = new_folder(spark, "ascans"), new_folder(spark, "manifest")
+    A.write_ascans(ascans(spark, sf_dir), store, split_gb=2e-5)
+    stored = A.read_ascans(spark, store).withColumn("file", F.col("_metadata.file_path"))
+    sessions.write_manifest(stored, frames, path, closings=closings, file="file")
+
+    def filled(name: str, missing: object) -> Column:
+        return F.coalesce(F.col(name), F.lit(missing)).alias(name.split(".")[-1])
+
+    return spark.read.parquet(path).select(
+        "session_id", "blocks_written", "records_written", "bytes_written", filled("start_timestamp_ns", -1), filled("end_timestamp_ns", -1),
+        "frames_written", F.size("data_files").alias("files"), "completed", filled("stop_reason", "-"),
+        filled("raw_stream.records_in_buffer", -1).alias("records_per_buffer"))
 
 
 CSV = {"x_forward_m": "x", "y_left_m": "y", "z_up_m": "z", "intensity_db": "intensity", "velocity_mps": "velocity",

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from beamfold.operators.configuration import nearly
 from beamfold.operators.records import first_reason, split_by_reason, stored_count
-from beamfold.schemas import SESSIONS
+from beamfold.schemas import SESSIONS, STANDARD_COORDINATE_FRAME
+
+DATA_FORMAT_VERSION = 3
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -21,22 +23,37 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return documents.withColumn("stem", F.regexp_replace(stem, r"^file:/+", "file:/"))
 
 
-def write_manifest(ascans: DataFrame, clouds: DataFrame | None, path: str | None) -> DataFrame:
-    """Per session: blocks, records, frames, sample bytes, first and last stamp, whether anything was written."""
+def write_manifest(ascans: DataFrame, clouds: DataFrame | None, path: str | None, *, closings: DataFrame | None = None,
+                   file: str | None = None) -> DataFrame:
+    """Per session: blocks, records, frames, sample bytes, first and last stamp, files, stream, how it ended.
+
+    ``closings`` (session_id, completed, stop_reason, end_timestamp_utc_ns) is what the recorder said when it closed a session. A session
+    without one was not closed: ``completed`` is false and ``stop_reason`` NULL. One with nothing but a closing has no blocks. ``file``
+    names a column with each row's file, as ``_metadata.file_path`` gives it; ``data_files`` lists their names, with the partition's folders, in order.
+    """
+    name = F.regexp_extract(F.col(file), r"([^/=]+=[^/]*/)*[^/]+$", 0) if file else F.lit(None).cast("string")
+    stream = F.struct(*(c for c in ("channel", "sample_rate_hz", "record_length", "records_in_buffer") if c in ascans.columns))
     blocks = ascans.groupBy("session_id", "dma_buffer_sequence").agg(
         F.count(F.lit(1)).alias("n"), F.sum(stored_count(ascans.columns).cast("long") * 2).alias("bytes"),
-        F.min("host_timestamp_ns").alias("lo"), F.max("host_timestamp_ns").alias("hi"))
+        F.min("host_timestamp_ns").alias("lo"), F.max("host_timestamp_ns").alias("hi"), F.min(name).alias("a"), F.max(name).alias("b"), F.min(stream).alias("stream"))
     manifest = blocks.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("blocks_written"), F.sum("n").cast("long").alias("records_written"),
         F.sum("bytes").cast("long").alias("bytes_written"), F.min("lo").alias("start_timestamp_ns"),
-        F.max("hi").alias("end_timestamp_ns"))
+        F.max("hi").alias("end_timestamp_ns"), F.array_sort(F.array_union(F.collect_set("a"), F.collect_set("b"))).alias("data_files"),
+        F.min("stream").alias("raw_stream"))
     if clouds is not None:
         frames = clouds.groupBy("session_id").agg(F.count(F.lit(1)).alias("frames_written"))
-        manifest = manifest.join(frames, "session_id", "left").withColumn(
-            "frames_written", F.coalesce("frames_written", F.lit(0)))
+        manifest = manifest.join(frames, "session_id", "left")
     else:
         manifest = manifest.withColumn("frames_written", F.lit(0).cast("long"))
-    manifest = manifest.withColumn("completed", F.col("blocks_written") > 0)
+    if closings is not None:
+        manifest = manifest.join(closings.select("session_id", "completed", "stop_reason", "end_timestamp_utc_ns"), "session_id", "full")
+    else:
+        manifest = manifest.select("*", *(F.lit(None).cast(t).alias(n) for n, t in (("completed", "boolean"), ("stop_reason", "string"), ("end_timestamp_utc_ns", "long"))))
+    counts = ("blocks_written", "records_written", "bytes_written", "frames_written")
+    manifest = manifest.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts} | {
+        "completed": F.coalesce("completed", F.lit(False)), "data_files": F.coalesce("data_files", F.array().cast("array<string>")),
+        "coordinate_frame": F.lit(STANDARD_COORDINATE_FRAME), "data_format_version": F.lit(DATA_FORMAT_VERSION)})
     if path is not None:
         manifest.write.mode("overwrite").parquet(path)
     return manifest

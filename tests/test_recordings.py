@@ -269,3 +269,16 @@ def test_batches_are_bounded_and_consistent(spark):
     kept, rejected = measure.measure_batches(broken, bounded.withColumn("records_per_buffer", F.lit(4)))
     assert {r.dma_buffer_sequence for r in kept.collect()} == {1}
     assert {(r.dma_buffer_sequence, r.bad_records, r.reject_reason) for r in rejected.collect()} == {(0, 0, "record_count"), (2, 1, "channel")}
+
+
+def test_manifest_says_how_a_session_ended(spark):
+    df = ascans(spark, [ascan_row(i, np.full(64, i, np.int16), up=(0, 32), down=(32, 64), session=s) for s in ("a", "b") for i in range(1, 9)])
+    place = os.path.join(folder(), "store")
+    recordings.write_ascans(df, place, split_gb=1e-9)
+    stored = recordings.read_ascans(spark, place).withColumn("file", F.col("_metadata.file_path"))
+    closings = spark.createDataFrame([("a", True, "operator", 9), ("c", False, "disk full", None)], "session_id string, completed boolean, stop_reason string, end_timestamp_utc_ns long")
+    rows = {r.session_id: r for r in sessions.write_manifest(stored, None, None, closings=closings, file="file").collect()}
+    assert {k: (r.blocks_written, r.records_written, len(r.data_files), r.completed, r.stop_reason, r.end_timestamp_utc_ns) for k, r in rows.items()} == {
+        "a": (2, 8, 2, True, "operator", 9), "b": (2, 8, 2, False, None, None), "c": (0, 0, 0, False, "disk full", None)}
+    assert rows["a"].data_files == sorted(rows["a"].data_files) and rows["a"].data_files[0].startswith("session_id=a/part=0/")
+    assert rows["b"].raw_stream.record_length == 64 and rows["c"].raw_stream is None

@@ -89,3 +89,41 @@ def test_flat_and_empty_heat_maps(spark):
     rows = {r.frame: r for r in plots.heatmap_normalise(df).collect()}
     assert rows[1].normalised == [0.0, None] and rows[1].range_maximum == 3.0
     assert rows[2].normalised == [None, None] and (rows[2].range_minimum, rows[2].range_maximum) == (0.0, 1.0)
+
+
+def nearest_rank(values, q):
+    ranked = sorted(values, key=lambda v: (math.isnan(v), v))
+    return ranked[max(math.ceil(q * len(ranked)), 1) - 1]
+
+
+def test_percentiles_of_any_spread_are_exact(spark):
+    import random
+    rng = random.Random(8)
+    tables = {
+        "spread": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-320, 308) for _ in range(3000)],
+        "close": [1.0 + rng.randrange(50) * 2.0 ** -52 for _ in range(900)],
+        "ends": [float("inf"), float("-inf"), float("nan"), 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308] * 3,
+        "ties": [rng.choice([2.5, 2.5, 3.0, -1.0]) for _ in range(700)], "one": [7.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in tables.items() for v in vs] + [("null", None), ("one", None)], "k string, v double")
+    qs = (0.0, 0.1, 0.5, 0.95, 1.0)
+    found = {(r.k, r.q): (r.percentile, r.n) for r in plots.nearest_rank_percentile(df, "v", qs, keys=["k"]).collect()}
+    assert {k: repr(v) for k, v in found.items()} == {(k, q): repr((nearest_rank(vs, q), len(vs))) for k, vs in tables.items() for q in qs}
+    whole = [2**62 + rng.randrange(-5, 5) for _ in range(500)] + [-(2**60), 0]
+    longs = spark.createDataFrame([(v,) for v in whole], "v long")
+    assert [r.percentile for r in plots.nearest_rank_percentile(longs, "v", qs).orderBy("q").collect()] == [nearest_rank(whole, q) for q in qs]
+    assert plots.nearest_rank_percentile(df.limit(0), "v", 0.5).count() == 0
+
+
+def test_a_million_distinct_values_meet_in_counts_only(spark, monkeypatch):
+    sizes, kept = [], plots.stage
+    monkeypatch.setattr(plots, "stage", lambda df, name: sizes.append(df) or kept(df, name))
+    df = spark.range(1_000_000).selectExpr("cast(pmod(id * 7919, 1000003) as double) / 7 v", "id % 2 k")
+    found = {(r.k, r.q): r.percentile for r in plots.nearest_rank_percentile(df, "v", (0.5, 0.95), keys=["k"]).collect()}
+    for k in range(2):
+        ranked = sorted((i * 7919 % 1000003) / 7 for i in range(k, 1_000_000, 2))
+        assert [found[k, q] for q in (0.5, 0.95)] == [ranked[math.ceil(q * len(ranked)) - 1] for q in (0.5, 0.95)]
+    assert len(sizes) <= 4
+    rows = spark.range(1_000_000).selectExpr("cast(pmod(id * 7919, 1000003) as double) / 7 v")
+    parts = rows.select(plots._even_bucket(F.col("v"), F.lit(0.0), F.lit(150000.0), False).alias("b")).distinct().count()
+    assert parts <= plots.BUCKETS
