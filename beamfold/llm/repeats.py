@@ -303,7 +303,8 @@ def _repeats(texts: DataFrame, copied: DataFrame) -> DataFrame:
     every = texts.mapInArrow(_contexts, _CONTEXT)
     # Staged on its own, so that both sides of the join come straight from an exchange and a hot anchor can be split.
     twice = stage(every.groupBy("anchor").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("anchor"), "anchors")
-    here = stage(every.join(twice, "anchor", "left_semi").distinct(), "contexts")
+    # Copies give equal rows. These meet in an exchange of their own: a join that had to leave them together could not be split.
+    here = stage(every.join(twice, "anchor", "left_semi").repartition("anchor", "content", "place").distinct(), "contexts")
     # A context's extent can differ between places of one content hash only if the content differs.
     kinds = here.groupBy("anchor", "content").agg(
         F.min(F.struct("place", "key", "start", "windows", "lead")).alias("rep"), (F.min("place") != F.max("place")).alias("repeated"), F.max("key").alias("any_key"))
