@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from beamfold.functions.kernels import unpack_samples
 from beamfold.functions.samples import decode_samples, normalize_samples, slice_segment, valid_segment
 from beamfold.functions.signal import window_weight
 from beamfold.schemas import FULL_CHIRP_PERIOD
@@ -121,14 +122,20 @@ def validate_block_contract(ascans: DataFrame) -> DataFrame:
     return stats.select(*BATCH_KEYS, reason.isNull().alias("ok"), reason.alias("reason"))
 
 
+def full_scale(columns: list[str]) -> Column:
+    """A record's samples as full-scale doubles, from an array or from a packed payload."""
+    samples = F.col("samples") if "samples" in columns else unpack_samples(F.col("payload"))
+    return normalize_samples(decode_samples(samples, F.col("sample_format")))
+
+
 def extract_segments(ascans: DataFrame) -> DataFrame:
-    """Two rows per record: the UP and DOWN slices as full-scale doubles."""
-    values = normalize_samples(decode_samples(F.col("samples"), F.col("sample_format")))
+    """Two rows per record, of arrays or packed: the UP and DOWN slices as full-scale doubles."""
+    values = full_scale(ascans.columns)
     both = F.array(*[
         F.struct(F.lit(side).alias("seg"), slice_segment(F.col("_values"), F.col(f"{side}_segment")).alias("values"))
         for side in ("up", "down")
     ])
-    kept = [c for c in ascans.columns if c != "samples"]
+    kept = [c for c in ascans.columns if c not in ("samples", "payload")]
     return (
         ascans.withColumn("_values", values).select(*kept, F.explode(both).alias("_s"))
         .select(*kept, "_s.seg", "_s.values")
@@ -174,7 +181,6 @@ def coherent_sum(window: DataFrame) -> DataFrame:
 
 
 def select_record(ascans: DataFrame, record_index: int, *, width: int) -> DataFrame:
-    """The operator-selected record of every buffer with its full-scale waveform."""
+    """The operator-selected record of every buffer, of arrays or packed, with its full-scale waveform."""
     chosen = min(record_index, width - 1) if width > 0 else 0
-    waveform = normalize_samples(decode_samples(F.col("samples"), F.col("sample_format")))
-    return ascans.where(F.col("record_index_in_buffer") == chosen).withColumn("waveform", waveform)
+    return ascans.where(F.col("record_index_in_buffer") == chosen).withColumn("waveform", full_scale(ascans.columns))

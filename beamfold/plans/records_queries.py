@@ -213,7 +213,8 @@ def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT session_id, frame_id, dma_buffer_sequence, CAST(i AS INTEGER) AS j, {sql6("samples[i + 1] / 32768e0", "value")}
 FROM ascans, range(64) AS g(i) WHERE record_index_in_buffer = 9"""))
 def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = R.select_record(ascans(spark, sf_dir), 12, width=10)
+    packed = ascans(spark, sf_dir).withColumn("payload", pack_samples(F.col("samples"))).drop("samples")
+    chosen = R.select_record(packed, 12, width=10)
     rows = chosen.select("session_id", "frame_id", "dma_buffer_sequence", F.posexplode("waveform").alias("j", "value"))
     return rows.withColumn("value", r6("value"))
 

@@ -11,8 +11,9 @@ from beamfold.plans import load_catalog
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not present")
 CHECKED = (
-    "A1_read_recordings", "A9_write_manifest", "B6_check_record_contract", "C9_measure_ascans", "C10_measure_batches", "D5_to_xyz",
-    "E12_line_sequence", "F6_raster_frames_by_id", "G3_temporal_fusion", "H3_decode_packets", "H7_drop_stale_frames",
+    "A1_read_recordings", "A1_rejects", "A3_bad_values", "A9_write_manifest", "A12_replay_stream", "B6_check_record_contract", "B14_select_record",
+    "C9_measure_ascans", "C9_measure_recordings", "C10_measure_batches", "D5_to_xyz",
+    "E4_rejects", "E12_line_sequence", "F6_raster_frames_by_id", "G3_temporal_fusion", "G4_interpolate_rows", "H1_rejects", "H3_decode_packets", "H7_drop_stale_frames",
     "I2_latency_summary", "J9_stamp_processing_revision", "K7_nearest_rank_percentile",
 )
 

@@ -154,3 +154,14 @@ def test_missing_parameters_reject_the_record(spark):
     measured, rejected = measure.measure_batches(scene(spark, 4), cfg)
     assert measured.count() == 0 and [r.reject_reason for r in rejected.collect()] == ["incomplete_config"]
     assert measure.measure_ascans(scene(spark, 4), cfg).count() == 0
+
+
+def test_segments_and_selected_records_take_packed_rows(spark):
+
+    df = ascans(spark, [ascan_row(i, np.arange(i, i + 64, dtype=np.int16) * 100, up=(0, 32), down=(32, 64)) for i in range(1, 9)])
+    packed = df.withColumn("payload", pack_samples(F.col("samples"))).drop("samples")
+    for function in (records.extract_segments, lambda d: records.select_record(d, 2, width=4)):
+        a, b = function(df), function(packed)
+        columns = [c for c in a.columns if c in b.columns and c not in ("pos", "samples")]
+        assert {"values", "waveform"} & set(columns)
+        assert sorted(map(str, a.select(*columns).collect())) == sorted(map(str, b.select(*columns).collect()))
