@@ -12,6 +12,7 @@ from beamfold.plans.catalog import query, r6, sql6, with_ctes
 from beamfold.plans.geometry_queries import FRAME_CELLS, FULL_LINES
 from beamfold.plans.tables import CELLS, HEIGHT, WIDTH, cells, epoch_us, table
 from beamfold.session import new_folder
+from beamfold.sources.replay import tick_stream
 from beamfold.streaming import reassembly, sinks, stale
 
 PER_PACKET = 16
@@ -163,11 +164,17 @@ def h5_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.select("sender", "raster_frame_id", "segment_count", "segments", "point_count", "duplicates", "outcome")
 
 
-def source_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table as a file stream with bounded micro-batches."""
-    schema = table(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 8)
-    return reader.parquet(sf_dir)
+TICKS = 6
+
+
+def source_stream(spark: SparkSession, sf_dir: str, name: str, order: str) -> DataFrame:
+    """One driver table as a stream of ``TICKS`` micro-batches, by equal parts of the order column's range."""
+    df = table(spark, sf_dir, name)
+    at = epoch_us(df, order) if "timestamp" in df.schema[order].dataType.typeName() else F.col(order)
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    path = new_folder(spark, "ticks")
+    df.withColumn("tick", F.floor((at - low) * TICKS / (high - low + 1)).cast("long")).write.partitionBy("tick").parquet(path)
+    return tick_stream(spark, path, df.schema)
 
 
 def body_packets(lines: DataFrame) -> DataFrame:
@@ -192,8 +199,8 @@ FROM frames WHERE segments = n"""))
 def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
     reassembly.use_rocksdb(spark)
     out = new_folder(spark, "frames")
-    stream = reassembly.reassemble_stream(body_packets(source_stream(spark, sf_dir, "lineitem")))
-    sinks.append_table(stream, out).awaitTermination()
+    stream = reassembly.reassemble_stream(body_packets(source_stream(spark, sf_dir, "lineitem", "l_orderkey")))
+    sinks.drain_table(stream, out)
     done = spark.read.parquet(out).where("outcome = 'completed'")
     return done.groupBy("receiver", "raster_frame_id").agg(
         F.count(F.lit(1)).alias("times_completed"), F.sum(F.floor(F.length("body") / 20)).cast("long").alias("points"))
@@ -230,8 +237,8 @@ def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h7_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     reassembly.use_rocksdb(spark)
     out = new_folder(spark, "verdicts")
-    frames = event_frames(source_stream(spark, sf_dir, "events"))
-    sinks.append_table(stale.drop_stale_stream(frames, reset_s=RESET_S, keep_stale=True), out).awaitTermination()
+    frames = event_frames(source_stream(spark, sf_dir, "events", "ts"))
+    sinks.drain_table(stale.drop_stale_stream(frames, reset_s=RESET_S, keep_stale=True), out)
     return spark.read.parquet(out)
 
 
@@ -254,8 +261,8 @@ def h8(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM s WHERE interval_start_s + 3600 <= (SELECT epoch_us(max(ts)) / 1e6 - 10 FROM events)""")
 def h8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "statistics")
-    stream = sinks.statistics_stream(outcome_rows(source_stream(spark, sf_dir, "events")), every="1 hour")
-    sinks.append_table(stream, out).awaitTermination()
+    stream = sinks.statistics_stream(outcome_rows(source_stream(spark, sf_dir, "events", "ts")), every="1 hour")
+    sinks.drain_table(stream, out)
     return spark.read.parquet(out).select(F.unix_seconds("interval_start").alias("interval_start_s"), "outcome", "n")
 
 
@@ -273,16 +280,19 @@ def h9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(dropped, "session_id").select("session_id", "raster_frame_id", "dropped_frames")
 
 
-@query("H9_latest_frame_stream", LATEST)
+@query("H9_latest_frame_stream", f"""SELECT session_id, max(o_orderkey) AS raster_frame_id, count(*) - 1 AS dropped_frames FROM
+  (SELECT 'c' || (o_custkey % 50) AS session_id, o_orderkey,
+          (o_orderkey - min(o_orderkey) OVER ()) * {TICKS} // (max(o_orderkey) OVER () - min(o_orderkey) OVER () + 1) AS tick FROM orders)
+GROUP BY session_id, tick""")
 def h9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "latest")
-    sinks.latest_frames(waiting_frames(source_stream(spark, sf_dir, "orders")), out).awaitTermination()
+    sinks.latest_frames(waiting_frames(source_stream(spark, sf_dir, "orders", "o_orderkey")), out, drain=True)
     return spark.read.parquet(out).select("session_id", "raster_frame_id", "dropped_frames")
 
 
 @query("F5_latest_snapshot_stream", "SELECT 'c' || (o_custkey % 50) AS session_id, max(o_orderkey) AS raster_frame_id FROM orders GROUP BY 1")
 def f5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "snapshots")
-    frames = waiting_frames(source_stream(spark, sf_dir, "orders"))
-    sinks.latest_snapshots(frames, out, by="raster_frame_id").awaitTermination()
+    frames = waiting_frames(source_stream(spark, sf_dir, "orders", "o_orderkey"))
+    sinks.latest_snapshots(frames, out, by="raster_frame_id", drain=True)
     return sinks.read_latest(spark, out).select("session_id", "raster_frame_id")

@@ -1,7 +1,8 @@
-"""Recordings served again as a stream."""
+"""Recordings served again as a stream, and the data source for it: folders of Parquet files, ``tick=0``, ``tick=1``, ... in order."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -78,7 +79,7 @@ class TickFile(InputPartition):
     file: str
 
 
-class ReplayReader(DataSourceStreamReader):
+class TickReader(DataSourceStreamReader):
     """Ticks in ascending order. An offset is the number of the next tick, so a restarted query goes on where it stopped."""
 
     def __init__(self, schema: StructType, options: dict[str, str]):
@@ -119,21 +120,28 @@ class ReplayReader(DataSourceStreamReader):
         pass
 
 
-class ReplaySource(DataSource):
+class TickSource(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "beamfold_replay"
+        return "beamfold_ticks"
 
     def schema(self) -> StructType:
-        return PACKED_ASCANS
+        return StructType.fromJson(json.loads(self.options["schema"]))
 
-    def streamReader(self, schema: StructType) -> ReplayReader:
-        return ReplayReader(schema, self.options)
+    def streamReader(self, schema: StructType) -> TickReader:
+        return TickReader(schema, self.options)
+
+
+def tick_stream(spark: SparkSession, path: str, schema: StructType, *, ticks_per_trigger: int = 1, first_tick: int = 0) -> DataFrame:
+    """A table written in folders by tick as a stream: ticks arrive in their order, at most ``ticks_per_trigger`` a micro-batch, from
+    ``first_tick`` on or from where a query's checkpoint stands. Columns that a file lacks are NULL."""
+    spark.dataSource.register(TickSource)
+    return (
+        spark.readStream.format("beamfold_ticks").option("path", path).option("schema", schema.json())
+        .option("ticksPerTrigger", ticks_per_trigger).option("firstTick", first_tick).load())
 
 
 def replay_stream(spark: SparkSession, path: str, *, ticks_per_trigger: int = 1, first_tick: int = 0, unpack: bool = True) -> DataFrame:
-    """A published replay as a stream: ticks arrive in their order, at most ``ticks_per_trigger`` a micro-batch, from
-    ``first_tick`` on or from where a query's checkpoint stands. Rows carry ``samples``, or ``payload`` unless ``unpack``."""
-    spark.dataSource.register(ReplaySource)
-    rows = spark.readStream.format("beamfold_replay").option("path", path).option("ticksPerTrigger", ticks_per_trigger).option("firstTick", first_tick).load()
+    """A published replay as a stream (``tick_stream``). Rows carry ``samples``, or ``payload`` unless ``unpack``."""
+    rows = tick_stream(spark, path, PACKED_ASCANS, ticks_per_trigger=ticks_per_trigger, first_tick=first_tick)
     return rows.withColumn("samples", unpack_samples(F.col("payload"))).drop("payload") if unpack else rows

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from beamfold.operators.packets import latest_frame_sink, link_statistics
 from beamfold.operators.raster import latest_snapshot
-from beamfold.session import new_folder
+from beamfold.session import delete_folder, new_folder
 
 
 def append_table(stream: DataFrame, path: str, *, checkpoint: str | None = None) -> StreamingQuery:
@@ -36,15 +36,23 @@ def statistics_stream(outcomes: DataFrame, *, every: str = "5 seconds", delay: s
     return link_statistics(outcomes.withWatermark("ts", delay), every=every)
 
 
-def _per_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str | None) -> StreamingQuery:
+def _per_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str | None, drain: bool) -> StreamingQuery:
+    """drain: for a source that hands out its data by portions; the query has stopped when this returns."""
     place = checkpoint or new_folder(stream.sparkSession, "stream")
-    return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", place)
-        .trigger(availableNow=True).start())
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", place)
+    if not drain:
+        return writer.trigger(availableNow=True).start()
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
 
 
-def latest_frames(stream: DataFrame, path: str, *, checkpoint: str | None = None) -> StreamingQuery:
-    """Per micro-batch and session: send the newest waiting frame, count the displaced ones.
+def latest_frames(stream: DataFrame, path: str, *, checkpoint: str | None = None, drain: bool = False) -> StreamingQuery:
+    """Per micro-batch and session: send the newest waiting frame, count the displaced ones. What waits is what a micro-batch
+    holds, so the source's portions decide it.
 
     Each batch owns its folder, so a repeated batch overwrites its own output only.
     """
@@ -52,19 +60,22 @@ def latest_frames(stream: DataFrame, path: str, *, checkpoint: str | None = None
         kept, dropped = latest_frame_sink(batch)
         kept.join(dropped, "session_id").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return _per_batch(stream, write, checkpoint)
+    return _per_batch(stream, write, checkpoint, drain)
 
 
 def latest_snapshots(stream: DataFrame, path: str, *, by: str = "scan_frame_index",
-                     checkpoint: str | None = None) -> StreamingQuery:
-    """Keep the newest snapshot per session: batch n merges version n-1 with its rows into version n."""
+                     checkpoint: str | None = None, drain: bool = False) -> StreamingQuery:
+    """Keep the newest snapshot per session: batch n merges version n-1 with its rows into version n. Version n-1 stays for a
+    repeated batch n, older ones go."""
     def write(batch: DataFrame, batch_id: int) -> None:
         merged = batch
         if batch_id > 0:
             merged = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}"))
         latest_snapshot(merged, by=by).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if batch_id > 1:
+            delete_folder(batch.sparkSession, f"{path}/version={batch_id - 2}")
 
-    return _per_batch(stream, write, checkpoint)
+    return _per_batch(stream, write, checkpoint, drain)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
