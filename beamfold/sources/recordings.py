@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from beamfold.functions.kernels import pack_samples, unpack_samples
 from beamfold.operators.records import first_reason, split_by_reason
+from beamfold.session import stage
 from beamfold.schemas import ASCANS, FULL_CHIRP_PERIOD, PACKED_ASCANS, OFFSET_BINARY_12, SIGNED_INT16, STANDARD_COORDINATE_FRAME
 
 # Fixed values of the raw container (all little-endian).
@@ -421,11 +422,14 @@ def accepted_blocks(spark: SparkSession, path: str, *, formats: Sequence[str] =
     if sessions is None:
         sessions = spark.createDataFrame([], "stem string, coordinate_frame string")
     accepted, alien = coordinate_gate(parts.where("contiguous"), sessions)
+    # One row per part, written once: blocks, rejects and the number of tasks all start from it.
+    judged = accepted.withColumn("reject_reason", F.lit(None).cast("string"))
+    for whole in (apart, alien, unreadable.withColumn("contiguous", F.lit(None).cast("boolean"))):
+        judged = judged.unionByName(whole)
+    accepted, refused = split_by_reason(stage(judged, "parts"))
     good, bad = quarantine_blocks(scan_blocks(accepted, task_bytes=task_bytes))
-    rejects = bad.select(*REJECT_COLUMNS)
-    for whole in (unreadable, apart, alien):
-        rejects = rejects.unionByName(whole.withColumn("block", F.lit(None).cast("long")).select(*REJECT_COLUMNS))
-    return good, rejects
+    refused = refused.withColumn("block", F.lit(None).cast("long"))
+    return good, bad.select(*REJECT_COLUMNS).unionByName(refused.select(*REJECT_COLUMNS))
 
 
 def read_recordings(spark: SparkSession, path: str, *, formats: Sequence[str] = ("v1", "v2", "v3"),
