@@ -25,7 +25,7 @@ def block_bytes(version: int, rows: pd.DataFrame) -> bytes:
     fields = RECORD_FIELDS + (TRAJECTORY_FIELDS if version == 3 else [])
     records = np.zeros(count, np.dtype(V1_RECORD_FIELDS if version == 1 else fields))
     records["frame_id"], records["host_timestamp_ns"] = rows["frame_id"], rows["host_timestamp_ns"]
-    records["config_revision"], records["flags"] = rows["config_revision"], 0b111
+    records["config_revision"], records["flags"] = rows["config_revision"], rows["flags"] if "flags" in rows else 0b111
     records["trigger_sequence"], records["x_index"] = rows["frame_id"], rows["record_index_in_buffer"]
     records["y_index"] = rows["dma_buffer_sequence"] % 5
     if version == 3:
@@ -47,6 +47,12 @@ def block_bytes(version: int, rows: pd.DataFrame) -> bytes:
     return head.tobytes() + records.tobytes() + samples.tobytes()
 
 
+def full_buffer(rows: pd.DataFrame) -> pd.DataFrame:
+    """A recorder writes full buffers only: one of fewer rows is filled up with records whose trigger is not valid."""
+    spare = rows.iloc[[-1] * (WIDTH - len(rows))].assign(flags=0, record_index_in_buffer=range(len(rows), WIDTH))
+    return pd.concat([rows.assign(flags=0b111), spare], ignore_index=True)
+
+
 def stream_header(version: int, record_length: int, records_per_buffer: int) -> bytes:
     head = np.zeros(1, np.dtype(STREAM_FIELDS))
     head["magic"] = next(m for m, v in STREAM_MAGIC.items() if v == version)
@@ -71,6 +77,7 @@ def write_recordings(spark: SparkSession, sf_dir: str, *, damage: bool = False,
     ``damage`` spoils some block headers by sequence and cuts the last block of part 0; ``values`` spoils record tables and
     segments by sequence; ``gap`` leaves part 2 of odd sessions unwritten; ``alien`` spoils the stream header of part 3 and
     gives some sessions a sidecar of another frame, or none. Version 1 has no blocks to spoil.
+    The table's last buffer may have fewer than ten records; its block is filled up (``full_buffer``).
     """
     folder = new_folder(spark, "recordings")
 
@@ -82,7 +89,7 @@ def write_recordings(spark: SparkSession, sf_dir: str, *, damage: bool = False,
             return pd.DataFrame({"bytes": [0]})
         data = stream_header(version, 64, WIDTH)
         for sequence, block in rows.sort_values("record_index_in_buffer").groupby("dma_buffer_sequence", sort=True):
-            raw = bytearray(block_bytes(version, block))
+            raw = bytearray(block_bytes(version, full_buffer(block) if version > 1 else block))
             if version > 1:
                 for wanted, rest, at, value, size in (
                         (damage, 3, 48, 200000, 4), (damage, 5, 16, 12, 8),  # record count, payload bytes

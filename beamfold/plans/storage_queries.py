@@ -39,7 +39,7 @@ SELECT session_id, frame_id, CASE WHEN CAST(substr(session_id, 2) AS INTEGER) %
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fixtures.write_recordings(spark, sf_dir)
     rows, *_ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder), task_bytes=20000)
-    return rows.select(
+    return rows.where("trigger.valid").select(
         "session_id", "frame_id", "dma_buffer_sequence", "record_index_in_buffer", "host_timestamp_ns", "config_revision",
         "pos.x_index", "sample_format", weighted().alias("checksum"))
 
@@ -49,7 +49,7 @@ SELECT session_id, frame_id, CAST(64 AS INTEGER) AS stored, {SUM} AS checksum FR
 def a1_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fixtures.write_recordings(spark, sf_dir)
     rows, *_ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder), packed=True)
-    rows = rows.withColumn("samples", unpack_samples(F.col("payload")))
+    rows = rows.where("trigger.valid").withColumn("samples", unpack_samples(F.col("payload")))
     return rows.select("session_id", "frame_id", stored_count(rows.columns).alias("stored"), weighted().alias("checksum"))
 
 
@@ -58,8 +58,11 @@ SELECT session_id, CASE WHEN CAST(substr(session_id, 2) AS INTEGER) % 3 = 2 THEN
   count(*) AS record_count, min(host_timestamp_ns) AS completion_ns FROM ascans GROUP BY ALL"""))
 def a1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fixtures.write_recordings(spark, sf_dir)
-    _, batches, _ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder))
-    return batches.select("session_id", "sequence", "record_count", "completion_ns")
+    rows, batches, _ = A.read_recordings(spark, folder, sessions=sessions.read_sessions(spark, folder))
+    # The records that fill up a short buffer do not count.
+    spare = rows.where("not trigger.valid").groupBy("session_id", F.col("dma_buffer_sequence").alias("sequence")).agg(F.count(F.lit(1)).alias("spare"))
+    return batches.join(spare, ["session_id", "sequence"], "left").select(
+        "session_id", "sequence", (F.col("record_count") - F.coalesce("spare", F.lit(0))).alias("record_count"), "completion_ns")
 
 
 @query("A1_rejects", with_ctes(ASCANS, """blocks AS (
