@@ -178,7 +178,8 @@ def source_stream(spark: SparkSession, sf_dir: str, name: str, order: str) -> Da
 
 
 def body_packets(lines: DataFrame) -> DataFrame:
-    """``lineitem`` as raw packets, one frame every 10 ms; copies of a segment trail it by microseconds."""
+    """``lineitem`` as raw packets, one frame every 10 ms; copies of a segment trail it by microseconds, so that they arrive before
+    the next segment however many parts there are."""
     key = F.col("l_orderkey")
     count = (key % 4 + 1).cast("int")
     segment = ((F.col("l_linenumber") - 1) % count).cast("int")
@@ -187,7 +188,7 @@ def body_packets(lines: DataFrame) -> DataFrame:
         (key * 10).alias("timestamp_ns"), (key % 2).alias("config_revision"), count.alias("segment_count"),
         segment.alias("segment_index"), (segment + 1).alias("point_count"),
         F.unhex(F.repeat(F.lit("0000803F" * 5), segment + 1)).alias("body"),
-        (key * 10000000 + segment * 1000000 + F.col("l_partkey") * 40 + F.col("l_linenumber")).alias("arrival_ns"))
+        (key * 10000000 + segment * 1000000 + F.col("l_partkey") % 20000 * 40 + F.col("l_linenumber")).alias("arrival_ns"))
 
 
 @query("H6_reassemble_stream", with_ctes("""received AS (

@@ -5,6 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from beamfold.operators import packets
+from beamfold.plans.packets_queries import body_packets
 from beamfold.session import new_folder
 from beamfold.streaming import reassembly, sinks, stale
 
@@ -165,3 +166,12 @@ def test_equal_frames_are_judged_one_by_one(spark):
     marked = packets.drop_stale_frames(df, keep_stale=True)
     assert sorted((r.raster_frame_id, r.stale) for r in marked.collect()) == [(1, False), (1, True), (2, False), (2, True), (2, True)]
     assert set(packets.drop_stale_frames(df).columns) == set(df.columns) and packets.drop_stale_frames(df).count() == 2
+
+
+def test_copies_of_a_segment_arrive_before_the_next_one(spark):
+    """Whatever the number of parts; else frames would be completed twice."""
+    rows = [(5, part, line) for line in range(1, 8) for part in (3, 19_999, 119_999, 1_199_999)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int")
+    packets = body_packets(lines).orderBy("arrival_ns").collect()
+    segments = [p.segment_index for p in packets]
+    assert len(segments) == 28 and segments == sorted(segments)
