@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -11,6 +10,7 @@ from beamfold.operators import packets as H, raster
 from beamfold.plans.catalog import query, r6, sql6, with_ctes
 from beamfold.plans.geometry_queries import FRAME_CELLS, FULL_LINES
 from beamfold.plans.tables import CELLS, HEIGHT, WIDTH, cells, epoch_us, table
+from beamfold.schemas import PACKET_POINT
 from beamfold.session import new_folder
 from beamfold.sources.replay import tick_stream
 from beamfold.streaming import reassembly, sinks, stale
@@ -22,12 +22,19 @@ PER_PACKET = 16
 def pack_datagram(frame: pa.Array, stamp: pa.Array, revision: pa.Array, count: pa.Array, index: pa.Array,
                   points: pa.Array) -> pa.Array:
     """Test bytes: what a sender would put on the wire for each packet row."""
-    rows = []
-    for f, t, r, n, i, body in zip(*(c.to_pylist() for c in (frame, stamp, revision, count, index, points))):
-        head = struct.pack("<4sHHQQQHHHH", H.MAGIC, H.VERSION, H.HEADER_BYTES, f, t, r, n, i, len(body), H.POINT_BYTES)
-        rows.append(head + b"".join(
-            struct.pack("<5f", *(p[k] for k in ("x", "y", "z", "intensity", "velocity"))) for p in body))
-    return pa.array(rows, pa.binary())
+    values, size = points.flatten(), np.diff(points.offsets.to_numpy())
+    body = np.stack([values.field(values.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in PACKET_POINT.fieldNames()], axis=1).astype("<f4")
+    head = np.zeros(len(points), H.HEADER_DTYPE)
+    for name, column in zip(("raster_frame_id", "timestamp_ns", "config_revision", "segment_count", "segment_index"), (frame, stamp, revision, count, index)):
+        head[name] = column.to_numpy(zero_copy_only=False)
+    head["magic"], head["version"], head["header_bytes"], head["point_stride"] = H.MAGIC, H.VERSION, H.HEADER_BYTES, H.POINT_BYTES
+    head["point_count"] = size
+    ends = np.concatenate([[0], np.cumsum(H.HEADER_BYTES + size * H.POINT_BYTES)])
+    data, rest = np.empty(ends[-1], np.uint8), np.ones(ends[-1], bool)
+    at = ends[:-1, None] + np.arange(H.HEADER_BYTES)
+    data[at], rest[at] = head.view(np.uint8).reshape(len(points), H.HEADER_BYTES), False
+    data[rest] = body.view(np.uint8).ravel()
+    return pa.BinaryArray.from_buffers(pa.binary(), len(points), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
 def frame_packets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 import random
 import struct
 import tempfile
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from beamfold.operators import packets
-from beamfold.plans.packets_queries import body_packets
+from beamfold.plans.packets_queries import body_packets, pack_datagram
 from beamfold.session import new_folder
 from beamfold.streaming import reassembly, sinks, stale
 
@@ -175,3 +178,18 @@ def test_copies_of_a_segment_arrive_before_the_next_one(spark):
     packets = body_packets(lines).orderBy("arrival_ns").collect()
     segments = [p.segment_index for p in packets]
     assert len(segments) == 28 and segments == sorted(segments)
+
+
+def test_datagrams_are_packed_without_python_objects():
+    """160,000 points are 3 MB on the wire; as Python dictionaries they were some hundred."""
+    names, rows = ("x", "y", "z", "intensity", "velocity"), 10_000
+    values = pa.StructArray.from_arrays([pa.array(np.arange(rows * 16) + 0.5 * i) for i in range(5)], names=list(names))
+    points = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * 16 + 1, 16, dtype=np.int32)), values)
+    numbers = pa.array(np.arange(rows))
+    tracemalloc.start()
+    datagrams = pack_datagram.func(numbers, numbers, numbers, pa.array([4] * rows), pa.array([3] * rows), points)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    wanted = struct.pack("<4sHHQQQHHHH", b"FMCW", 2, 40, 7, 7, 7, 4, 3, 16, 20) + b"".join(
+        struct.pack("<5f", *(7 * 16 + p + 0.5 * i for i in range(5))) for p in range(16))
+    assert datagrams[7].as_py() == wanted and len(datagrams) == rows and peak < 50e6
