@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from beamfold.functions.geometry import ANGULAR_GATE_SCALE, MINIMUM_RANGE_GATE_M, POINT_FIELDS
 
+#: Cells worked on at once, so that a task's memory does not grow with Spark's Arrow batches; a larger frame goes by itself.
+CELLS_AT_ONCE = 1 << 15
 _FIELDS = [T.StructField(n, T.DoubleType()) for n in POINT_FIELDS]
 #: A fused cell; source_valid: the newest frame has it, too.
 FUSED_CELLS = T.ArrayType(T.StructType([*_FIELDS, T.StructField("valid", T.BooleanType()), T.StructField("source_valid", T.BooleanType()),
@@ -30,17 +34,34 @@ def _offsets(lists: pa.ListArray) -> np.ndarray:
     return lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _runs(ends: np.ndarray) -> Iterator[slice]:
+    """Runs of rows with ``CELLS_AT_ONCE`` cells together at most. ends: the cells before each row, then all of them."""
+    first = 0
+    while first < len(ends) - 1:
+        last = max(int(np.searchsorted(ends, ends[first] + CELLS_AT_ONCE, side="right")) - 1, first + 1)
+        yield slice(first, last)
+        first = last
+
+
 def _structs(numbers: np.ndarray, missing: np.ndarray, **more: np.ndarray) -> tuple[list[pa.Array], list[str]]:
     arrays = [pa.array(v, mask=missing) for v in numbers] + [pa.array(v) for v in more.values()]
     return arrays, [*POINT_FIELDS, *more]
 
 
 @F.arrow_udf(FUSED_CELLS)
-def fuse_frames(history: pa.Array) -> pa.Array:
+def fuse_frames(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Frames of one geometry, newest first, to the newest one with each cell's median (mean of the middle two) over all."""
+    for history in batches:
+        frames, outer = history.flatten(), _offsets(history)
+        for run in _runs(_offsets(frames)[outer - outer[0]] if len(frames) else np.zeros(len(history) + 1, np.int64)):
+            yield _fused(history[run])
+
+
+def _fused(history: pa.ListArray) -> pa.ListArray:
     frames = history.flatten()
     outer, inner = _offsets(history) - history.offsets[0].as_py(), _offsets(frames)
-    cells = frames.values
+    cells = frames.values.slice(inner[0], inner[-1] - inner[0])
+    inner = inner - inner[0]
     numbers, usable = _numbers(cells), _flag(cells, "valid")
     usable = usable & np.isfinite(numbers).all(axis=0)
     depth, size = np.diff(outer), np.diff(inner)
@@ -73,8 +94,15 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 @F.arrow_udf(SHOWN_CELLS)
-def densify_frames(points: pa.Array, width: pa.Array, factor: pa.Array) -> pa.Array:
-    """Fused frames to the cells on display: all of them, and ``factor - 1`` between vertical neighbours that pass the gate."""
+def densify_frames(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Fused frames to the cells on display: all of them, and ``factor - 1`` between vertical neighbours that pass the gate.
+    Rows are fused frames, their width and the factor."""
+    for points, width, factor in batches:
+        for run in _runs(_offsets(points)):
+            yield _densified(points[run], width[run], factor[run])
+
+
+def _densified(points: pa.ListArray, width: pa.Array, factor: pa.Array) -> pa.ListArray:
     offsets = _offsets(points)
     cells = points.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(points) else points.values
     offsets = offsets - offsets[0]

@@ -1,8 +1,11 @@
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from beamfold.functions import frames
+from beamfold.functions.geometry import POINT_FIELDS
 from beamfold.operators import clouds, raster, trajectory
 from tests.scenes import config
 
@@ -215,3 +218,20 @@ def test_replay_positions_outside_the_raster_are_rejected(spark):
     good, bad = trajectory.align_replay(df, config(spark))
     assert {r.frame_id: r.pos.x_angle_deg for r in good.collect()} == {1: 9.0, 3: 3.0}
     assert [r.frame_id for r in bad.collect()] == [2]
+
+
+def test_frame_kernels_work_on_bounded_runs():
+    """What a task holds depends on frames, not on the size of Spark's Arrow batch."""
+    def point(frame, cell):
+        return {n: 1.0 + (frame * 7 + cell + i) % 13 for i, n in enumerate(POINT_FIELDS)} | {"valid": (frame + cell) % 5 > 0}
+
+    clouds = [[point(f, c) for c in range(100)] for f in range(1000)]
+    kind = pa.struct([*((n, pa.float64()) for n in POINT_FIELDS), ("valid", pa.bool_())])
+    history = pa.array([[clouds[f], clouds[f - 1]] if f % 3 else [clouds[f]] for f in range(1000)], pa.list_(pa.list_(kind)))[1:]
+    fused = list(frames.fuse_frames.func(iter([history, history[:0]])))
+    assert 1 < len(fused) and max(len(run.flatten()) for run in fused) <= frames.CELLS_AT_ONCE
+    whole = pa.concat_arrays(fused)
+    assert len(whole) == 999 and whole.equals(frames._fused(history))
+    width, factor = pa.array([10] * 999, pa.int32()), pa.array([4] * 999, pa.int32())
+    shown = list(frames.densify_frames.func(iter([(whole, width, factor)])))
+    assert 1 < len(shown) and pa.concat_arrays(shown).equals(frames._densified(whole, width, factor))
