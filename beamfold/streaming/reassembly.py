@@ -3,26 +3,44 @@
 State is bounded by the receiver's own limits: at most ``max_inflight`` partial frames per
 receiver, each at most ``max_points`` points. Capacity and eviction couple a receiver's frames, so
 the receiver is the state key; a receiver is one socket, its rate bounded by one network link.
-A receiver's share of one micro-batch is put into arrival order in memory, so bound the batches by the
-source's rate limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).
+A receiver's share of one micro-batch is put into arrival order by runs on disk and its outcomes are handed
+over in portions, so a worker's memory does not depend on the size of a micro-batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from beamfold.operators.packets import POINT_BYTES
+from beamfold.streaming.arrival import in_order
 
 OUTPUT = (
     "receiver string, outcome string, raster_frame_id long, timestamp_ns long, config_revision long, "
     "segment_count int, point_count long, arrival_ns long, body binary"
 )
 HEAD = ("timestamp_ns", "config_revision", "segment_count")
+#: Outcomes, and bytes of completed bodies, that are handed over at a time.
+OUT_ROWS, OUT_BYTES = 8192, 16 << 20
+
+
+class Packet(NamedTuple):
+    arrival_ns: int
+    raster_frame_id: int
+    timestamp_ns: int
+    config_revision: int
+    segment_count: int
+    segment_index: int
+    point_count: int
+    body: bytes
+
+
+PACKETS = pa.schema([pa.field(name, pa.binary() if name == "body" else pa.int64(), nullable=False) for name in Packet._fields])
 
 
 class FrameAssembly(StatefulProcessor):
@@ -42,12 +60,18 @@ class FrameAssembly(StatefulProcessor):
         self.parts = handle.getMapState("parts", "raster_frame_id long, segment_index int", "body binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        packets = pd.concat(list(rows), ignore_index=True).sort_values("arrival_ns", kind="stable")
         frames = self._load()
         stored = {frame: set(parts) for frame, (_, parts) in frames.items()}
         out: list[tuple] = []
-        for packet in packets.itertuples(index=False):
-            self._advance(frames, packet, out)
+        size = 0
+        for packets in in_order(rows, PACKETS, ["arrival_ns"]):
+            for packet in map(Packet._make, zip(*(column.to_numpy().tolist() for column in packets.columns))):
+                seen = len(out)
+                self._advance(frames, packet, out)
+                size += sum(len(event[-1] or b"") for event in out[seen:])
+                if len(out) >= OUT_ROWS or size >= OUT_BYTES:
+                    yield self._rows(key[0], out)
+                    out, size = [], 0
         self._store(frames, stored)
         self._rearm(frames)
         yield self._rows(key[0], out)
@@ -98,11 +122,11 @@ class FrameAssembly(StatefulProcessor):
         for frame in [f for f, (head, _) in frames.items() if now - head["updated_ns"] >= self.timeout_ns]:
             out.append(self._event("expired", frame, frames.pop(frame)[0], now))
 
-    def _advance(self, frames: dict, packet: Any, out: list) -> None:
-        now, frame = int(packet.arrival_ns), int(packet.raster_frame_id)
+    def _advance(self, frames: dict, packet: Packet, out: list) -> None:
+        now, frame = packet.arrival_ns, packet.raster_frame_id
         self._expire(frames, now, out)
-        incoming = {n: int(getattr(packet, n)) for n in HEAD}
-        size, segment, body = int(packet.point_count), int(packet.segment_index), bytes(packet.body)
+        incoming = {n: getattr(packet, n) for n in HEAD}
+        size, segment, body = packet.point_count, packet.segment_index, packet.body
         total = incoming["segment_count"]
         if not (0 < total <= self.max_segments and 0 <= segment < total and len(body) == size * POINT_BYTES):
             out.append(self._event("bad_layout", frame, {**incoming, "point_count": size}, now))

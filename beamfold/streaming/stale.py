@@ -1,4 +1,4 @@
-"""The stale-frame filter as a stream: two numbers of state per sender."""
+"""The stale-frame filter as a stream: two numbers of state per sender, its share of a micro-batch in order and in portions."""
 
 from __future__ import annotations
 
@@ -6,9 +6,14 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from beamfold.streaming.arrival import in_order
+
+ORDER = ["arrival_ns", "raster_frame_id"]
+FRAMES = pa.schema([(name, pa.int64()) for name in ORDER])
 OUTPUT = "sender string, raster_frame_id long, arrival_ns long, stale boolean"
 
 
@@ -20,16 +25,16 @@ class LastAccepted(StatefulProcessor):
         self.last = handle.getValueState("last", "raster_frame_id long, arrival_ns long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows), ignore_index=True).sort_values(["arrival_ns", "raster_frame_id"])
         last = tuple(self.last.get()) if self.last.exists() else None
-        verdicts = []
-        for frame, now in zip(frames["raster_frame_id"].tolist(), frames["arrival_ns"].tolist()):
-            fresh = last is None or frame > last[0] or now - last[1] >= self.reset_ns
-            last = (frame, now) if fresh else last
-            verdicts.append(not fresh)
+        for frames in in_order(rows, FRAMES, ORDER):
+            arrivals, numbers = (frames[name].to_numpy() for name in ORDER)
+            verdicts = []
+            for now, frame in zip(arrivals.tolist(), numbers.tolist()):
+                fresh = last is None or frame > last[0] or now - last[1] >= self.reset_ns
+                last = (frame, now) if fresh else last
+                verdicts.append(not fresh)
+            yield pd.DataFrame({"sender": key[0], "raster_frame_id": numbers, "arrival_ns": arrivals, "stale": verdicts})
         self.last.update(last)
-        yield pd.DataFrame({"sender": key[0], "raster_frame_id": frames["raster_frame_id"],
-                            "arrival_ns": frames["arrival_ns"], "stale": verdicts})
 
     def close(self) -> None:
         pass

@@ -4,13 +4,15 @@ import tempfile
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from beamfold.operators import packets
 from beamfold.plans.packets_queries import body_packets, pack_datagram
 from beamfold.session import new_folder
-from beamfold.streaming import reassembly, sinks, stale
+from beamfold.streaming import arrival, reassembly, sinks, stale
 
 PACKET = ("receiver string, raster_frame_id long, timestamp_ns long, config_revision long, segment_count int, segment_index int, "
           "point_count int, body binary, arrival_ns long")
@@ -193,3 +195,89 @@ def test_datagrams_are_packed_without_python_objects():
     wanted = struct.pack("<4sHHQQQHHHH", b"FMCW", 2, 40, 7, 7, 7, 4, 3, 16, 20) + b"".join(
         struct.pack("<5f", *(7 * 16 + p + 0.5 * i for i in range(5))) for p in range(16))
     assert datagrams[7].as_py() == wanted and len(datagrams) == rows and peak < 50e6
+
+
+class KeptInMemory:
+    """What a stateful processor asks of Spark, with the state in a dictionary."""
+
+    def __init__(self):
+        self.state = {}
+
+    def getMapState(self, *_):
+        return KeptInMemory()
+
+    def listTimers(self):
+        return iter(())
+
+    def registerTimer(self, _):
+        pass
+
+    def iterator(self):
+        return iter(self.state.items())
+
+    def updateValue(self, key, value):
+        self.state[key] = value
+
+
+def assembly():
+    frames = reassembly.FrameAssembly(500, 8, 4096, 2_000_000)
+    frames.init(KeptInMemory())
+    return frames
+
+
+def packet_chunks(chunks, rows, size):
+    """Frames of two packets whose arrival goes criss-cross through the chunks."""
+    for i in range(chunks):
+        n = np.arange(i, chunks * rows, chunks)
+        yield pd.DataFrame({
+            "receiver": "r", "raster_frame_id": n // 2, "timestamp_ns": n // 2, "config_revision": 1, "segment_count": 2,
+            "segment_index": n % 2, "point_count": size, "body": [bytes(20 * size) for _ in n], "arrival_ns": n * MS})
+
+
+def test_a_micro_batch_does_not_stay_in_memory(monkeypatch):
+    """80 MB of packets, and the same bytes of frames; a worker held all of both."""
+    monkeypatch.setattr(arrival, "RUN_BYTES", 4 << 20)
+    monkeypatch.setattr(reassembly, "OUT_BYTES", 2 << 20)
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    completed, points, peak = 0, 0, 0
+    for out in assembly().handleInputRows(("r",), packet_chunks(40, 1000, 100), None):
+        assert (out["outcome"] == "completed").all()
+        completed, points = completed + len(out), points + out["point_count"].sum()
+        peak = max(peak, tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - held)
+    tracemalloc.stop()
+    assert completed == 20_000 and points == 4_000_000 and peak < 40e6
+
+
+def test_outcomes_do_not_depend_on_runs(monkeypatch):
+    def outcomes():
+        random.seed(3)
+        rows = pd.concat(packet_chunks(1, 3000, 2))
+        rows = rows.loc[[i for i in range(3000) if random.random() < 0.8]]
+        rows["arrival_ns"] = [a + random.randrange(8) * 2 * MS for a in rows["arrival_ns"]]
+        rows = rows.sample(frac=1, random_state=4)
+        found = list(assembly().handleInputRows(("r",), (rows[i:i + 50] for i in range(0, len(rows), 50)), None))
+        return pd.concat(found).sort_values(["arrival_ns", "raster_frame_id", "outcome"]).reset_index(drop=True)
+
+    whole = outcomes()
+    assert {"completed", "evicted"} <= set(whole["outcome"])
+    monkeypatch.setattr(arrival, "RUN_BYTES", 1 << 12)
+    monkeypatch.setattr(arrival, "FAN", 3)
+    monkeypatch.setattr(reassembly, "OUT_ROWS", 7)
+    pd.testing.assert_frame_equal(outcomes(), whole)
+
+
+def test_order_by_two_columns_over_runs_of_runs(monkeypatch, tmp_path):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    monkeypatch.setattr(arrival, "RUN_BYTES", 1 << 10)
+    monkeypatch.setattr(arrival, "FAN", 3)
+    random.seed(8)
+    rows = [(random.randrange(40), random.choice((None, *range(30)))) for _ in range(4000)]
+    chunks = [pd.DataFrame(rows[i:i + 60], columns=stale.ORDER) for i in range(0, 4000, 60)]
+    tables = list(arrival.in_order(chunks, stale.FRAMES, stale.ORDER))
+    got = [tuple(r.values()) for t in tables for r in t.to_pylist()]
+    assert got == sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0))
+    assert max(t.nbytes for t in tables) <= 2 << 10 and not list(tmp_path.iterdir())
+    with pytest.raises(ValueError, match="null"):
+        list(arrival.in_order(chunks, pa.schema([pa.field(n, pa.int64(), nullable=False) for n in stale.ORDER]), stale.ORDER))
+    assert list(arrival.in_order([], stale.FRAMES, stale.ORDER)) == [] and not list(tmp_path.iterdir())
